@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric
-from ..session import cut_lineage
 from .ordering import global_positions
 
 
@@ -32,31 +31,19 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     positions leave it, so that no task sees all values.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = cut_lineage(_running_counts(counts))
-    total = placed.agg(F.max("_to")).scalar()
-    shares_table = df.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    targets = shares_table.withColumn("_p", F.col("share") * (total - 1)).select(
-        "share", "_p", F.explode(F.array_distinct(F.array(
-            F.floor("_p"), F.ceil("_p")))).alias("_at"))
-    # The targets are as many as the shares asked for; a value covers the positions [_from, _to).
-    hits = placed.join(F.broadcast(targets), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
-    low, high = F.min("_v"), F.max("_v")
-    return hits.groupBy("share").agg(
-        (low + (high - low) * (F.max("_p") - F.floor(F.max("_p")))).alias("value"))
-
-
-def _running_counts(counts: DataFrame) -> DataFrame:
-    """`(_v, _from, _to)`: positions each distinct value takes in the sorted column."""
-    placed = global_positions(counts, ["_v"], "_position")
-    # Sum within runs of positions first, then over the runs: two small steps instead of one long window.
-    run = F.floor(F.col("_position") / 10000)
-    runs = placed.groupBy(run.alias("_run")).agg(F.sum("_n").alias("_rn"))
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("_run", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_run").orderBy("_position")
-    return (placed.withColumn("_run", run).join(starts, "_run")
-            .withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
-            .select("_v", (F.col("_to") - F.col("_n")).alias("_from"), "_to"))
+    placed = global_positions(counts, ["_v"], "_position", running={"_n": "_to"})
+    total = counts.agg(F.sum("_n")).scalar()
+    at = [F.struct(F.lit(float(s)).alias("share"), (F.lit(float(s)) * (total - 1)).alias("p")) for s in shares]
+
+    def covered(x: Column) -> Column:
+        # A value takes the positions [_to - _n, _to); interpolation needs floor(p) and ceil(p).
+        first = F.col("_to") - F.col("_n")
+        return (F.ceil(x["p"]) >= first) & (F.floor(x["p"]) < F.col("_to"))
+
+    hits = placed.withColumn("_at", F.array(*at)).select("_v", F.explode(F.filter("_at", covered)).alias("_x"))
+    low, high, p = F.min("_v"), F.max("_v"), F.max("_x.p")
+    return hits.groupBy(F.col("_x.share").alias("share")).agg(
+        (low + (high - low) * (p - F.floor(p))).alias("value"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:

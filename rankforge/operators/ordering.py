@@ -9,26 +9,38 @@ from ..session import cut_lineage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
 
 
-def global_positions(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
+def global_positions(df: DataFrame, keys: list[str], name: str = "position",
+                     running: dict[str, str] | None = None) -> DataFrame:
     """Add the 0-based position of each row in the total order of `keys`.
 
-    Rows are range-partitioned and sorted locally, so that a hot leading key is spread over many
-    partitions as long as all `keys` together are selective. The sorted rows are written once: a
-    range shuffle samples its bounds, and a second run could draw others. Only one count per
-    partition is then added up and broadcast.
+    `running` maps a numeric column to the name of its running sum in that order. Rows are
+    range-partitioned and sorted locally, so that a hot leading key is spread over many partitions
+    as long as all `keys` together are selective. The sorted rows are written once: a range shuffle
+    samples its bounds, and a second run could draw others. Only one row per partition is then added
+    up and broadcast.
     """
+    running = running or {}
     placed = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id()))
     placed = cut_lineage(placed)
     part = F.shiftrightunsigned("_mid", _ROW_BITS).cast("int")
     row = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy(part.alias("_part")).agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in running])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (placed.withColumn("_part", part).withColumn("_row", row)
-            .join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint"))
-            .drop("_part", "_row", "_before", "_mid"))
+
+    def ahead(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
+
+    offsets = sizes.select("_part", ahead("_n").alias("_before"),
+                           *[ahead(f"_sum_{c}").alias(f"_before_{c}") for c in running])
+    out = (placed.withColumn("_part", part).withColumn("_row", row)
+           .join(F.broadcast(offsets), "_part")
+           .withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint")))
+    inside = Window.partitionBy("_part").orderBy("_row")
+    for c, total in running.items():
+        out = out.withColumn(total, F.col(f"_before_{c}") + F.sum(c).over(inside))
+    return out.drop("_part", "_row", "_before", "_mid", *[f"_before_{c}" for c in running])
 
 
 def group_ranks(df: DataFrame, group: list[str], order: list[str], rank: str = "rn",
