@@ -19,6 +19,12 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def steady_round(c: Column, digits: int) -> Column:
+    """Round in two steps: the first takes away the noise of summation order, which else could turn
+    the last digit of a value that lies half way."""
+    return F.round(F.round(c, 9), digits)
+
+
 def clip_round(c: Column, digits: int = 1, low: float = 0.0, high: float = 10.0) -> Column:
     """Half-even rounding, then clipping."""
     return clip(F.bround(c, digits), low, high)

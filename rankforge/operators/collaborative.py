@@ -85,8 +85,8 @@ def item_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n
     has = F.col("ws") > 0
     recs = joined.filter(F.col("item_mean").isNotNull()).select(
         "query_id", "item_id",
-        F.round(numeric.clip(F.when(has, pulled).otherwise(F.col("item_mean")), 1.0, 5.0), 2).alias("predicted_rating"),
-        F.round(F.when(has, conf).otherwise(0.0), 3).alias("confidence"))
+        numeric.steady_round(numeric.clip(F.when(has, pulled).otherwise(F.col("item_mean")), 1.0, 5.0), 2).alias("predicted_rating"),
+        numeric.steady_round(F.when(has, conf).otherwise(0.0), 3).alias("confidence"))
     order = [F.desc("predicted_rating"), F.desc("confidence")]
     if diversity is None:
         return _ranked(recs, order, n)
@@ -121,7 +121,7 @@ def user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n
     sums = terms.groupBy("query_id", "item_id").agg(
         F.sum(F.col("rating") * F.col("sim")).alias("rs"), F.sum(F.col("dev") * F.col("sim")).alias("ds"),
         F.sum("sim").alias("ss"), F.count("*").alias("k")).join(stats, "item_id")
-    score = F.round(F.col("rs") * F.least(F.log(F.col("item_count") + 1), F.lit(3.0)), 6)
+    score = numeric.steady_round(F.col("rs") * F.least(F.log(F.col("item_count") + 1), F.lit(3.0)), 6)
     best = top_k(sums.withColumn("_score", score), ["query_id"], [F.desc("_score"), F.asc("item_id")], candidates, "_r")
     pop = F.least(F.col("item_count") / 10, F.lit(2.0))
     conf = (F.col("ss") * pop / F.col("k") * F.least(F.col("k") / 8, F.lit(1.0))
@@ -131,8 +131,8 @@ def user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n
     base = F.col("active_mean") + F.col("item_bias")
     value = F.when(F.col("ss") <= 0, base).when(F.col("_conf") < 0.3, raw * F.col("_conf") + base * (1 - F.col("_conf"))).otherwise(raw)
     recs = joined.select(
-        "query_id", "item_id", F.round(numeric.clip(value, 1.0, 5.0), 2).alias("predicted_rating"),
-        F.round(F.when(F.col("ss") > 0, F.col("_conf")).otherwise(0.0), 3).alias("confidence"))
+        "query_id", "item_id", numeric.steady_round(numeric.clip(value, 1.0, 5.0), 2).alias("predicted_rating"),
+        numeric.steady_round(F.when(F.col("ss") > 0, F.col("_conf")).otherwise(0.0), 3).alias("confidence"))
     order = [F.desc("predicted_rating"), F.desc("confidence")]
     if diversity is None:
         return _ranked(recs, order, n)
@@ -150,7 +150,7 @@ def simple_user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataF
         F.sum(F.col("dev") * F.col("sim")).alias("ds"), F.sum("sim").alias("ss")).filter(F.col("ss") > 0)
     value = numeric.clip(F.col("active_mean") + F.col("ds") / F.col("ss"), 1.0, 5.0)
     recs = sums.join(active_means(requests), "query_id").select(
-        "query_id", "item_id", F.round("ss", 4).alias("similarity"), F.round(value, 2).alias("predicted_rating"))
+        "query_id", "item_id", numeric.steady_round("ss", 4).alias("similarity"), numeric.steady_round(value, 2).alias("predicted_rating"))
     first = "similarity" if by == "similarity" else "predicted_rating"
     return _ranked(recs, [F.desc(first)], n)
 
@@ -165,8 +165,8 @@ def bias_user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFra
         F.first("item_bias").alias("item_bias")).filter(F.col("ss") > 0)
     value = F.col("ds") / F.col("ss") + F.col("active_mean") + F.col("item_bias")
     recs = sums.join(active_means(requests), "query_id").select(
-        "query_id", "item_id", F.round("ss", 4).alias("similarity"), F.round(value, 2).alias("predicted_rating"),
-        F.round(F.least(F.lit(100.0), F.col("ss") / 10), 4).alias("confidence"))
+        "query_id", "item_id", numeric.steady_round("ss", 4).alias("similarity"), numeric.steady_round(value, 2).alias("predicted_rating"),
+        numeric.steady_round(F.least(F.lit(100.0), F.col("ss") / 10), 4).alias("confidence"))
     return _ranked(recs, [F.desc("predicted_rating")], n)
 
 
@@ -205,8 +205,8 @@ def blended(requests: DataFrame, ratings: DataFrame, predictions: DataFrame, n:
     pop = popularity(ratings).select("item_id", "mean", "popularity")
     share = 1 - weight
     scored = _without_rated(predictions, requests).join(pop, "item_id").select(
-        "query_id", "item_id", F.round(weight * F.col("predicted") + share * F.col("popularity"), 6).alias("score"))
-    default = pop.select("item_id", F.round(weight * F.col("mean") + share * F.col("popularity"), 6).alias("score"))
+        "query_id", "item_id", numeric.steady_round(weight * F.col("predicted") + share * F.col("popularity"), 6).alias("score"))
+    default = pop.select("item_id", numeric.steady_round(weight * F.col("mean") + share * F.col("popularity"), 6).alias("score"))
     ordered = global_positions(default.withColumn("_down", -F.col("score")), ["_down", "item_id"], "_at")
     taken = requests.select("query_id", "item_id").unionByName(predictions.select("query_id", "item_id")).distinct()
     needs = taken.groupBy("query_id").agg((F.count("*") + n).alias("_need"))
@@ -222,7 +222,7 @@ def blended(requests: DataFrame, ratings: DataFrame, predictions: DataFrame, n:
 
 def cold_start(queries: DataFrame, ratings: DataFrame, n: int = 10) -> DataFrame:
     """The n most popular items for each query."""
-    best = popularity(ratings).select("item_id", F.round("popularity", 6).alias("score")).orderBy(
+    best = popularity(ratings).select("item_id", numeric.steady_round("popularity", 6).alias("score")).orderBy(
         F.desc("score"), "item_id").limit(n)
     ranked = best.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "item_id", "score"))).alias("x"))
     return queries.select("query_id").distinct().withColumn("_x", ranked.scalar()).select(
@@ -267,7 +267,7 @@ def seed_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10, min_simi
     sums = both.groupBy("query_id", "item_id", "score", "rank").agg(
         F.sum(w * F.col("rating")).alias("wr"), F.sum(w).alias("ws"), F.avg("rating").alias("mean"))
     value = F.when(F.abs("ws") > 1e-12, F.col("wr") / F.col("ws")).otherwise(F.col("mean"))
-    return sums.select("query_id", "item_id", F.round(value, 2).alias("predicted_rating"), "score", "rank")
+    return sums.select("query_id", "item_id", numeric.steady_round(value, 2).alias("predicted_rating"), "score", "rank")
 
 
 def rating_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
@@ -275,8 +275,8 @@ def rating_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10) -> Dat
     means = query_vectors(requests, vectors, F.col("rating")).withColumn("k", F.col("n_seeds") + n)
     best = _ranked(_drop_seeds(nearest(means, vectors, "k"), requests), [F.desc("score")], n)
     return best.join(active_means(requests), "query_id").select(
-        "query_id", "item_id", F.when(F.col("score") != 0, F.round("active_mean", 2)).otherwise(0.0).alias("predicted_rating"),
-        F.round("score", 4).alias("score"), "rank")
+        "query_id", "item_id", F.when(F.col("score") != 0, numeric.steady_round("active_mean", 2)).otherwise(0.0).alias("predicted_rating"),
+        numeric.steady_round("score", 4).alias("score"), "rank")
 
 
 def fold_in_users(requests: DataFrame, components: DataFrame, item_vectors: DataFrame, dim: int) -> DataFrame:
@@ -312,7 +312,7 @@ def factor_recommend(requests: DataFrame, model: dict[str, DataFrame], dim: int,
     best = _ranked(found, [F.desc("score")], n)
     total = model["mean"].scalar() + F.col("user_bias") + F.col("score")
     return best.join(users.select("query_id", "user_bias"), "query_id").select(
-        "query_id", "item_id", F.round(total, 6).alias("score"), "rank")
+        "query_id", "item_id", numeric.steady_round(total, 6).alias("score"), "rank")
 
 
 def factor_similar(requests: DataFrame, model: dict[str, DataFrame], n: int = 10) -> DataFrame:

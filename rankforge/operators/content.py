@@ -65,7 +65,7 @@ def similar_to_several(queries: DataFrame, vectors: DataFrame, item_map: DataFra
     labelled = found.select(F.col("query_id").alias("_search"), F.col("id").alias("item_id"),
                             numeric.similarity(F.col("score"), "cosine").alias("s")).join(
         several.select("_search", "query_id", "w"), "_search")
-    combined = labelled.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("s") * F.col("w")), 6).alias("similarity"))
+    combined = labelled.groupBy("query_id", "item_id").agg(numeric.steady_round(F.sum(F.col("s") * F.col("w")), 6).alias("similarity"))
     best = _finish(combined, 3 * n).drop("rank").join(queries, ["query_id", "item_id"], "left_anti")
     inputs = queries.join(item_map.select("item_id", "media_type", "spoken_languages"), "item_id")
     kind = request_majority(inputs, "media_type").filter(F.col("rank") == 1).select("query_id", F.col("value").alias("_kind"))

@@ -79,7 +79,7 @@ def per_exploded(df: DataFrame, column: Column, name: str, value: str = "rating"
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of `column` values (listed) per `row`; missing = 0."""
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def share_per_row(df: DataFrame, row: str, column: str) -> DataFrame:
