@@ -68,13 +68,8 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
-def ngrams(words: Column, stop_words: list[str] | None = None, bigrams: bool = True) -> Column:
-    """Unigrams, then bigrams of what is left after the stop words are taken out."""
-    if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(stops, w))
-    if not bigrams:
-        return words
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+def words(c: Column, stop_words: list[str] | None = None) -> Column:
+    """Tokens without the stop words."""
+    found = tokens(c)
+    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
+

@@ -120,7 +120,7 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
 
 
 def pair_statistics(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Common items and their correlation for given `pairs(user_a, user_b)`.
+    """Common items and their correlation (null when a side is constant) for given `pairs(user_a, user_b)`.
 
     Of each pair the user with the shorter history is expanded, so that a hot user is looked up by
     (user, item) instead of being multiplied by the number of its pairs.
@@ -139,13 +139,15 @@ def pair_statistics(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
     a = F.when(F.col("short_a"), F.col("r_short")).otherwise(F.col("r_long"))
     b = F.when(F.col("short_a"), F.col("r_long")).otherwise(F.col("r_short"))
     return both.select("user_a", "user_b", a.alias("a"), b.alias("b")).groupBy("user_a", "user_b").agg(
-        F.count("*").alias("common"), F.corr("a", "b").alias("correlation"))
+        F.count("*").alias("common"), F.covar_pop("a", "b").alias("_c"),
+        (F.stddev_pop("a") * F.stddev_pop("b")).alias("_s")).select(
+        "user_a", "user_b", "common", F.when(F.col("_s") > 1e-9, F.col("_c") / F.col("_s")).alias("correlation"))
 
 
 def pearson(pairs: DataFrame, ratings: DataFrame, min_common: int = 3) -> DataFrame:
     """Correlation over common items as 0..100; 0 with fewer than `min_common` or none defined."""
     stats = pair_statistics(pairs, ratings)
-    known = (F.col("common") >= min_common) & F.col("correlation").isNotNull() & ~F.isnan("correlation")
+    known = (F.col("common") >= min_common) & F.col("correlation").isNotNull()
     value = F.least(F.greatest((F.col("correlation") + 1) * 50, F.lit(0.0)), F.lit(100.0))
     return (pairs.select("user_a", "user_b").distinct().join(stats, ["user_a", "user_b"], "left")
             .select("user_a", "user_b", F.coalesce("common", F.lit(0)).alias("common"),

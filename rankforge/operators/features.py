@@ -7,16 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import doubles, mean_vector, zeros
+from ..functions.vectors import doubles, l2_normalise, mean_vector, weighted_concat, zeros
+from ..session import cut_lineage, spread
+from .linalg import project, truncated_svd
 from .ordering import dense_ids
 
 MAX_TERMS = 20_000  # largest vocabulary; it is broadcast
 
 
-def term_counts(docs: DataFrame, terms: Column, id: str = "item_id") -> DataFrame:
-    """`(id, term, tf)` of an array of terms per document."""
-    return (docs.select(F.col(id).alias("id"), F.explode(terms).alias("term"))
-            .groupBy("id", "term").agg(F.count("*").alias("tf")))
+def term_counts(docs: DataFrame, column: str, stop_words: list[str] | None = None, bigrams: bool = True,
+                id: str = "item_id") -> DataFrame:
+    """`(id, term, tf)`: words of two or more characters, and pairs of neighbours once the stop words are out."""
+    rows = spread(docs.select(F.col(id).cast("bigint").alias("id"), F.col(column).alias("_text")))
+    rows = rows.select("id", tx.words(F.col("_text"), stop_words).alias("word"))
+    if bigrams:
+        pairs = rows.withColumn("next", F.slice("word", 2, F.greatest(F.size("word"), F.lit(1)))).select(
+            "id", F.inline(F.arrays_zip("word", "next")))
+        terms = pairs.select("id", F.explode(F.array("word", F.concat("word", F.lit(" "), "next"))).alias("term"))
+        terms = terms.filter(F.col("term").isNotNull())
+    else:
+        terms = rows.select("id", F.explode("word").alias("term"))
+    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: Column, max_features: int, min_df: int = 1,
@@ -49,15 +60,23 @@ def tfidf_entries(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def fit_tfidf(docs: DataFrame, column: str, max_features: int, min_df: int = 1, max_df: float = 1.0,
               stop_words: list[str] | None = None, bigrams: bool = True, id: str = "item_id") -> DataFrame:
     """Vocabulary of a text column."""
-    terms = tx.ngrams(tx.tokens(F.col(column)), stop_words, bigrams)
     n_docs = docs.agg(F.count("*")).scalar()
-    return fit_vocabulary(term_counts(docs, terms, id), n_docs, max_features, min_df, max_df)
+    return fit_vocabulary(term_counts(docs, column, stop_words, bigrams, id), n_docs, max_features, min_df, max_df)
 
 
 def apply_tfidf(docs: DataFrame, column: str, vocabulary: DataFrame, stop_words: list[str] | None = None,
                 bigrams: bool = True, id: str = "item_id") -> DataFrame:
-    terms = tx.ngrams(tx.tokens(F.col(column)), stop_words, bigrams)
-    return tfidf_entries(term_counts(docs, terms, id), vocabulary)
+    """Entries of a text column under a fitted vocabulary."""
+    return tfidf_entries(term_counts(docs, column, stop_words, bigrams, id), vocabulary)
+
+
+def fit_apply_tfidf(docs: DataFrame, column: str, max_features: int, min_df: int = 1, max_df: float = 1.0,
+                    stop_words: list[str] | None = None, bigrams: bool = True,
+                    id: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, entries) of the same documents; the texts are cut into words once."""
+    counts = cut_lineage(term_counts(docs, column, stop_words, bigrams, id))
+    vocabulary = cut_lineage(fit_vocabulary(counts, docs.agg(F.count("*")).scalar(), max_features, min_df, max_df))
+    return vocabulary, tfidf_entries(counts, vocabulary)
 
 
 def fit_labels(docs: DataFrame, labels: Column) -> DataFrame:
@@ -128,3 +147,45 @@ def dense_rows(entries: DataFrame, width: int, ids: DataFrame | None = None) ->
     if ids is None:
         return rows
     return ids.select("id").join(rows, "id", "left").select("id", F.coalesce("vec", zeros(width)).alias("vec"))
+
+
+# Fields of the item feature model: vocabulary size, smallest document count, bigrams, reduced width,
+# weight (fixed values); genres are not reduced.
+FIELDS = {"overview": (2000, 3, True, 50, 0.5), "keywords": (500, 2, False, 20, 0.1)}
+GENRE_WEIGHT = 0.4
+
+
+def fit_field_model(docs: DataFrame, stop_words: list[str] | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """Tables of a feature model: vocabulary and components per text field, and the genre labels.
+
+    They are all it takes to give new items their features, and can be saved as Parquet.
+    """
+    model = {"genres": fit_labels(docs, F.col("genres"))}
+    for field, (size, least, bigrams, width, _) in FIELDS.items():
+        vocabulary, entries = fit_apply_tfidf(docs, field, size, least, 0.95, stop_words, bigrams)
+        # A small corpus has fewer terms than the field may hold.
+        n_terms = vocabulary.count()
+        svd = truncated_svd(entries, max(2, n_terms), min(width, max(1, n_terms - 1)), seed)
+        model[f"{field}_vocabulary"] = vocabulary
+        model[f"{field}_components"] = svd["components"]
+    return model
+
+
+def apply_field_model(docs: DataFrame, model: dict[str, DataFrame], stop_words: list[str] | None = None,
+                      id: str = "item_id") -> DataFrame:
+    """`(id, vec)` of unit length: reduced text fields and genres, each scaled to unit length and weighted."""
+    rows = docs.select(F.col(id).cast("bigint").alias("id"))
+    blocks, weights = [], []
+    for field, (_, _, bigrams, _, weight) in FIELDS.items():
+        vocabulary, components = model[f"{field}_vocabulary"], model[f"{field}_components"]
+        width = components.select(F.size("vec")).first()[0]
+        entries = apply_tfidf(docs, field, vocabulary, stop_words, bigrams, id)
+        reduced = project(entries, components, max(2, vocabulary.count()), width)
+        rows = rows.join(reduced.withColumnRenamed("vec", field), "id", "left")
+        blocks.append(l2_normalise(F.coalesce(F.col(field), zeros(width))))
+        weights.append(weight)
+    n_labels = model["genres"].count()
+    genres = dense_rows(binarise(docs, F.col("genres"), model["genres"], id), n_labels)
+    rows = rows.join(genres.withColumnRenamed("vec", "genres"), "id", "left")
+    blocks.append(l2_normalise(F.coalesce(F.col("genres"), zeros(n_labels))))
+    return rows.select("id", l2_normalise(weighted_concat(blocks, [*weights, GENRE_WEIGHT])).alias("vec"))

@@ -114,6 +114,30 @@ def _collect_matrix(df: DataFrame, n_rows: int, width: int) -> np.ndarray:
     return out
 
 
+def _sum_rows(partials: DataFrame, width: int) -> DataFrame:
+    """Add up `(idx, vec)` rows of equal idx. A task holds its share of a matrix of checked size."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = {}, np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            keys, at = np.unique(batch.column("idx").to_numpy(zero_copy_only=False), return_inverse=True)
+            for key in keys.tolist():
+                place.setdefault(key, len(place))
+            if len(place) > len(total):
+                total = np.vstack([total, np.zeros((max(len(place), 2 * len(total)) - len(total), width))])
+            where = np.array([place[key] for key in keys.tolist()])
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            if len(keys) == batch.num_rows:
+                total[where[at]] += rows
+            else:
+                np.add.at(total, where[at], rows)
+        if place:
+            yield from _vec_rows("idx", np.fromiter(place, np.int32, len(place)), total[:len(place)])
+
+    return partials.repartition("idx").mapInArrow(add, "idx int, vec array<double>")
+
+
 def _column_products(packed: DataFrame, n_cols: int) -> np.ndarray:
     """Sum of x xT over all rows: partial sums per partition, added up by matrix row."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +152,7 @@ def _column_products(packed: DataFrame, n_cols: int) -> np.ndarray:
         used = np.flatnonzero(np.diag(total))
         yield from _vec_rows("idx", used, total[used])
 
-    sums = packed.mapInArrow(partial, "idx int, vec array<double>").groupBy("idx").agg(
-        sum_vector(F.col("vec")).alias("vec"))
+    sums = _sum_rows(packed.mapInArrow(partial, "idx int, vec array<double>"), n_cols)
     return _collect_matrix(sums, n_cols, n_cols)
 
 
@@ -151,8 +174,7 @@ def _times_transposed(packed: DataFrame, matrix: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(np.any(total != 0, axis=1))
         yield from _vec_rows("idx", used, total[used])
 
-    sums = packed.mapInArrow(partial, "idx int, vec array<double>").groupBy("idx").agg(
-        sum_vector(F.col("vec")).alias("vec"))
+    sums = _sum_rows(packed.mapInArrow(partial, "idx int, vec array<double>"), matrix.shape[1])
     try:
         return _collect_matrix(sums, *matrix.shape)
     finally:
@@ -167,7 +189,9 @@ def _fixed_signs(v: np.ndarray) -> np.ndarray:
 def _small_svd(packed: DataFrame, n_cols: int, k: int, seed: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
     """(components n_cols x k, singular values) when a few columns of that height fit the driver."""
     if n_cols <= GRAM_COLUMNS:
-        values, vectors = np.linalg.eigh(_column_products(packed, n_cols))
+        # Each partition sends on a whole matrix, so it should have read at least as much.
+        parts = max(1, packed.count() // n_cols)
+        values, vectors = np.linalg.eigh(_column_products(packed.coalesce(parts), n_cols))
         best = np.argsort(values)[::-1][:k]
         return _fixed_signs(vectors[:, best]), np.sqrt(np.maximum(values[best], 0))
     width = min(k + OVERSAMPLE, n_cols)
@@ -210,8 +234,7 @@ def _vector_products(a: DataFrame, width: int) -> np.ndarray:
             total += rows.T @ rows if batch.num_rows else 0
         yield from _vec_rows("idx", np.arange(width), total)
 
-    sums = a.select("vec").mapInArrow(partial, "idx int, vec array<double>").groupBy("idx").agg(
-        sum_vector(F.col("vec")).alias("vec"))
+    sums = _sum_rows(a.select("vec").mapInArrow(partial, "idx int, vec array<double>"), width)
     return _collect_matrix(sums, width, width)
 
 
@@ -249,11 +272,8 @@ def _distributed_svd(entries: DataFrame, k: int, seed: int, passes: int) -> tupl
     return _turned(components, np.diag(flip)), np.sqrt(np.maximum(values[best], 0))
 
 
-def project(entries: DataFrame, components: DataFrame, n_cols: int, k: int) -> DataFrame:
-    """`(id, vec)`: rows times components `(idx, vec)`; the way to apply a fitted SVD to new rows."""
-    if n_cols * k * 8 > SMALL_BYTES:
-        return _joined_product(entries, components, "idx", "id")
-    shared = entries.sparkSession.sparkContext.broadcast(_collect_matrix(components, n_cols, k))
+def _project_packed(packed: DataFrame, components: np.ndarray) -> DataFrame:
+    shared = packed.sparkSession.sparkContext.broadcast(components)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +281,17 @@ def project(entries: DataFrame, components: DataFrame, n_cols: int, k: int) -> D
                 y = _times(*_csr(batch), batch.num_rows, shared.value)
                 yield from _vec_rows("id", batch.column("id").to_numpy(zero_copy_only=False), y, pa.int64())
 
-    packed = pack_rows(entries.select(F.col("id").cast("bigint"), "idx", "value"))
     return packed.mapInArrow(apply, "id bigint, vec array<double>")
 
 
+def project(entries: DataFrame, components: DataFrame, n_cols: int, k: int) -> DataFrame:
+    """`(id, vec)`: rows times components `(idx, vec)`; the way to apply a fitted SVD to new rows."""
+    entries = entries.select(F.col("id").cast("bigint"), F.col("idx").cast("int"), F.col("value").cast("double"))
+    if n_cols * k * 8 > SMALL_BYTES:
+        return _joined_product(entries, components, "idx", "id")
+    return _project_packed(pack_rows(entries), _collect_matrix(components, n_cols, k))
+
+
 def truncated_svd(entries: DataFrame, n_cols: int, k: int, seed: int = 42, passes: int = 12,
                   distributed: bool = False) -> dict[str, DataFrame]:
     """Best rank-k factors of a sparse matrix of `n_cols` columns, `idx` being 0..n_cols-1.
@@ -272,23 +299,22 @@ def truncated_svd(entries: DataFrame, n_cols: int, k: int, seed: int = 42, passe
     Tables: rows `(id, vec)` = U * Sigma, components `(idx, vec)` = V, and spectrum `(component,
     singular_value, variance, ratio)`. Up to GRAM_COLUMNS columns the result is exact; wider matrices
     are iterated on, in a broadcast basis while that is small, else (or with `distributed`) in joins.
-    The largest entry of each component is made positive.
+    The largest entry of each component is made positive. The matrix is written once and read by
+    every pass.
     """
     spark = entries.sparkSession
     entries = entries.select(F.col("id").cast("bigint"), F.col("idx").cast("int"), F.col("value").cast("double"))
-    k = max(1, min(k, n_cols - 1)) if n_cols > 1 else 1
+    k = max(1, min(k, n_cols - 1))
     if not distributed and n_cols * (k + OVERSAMPLE) * 8 <= SMALL_BYTES:
-        packed = pack_rows(entries).persist()
-        try:
-            v, sigma = _small_svd(packed, n_cols, k, seed, passes)
-        finally:
-            packed.unpersist()
-        table = pa.Table.from_batches(list(_vec_rows("idx", np.arange(n_cols), v)))
-        components = spark.createDataFrame(table)
+        packed = cut_lineage(pack_rows(entries))
+        v, sigma = _small_svd(packed, n_cols, k, seed, passes)
+        components = spark.createDataFrame(pa.Table.from_batches(list(_vec_rows("idx", np.arange(n_cols), v))))
+        rows = _project_packed(packed, v)
+        entries = packed.select("id", F.inline(F.arrays_zip("cols", "vals"))).toDF("id", "idx", "value")
     else:
         entries = cut_lineage(entries)
         components, sigma = _distributed_svd(entries, k, seed, passes)
-    rows = project(entries, components, n_cols, k)
+        rows = project(entries, components, n_cols, k)
     return {"rows": rows, "components": components, "spectrum": _spectrum(rows, entries, sigma)}
 
 

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import doubles, has_bad_value, l2_normalise, norm
-from ..session import SMALL_BYTES, fits, parallelism
+from ..session import SMALL_BYTES, fits, spread
 from .ordering import top_k
 
 SCORE_DIGITS = 6          # scores are rounded before ranking, so that summation order cannot flip a rank
@@ -191,21 +191,13 @@ def nearest(queries: DataFrame, base: DataFrame, k: int | str, metric: str = "co
     q, v = _queries(queries, k), _base(base)
     row_bytes = 8 * max(1, _dimension(v)) + 16
     if block_rows is None and fits(q, row_bytes, SMALL_BYTES // 4):
-        # Few scan partitions leave cores idle: spread the base when it has fewer than the cores.
-        return _ranked(_against_small(q, _spread(v), metric, skip_self, digits), q, k, metric, min_score)
+        return _ranked(_against_small(q, spread(v), metric, skip_self, digits), q, k, metric, min_score)
     rows = block_rows or max(1024, BLOCK_BYTES // row_bytes)
     found = _in_cells(q.withColumn("cell", F.lit(0)), v.withColumn("cell", F.lit(0)),
                       metric, skip_self, digits, rows)
     return _ranked(found, q, k, metric, min_score)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A table scanned as one file split would keep one core busy; spread small scans over the cores."""
-    files = len(df.inputFiles())
-    cores = parallelism(df.sparkSession)
-    return df.repartition(cores) if files and files < cores else df
-
-
 def train_cells(base: DataFrame, n_cells: int = 100, seed: int = 42, max_iter: int = 20) -> np.ndarray:
     """Centroids (n_cells x dimension) of a k-means over the base vectors."""
     features = base.select(array_to_vector(doubles(F.col("vec"))).alias("features")).persist()
@@ -251,7 +243,7 @@ def nearest_in_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.
         q, v = (d.withColumn("vec", l2_normalise(F.col("vec"))) for d in (q, v))
     probes = min(probes, len(centroids))
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * centroids.shape[1] + 16))
-    found = _in_cells(_with_cells(q, centroids, probes, _Q_SCHEMA), _with_cells(_spread(v), centroids, 1, _V_SCHEMA),
+    found = _in_cells(_with_cells(q, centroids, probes, _Q_SCHEMA), _with_cells(spread(v), centroids, 1, _V_SCHEMA),
                       metric, skip_self, digits, rows)
     return _ranked(found, q, k, metric, min_score)
 
@@ -279,7 +271,7 @@ def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8
             yield from out.append_column("cell", pa.array(codes.ravel(), pa.int32())).to_batches()
 
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim + 16))
-    found = _in_cells(q.mapInArrow(sign, _Q_SCHEMA), _spread(v).mapInArrow(sign, _V_SCHEMA),
+    found = _in_cells(q.mapInArrow(sign, _Q_SCHEMA), spread(v).mapInArrow(sign, _V_SCHEMA),
                       metric, skip_self, digits, rows)
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _ranked(once, q, k, metric, min_score)

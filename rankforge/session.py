@@ -58,3 +58,10 @@ def fits(df: DataFrame, row_bytes: int, limit: int = SMALL_BYTES) -> bool:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Costly row work on a scan of few small files would keep few cores busy; deal its rows out."""
+    files = len(df.inputFiles())
+    cores = parallelism(df.sparkSession)
+    return df.repartition(cores) if 0 < files < cores else df
