@@ -40,15 +40,15 @@ terms AS (SELECT l.query_id, r.item_id, r.rating, r.rating - m.mean AS dev, l.sc
             AND NOT EXISTS (SELECT 1 FROM {source} q WHERE q.user_id = l.query_id AND q.item_id = r.item_id))"""
 
 
-def top(source: str, order: str, n: int, columns: str = "*") -> str:
-    return f"""SELECT {columns}, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, item_id) AS rank
+def top(source: str, order: str, n: int) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, item_id) AS rank
 FROM {source}) WHERE rank <= {n}"""
 
 
 def simple_user_lists(source: str, n: int, min_score: float = 0.0, k: int = 20) -> str:
     """`c4(query_id, item_id, similarity, predicted_rating, rank)`."""
-    return f"""{row_cosine('nn', source, 'user_id', 'item_id', k)},
-{user_terms(source, 'nn', min_score)},
+    return f"""{row_cosine('un', source, 'user_id', 'item_id', k)},
+{user_terms(source, 'un', min_score)},
 c4_sums AS (SELECT query_id, item_id, sum(dev * sim) AS ds, sum(sim) AS ss FROM terms GROUP BY 1, 2 HAVING sum(sim) > 0),
 c4_all AS (SELECT query_id, item_id, {steady('ss', 4)} AS similarity,
            {steady('least(greatest(m.mean + ds / ss, 1.0), 5.0)', 2)} AS predicted_rating
