@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .neighbours import SCORE_DIGITS, STRIP_CELLS, best_per_row
+from ..session import cut_lineage, parallelism
+from .neighbours import SCORE_DIGITS, STRIP_CELLS
 from .ordering import top_k
 
 BLOCK_IDS = 2048          # ids per block: two dense score blocks of 32 MB in a task
@@ -16,40 +17,60 @@ _OUT = "query_id bigint, id bigint, dot double, co double, q_size double, v_size
 
 def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: bool) -> pa.Table:
     """Inner products and common dimensions of all rows of two blocks; the best k when `whole`."""
-    def side(t: pa.Table, p: str):
-        ids, first, index = np.unique(t[p + "id"].to_numpy(), return_index=True, return_inverse=True)
-        return ids, index, t[p + "dim"].to_numpy(), t[p + "val"].to_numpy(), t[p + "size"].to_numpy()[first]
-
-    q_ids, q_at, q_dim, q_val, q_size = side(q, "q_")
-    v_ids, v_at, v_dim, v_val, v_size = side(v, "v_")
+    def side(t: pa.Table, column: str):
+        entries = pa.concat_arrays([c.flatten() for c in t[column].chunks])
+        numbers = [entries.field(name).to_numpy(zero_copy_only=False) for name in ("id", "dim", "val", "size")]
+        ids, first, index = np.unique(numbers[0], return_index=True, return_inverse=True)
+        return ids, index, numbers[1], numbers[2], numbers[3][first]
+
+    q_ids, q_at, q_dim, q_val, q_size = side(q, "q_entries")
+    v_ids, v_at, v_dim, v_val, v_size = side(v, "v_entries")
     order = np.argsort(v_dim, kind="stable")
     v_at, v_dim, v_val = v_at[order], v_dim[order], v_val[order]
     starts = np.searchsorted(v_dim, q_dim, "left")
     hits = np.searchsorted(v_dim, q_dim, "right") - starts
-    cells = len(q_ids) * len(v_ids)
-    dots, common = np.zeros(cells), np.zeros(cells)
     ends = np.cumsum(hits)
-    at = 0
-    while at < len(hits):
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + STRIP_CELLS, "right")))
+    # A pair of rows is numbered q * width + v; either all pairs get a place, or only those that met.
+    width = len(v_ids)
+
+    def products(at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
         many = hits[at:to]
         row = np.repeat(np.arange(at, to), many)
-        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        col = starts[row] + offset
-        cell = q_at[row] * len(v_ids) + v_at[col]
-        dots += np.bincount(cell, q_val[row] * v_val[col], cells)
-        common += np.bincount(cell, minlength=cells)
-        at = to
-    dots, common = dots.reshape(len(q_ids), -1), common.reshape(len(q_ids), -1)
-    met = (common > 0) & (q_ids[:, None] != v_ids[None, :])
-    if whole:
-        scores = np.where(met, _score(dots, common, q_size[:, None], v_size[None, :], metric, digits), -np.inf)
-        rows, cols = best_per_row(scores, v_ids, np.full(len(q_ids), k))
+        col = starts[row] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return q_at[row] * width + v_at[col], q_val[row] * v_val[col]
+
+    if ends[-1] * 4 < len(q_ids) * width and ends[-1] <= STRIP_CELLS:
+        pair, product = products(0, len(hits))
+        order = np.argsort(pair, kind="stable")
+        pair, product = pair[order], product[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+        dots = np.add.reduceat(product, first) if len(first) else np.zeros(0)
+        common = np.diff(np.r_[first, len(pair)]).astype(np.float64)
+        pair = pair[first]
     else:
-        rows, cols = np.nonzero(met)
-    return pa.table({"query_id": q_ids[rows], "id": v_ids[cols], "dot": dots[rows, cols],
-                     "co": common[rows, cols], "q_size": q_size[rows], "v_size": v_size[cols]})
+        dots, common = np.zeros(len(q_ids) * width), np.zeros(len(q_ids) * width)
+        at = 0
+        while at < len(hits):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + STRIP_CELLS, "right")))
+            pair, product = products(at, to)
+            dots += np.bincount(pair, product, len(dots))
+            common += np.bincount(pair, minlength=len(dots))
+            at = to
+        pair = np.flatnonzero(common)
+        dots, common = dots[pair], common[pair]
+    rows, cols = np.divmod(pair, width)
+    other = q_ids[rows] != v_ids[cols]
+    rows, cols, dots, common = rows[other], cols[other], dots[other], common[other]
+    if whole:
+        scores = _score(dots, common, q_size[rows], v_size[cols], metric, digits)
+        order = np.lexsort((v_ids[cols], -scores, rows))
+        ranked = rows[order]
+        place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+        best = order[place < k]
+        rows, cols, dots, common = rows[best], cols[best], dots[best], common[best]
+    return pa.table({"query_id": q_ids[rows], "id": v_ids[cols], "dot": dots, "co": common,
+                     "q_size": q_size[rows], "v_size": v_size[cols]})
 
 
 def _score(dot, co, q_size, v_size, metric: str, digits: int):
@@ -73,32 +94,38 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
     """Best k other rows with a common dimension for each row of a sparse matrix.
 
     `entries(row, dim, value)` holds one entry per cell; `metric` is cosine or jaccard. Rows are cut
-    into blocks by hash and each pair of blocks is one task that sums its products in place: pairs
-    leave it only as the best k per row, never one per common dimension. A block with more than
-    `block_entries` entries (a hot row) is also cut by hash of the dimension; its pairs then leave as
-    sums per chunk, and are added up before the ranking. Memory per task is bounded by the block.
+    into blocks by hash, each packed into one record, and each pair of blocks is summed up in place
+    by one task: pairs leave it only as the best k per row, never one per common dimension. A block
+    with more than `block_entries` entries (it holds a hot row) is also cut by hash of the dimension;
+    its pairs then leave as sums per chunk, and are added up before the ranking. Memory per task is
+    bounded by the block.
     """
     if metric not in ("cosine", "jaccard"):
         raise ValueError(f"unknown metric: {metric}")
-    cells = entries.select(F.col(row).cast("bigint").alias("id"), F.xxhash64(dim).alias("dim"),
-                           F.col(value).cast("double").alias("val"))
+    cells = cut_lineage(entries.select(F.col(row).cast("bigint").alias("id"), F.xxhash64(dim).alias("dim"),
+                                       F.col(value).cast("double").alias("val")))
     size = F.sqrt(F.sum(F.col("val") * F.col("val"))) if metric == "cosine" else F.count("*").cast("double")
     stats = cells.groupBy("id").agg(size.alias("size"), F.count("*").alias("n"))
-    n_rows = stats.count()
-    n_blocks = max(1, -(-n_rows // block_ids))
+    n_blocks = max(1, -(-stats.count() // block_ids))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    chunks = F.broadcast(stats.groupBy(block.alias("block")).agg(
-        F.ceil(F.sum("n") / F.lit(block_entries)).cast("int").alias("chunks")))  # one row per block
+    loads = stats.groupBy(block.alias("own")).agg(F.sum("n").alias("load"))
+    # Pairs with a heavy block are cut into `chunks` by dimension, all others meet whole.
+    chunks = max(1, -(-(loads.agg(F.max("load")).first()[0] or 0) // block_entries))
     sized = cells.join(stats.select("id", "size"), "id").withColumn("own", block)
-    sized = sized.join(chunks.select(F.col("block").alias("own"), F.col("chunks").alias("own_chunks")), "own")
-
-    def placed(own: str, other: str, p: str) -> DataFrame:
-        met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
-            chunks.select(F.col("block").alias("other"), F.col("chunks").alias("other_chunks")), "other")
-        parts = F.greatest("own_chunks", "other_chunks")
-        return met.select(F.col("own").alias(own), F.col("other").alias(other), parts.alias("parts"),
-                          F.pmod(F.col("dim"), parts).cast("int").alias("part"),
-                          *[F.col(c).alias(p + c) for c in ("id", "dim", "val", "size")])
+    loads = F.broadcast(loads.select("own", (F.col("load") > block_entries).alias("heavy")))  # one row per block
+    levels = F.array(*[F.lit(n) for n in ([1, chunks] if chunks > 1 else [1])])
+    leveled = sized.join(loads, "own").withColumn("parts", F.explode(levels)).filter("NOT heavy OR parts > 1")
+    packed = cut_lineage(
+        leveled.groupBy("own", "heavy", "parts", F.pmod(F.col("dim"), F.col("parts")).cast("int").alias("part"))
+        .agg(F.collect_list(F.struct("id", "dim", "val", "size")).alias("entries")))
+
+    def placed(own: str, other: str, name: str) -> DataFrame:
+        met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
+            loads.toDF("other", "other_heavy"), "other")
+        wanted = F.when(F.col("heavy") | F.col("other_heavy"), chunks).otherwise(1)
+        return met.filter(F.col("parts") == wanted).select(
+            F.col("own").alias(own), F.col("other").alias(other), F.col("parts").alias("parts"),
+            F.col("part").alias("part"), F.col("entries").alias(name))
 
     def meet(key, q: pa.Table, v: pa.Table) -> pa.Table:
         if q.num_rows == 0 or v.num_rows == 0:
@@ -108,12 +135,16 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
         return _meet(q, v, k, metric, digits, key[2].as_py() == 1)
 
     cell = ["qb", "vb", "parts", "part"]
-    found = (placed("qb", "vb", "q_").groupBy(*cell).cogroup(placed("vb", "qb", "v_").groupBy(*cell))
-             .applyInArrow(meet, _OUT))
-    summed = found.groupBy("query_id", "id").agg(
-        F.sum("dot").alias("dot"), F.sum("co").alias("co"), F.max("q_size").alias("q_size"),
-        F.max("v_size").alias("v_size"))
-    scored = summed.select("query_id", "id", _score_column(metric, digits).alias("score"))
+    # Few rows but much work in each: more partitions than their bytes would ask for.
+    tasks = min(n_blocks * n_blocks * chunks, 4 * parallelism(entries.sparkSession))
+    left = placed("qb", "vb", "q_entries").repartition(tasks, *cell)
+    right = placed("vb", "qb", "v_entries").repartition(tasks, *cell)
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, _OUT)
+    if chunks > 1:
+        found = found.groupBy("query_id", "id").agg(
+            F.sum("dot").alias("dot"), F.sum("co").alias("co"), F.max("q_size").alias("q_size"),
+            F.max("v_size").alias("v_size"))
+    scored = found.select("query_id", "id", _score_column(metric, digits).alias("score"))
     if min_score is not None:
         scored = scored.filter(F.col("score") >= min_score)
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
