@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
@@ -29,10 +31,16 @@ def scale(v: Column, by: Column | float) -> Column:
     return F.transform(doubles(v), lambda x: x * factor)
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and hand it to `use`; inside a lambda it would be once per element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    size = norm(v)
-    return F.when(size > 0, scale(v, 1 / size)).otherwise(doubles(v))
+    def by_norm(a: Column) -> Column:
+        return _bind(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
+    return _bind(doubles(v), by_norm)
 
 
 def has_bad_value(v: Column) -> Column:

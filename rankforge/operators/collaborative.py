@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric
 from ..functions.vectors import cosine, mean_vector, scale, sum_vector, zeros
+from ..session import cut_lineage
 from . import factors as mf
 from .cleaning import liked
 from .diversity import diversify_by_lists, diversify_by_vectors
@@ -202,7 +203,8 @@ def blended(requests: DataFrame, ratings: DataFrame, predictions: DataFrame, n:
     Items without a prediction count with their mean. Their order is the same for every query, so a
     query with m rated or predicted items needs only the first n + m of that order.
     """
-    pop = popularity(ratings).select("item_id", "mean", "popularity")
+    predictions = cut_lineage(predictions)
+    pop = cut_lineage(popularity(ratings).select("item_id", "mean", "popularity"))
     share = 1 - weight
     scored = _without_rated(predictions, requests).join(pop, "item_id").select(
         "query_id", "item_id", numeric.steady_round(weight * F.col("predicted") + share * F.col("popularity"), 6).alias("score"))
@@ -302,7 +304,7 @@ def factor_recommend(requests: DataFrame, model: dict[str, DataFrame], dim: int,
 
     The item bias rides along as one more dimension, so the search is one by inner product.
     """
-    users = mf.fold_in(requests, model, dim)
+    users = cut_lineage(mf.fold_in(requests, model, dim))
     counts = requests.groupBy("query_id").agg((F.count("*") + n).cast("int").alias("k"))
     queries = users.join(counts, "query_id").select(
         "query_id", F.concat("vec", F.array(F.lit(1.0))).alias("vec"), "k", "user_bias")

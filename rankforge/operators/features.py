@@ -155,35 +155,46 @@ FIELDS = {"overview": (2000, 3, True, 50, 0.5), "keywords": (500, 2, False, 20,
 GENRE_WEIGHT = 0.4
 
 
-def fit_field_model(docs: DataFrame, stop_words: list[str] | None = None, seed: int = 42) -> dict[str, DataFrame]:
-    """Tables of a feature model: vocabulary and components per text field, and the genre labels.
+def fit_field_model(docs: DataFrame, stop_words: list[str] | None = None, seed: int = 42,
+                    id: str = "item_id") -> tuple[dict[str, DataFrame], DataFrame]:
+    """(model, `(id, vec)` of the documents it is fitted on).
 
-    They are all it takes to give new items their features, and can be saved as Parquet.
+    The model holds vocabulary and components per text field, and the genre labels. These tables are
+    all it takes to give new items their features, and can be saved as Parquet.
     """
-    model = {"genres": fit_labels(docs, F.col("genres"))}
+    model, reduced = {"genres": cut_lineage(fit_labels(docs, F.col("genres")))}, {}
     for field, (size, least, bigrams, width, _) in FIELDS.items():
-        vocabulary, entries = fit_apply_tfidf(docs, field, size, least, 0.95, stop_words, bigrams)
+        vocabulary, entries = fit_apply_tfidf(docs, field, size, least, 0.95, stop_words, bigrams, id)
         # A small corpus has fewer terms than the field may hold.
         n_terms = vocabulary.count()
         svd = truncated_svd(entries, max(2, n_terms), min(width, max(1, n_terms - 1)), seed)
         model[f"{field}_vocabulary"] = vocabulary
         model[f"{field}_components"] = svd["components"]
-    return model
+        reduced[field] = svd["rows"]
+    return model, _joined_fields(docs, model, reduced, id)
 
 
 def apply_field_model(docs: DataFrame, model: dict[str, DataFrame], stop_words: list[str] | None = None,
                       id: str = "item_id") -> DataFrame:
-    """`(id, vec)` of unit length: reduced text fields and genres, each scaled to unit length and weighted."""
-    rows = docs.select(F.col(id).cast("bigint").alias("id"))
-    blocks, weights = [], []
-    for field, (_, _, bigrams, _, weight) in FIELDS.items():
+    """`(id, vec)` of new documents under a fitted model."""
+    reduced = {}
+    for field, (_, _, bigrams, _, _) in FIELDS.items():
         vocabulary, components = model[f"{field}_vocabulary"], model[f"{field}_components"]
-        width = components.select(F.size("vec")).first()[0]
         entries = apply_tfidf(docs, field, vocabulary, stop_words, bigrams, id)
-        reduced = project(entries, components, max(2, vocabulary.count()), width)
-        rows = rows.join(reduced.withColumnRenamed("vec", field), "id", "left")
+        width = components.select(F.size("vec")).first()[0]
+        reduced[field] = project(entries, components, max(2, vocabulary.count()), width)
+    return _joined_fields(docs, model, reduced, id)
+
+
+def _joined_fields(docs: DataFrame, model: dict[str, DataFrame], reduced: dict[str, DataFrame], id: str) -> DataFrame:
+    """Reduced text fields and genres, each of unit length, weighted, concatenated, of unit length again."""
+    rows = docs.select(F.col(id).cast("bigint").alias("id"))
+    blocks, weights = [], []
+    for field, vectors in reduced.items():
+        width = model[f"{field}_components"].select(F.size("vec")).first()[0]
+        rows = rows.join(vectors.withColumnRenamed("vec", field), "id", "left")
         blocks.append(l2_normalise(F.coalesce(F.col(field), zeros(width))))
-        weights.append(weight)
+        weights.append(FIELDS[field][4])
     n_labels = model["genres"].count()
     genres = dense_rows(binarise(docs, F.col("genres"), model["genres"], id), n_labels)
     rows = rows.join(genres.withColumnRenamed("vec", "genres"), "id", "left")

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import doubles, has_bad_value, l2_normalise, norm
-from ..session import SMALL_BYTES, fits, spread
+from ..session import SMALL_BYTES, cut_lineage, fits, spread
 from .ordering import top_k
 
 SCORE_DIGITS = 6          # scores are rounded before ranking, so that summation order cannot flip a rank
@@ -89,9 +89,10 @@ _NOTHING = _result([], [], [])
 
 
 def _queries(queries: DataFrame, k: int | str) -> DataFrame:
+    """The query side, written once: its size is checked, it is searched with, and joined to the result."""
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
-    return queries.select(F.col("query_id").cast("bigint"), doubles(F.col("vec")).alias("vec"),
-                          wanted.cast("int").alias("k"))
+    return cut_lineage(queries.select(F.col("query_id").cast("bigint"), doubles(F.col("vec")).alias("vec"),
+                                      wanted.cast("int").alias("k")))
 
 
 def _base(base: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int | str, metric: str = "co
     shuffling the base; else both sides are cut into blocks. `block_rows` forces the block path.
     """
     q, v = _queries(queries, k), _base(base)
-    row_bytes = 8 * max(1, _dimension(v)) + 16
+    row_bytes = 8 * max(1, _dimension(q)) + 16
     if block_rows is None and fits(q, row_bytes, SMALL_BYTES // 4):
         return _ranked(_against_small(q, spread(v), metric, skip_self, digits), q, k, metric, min_score)
     rows = block_rows or max(1024, BLOCK_BYTES // row_bytes)
@@ -255,7 +256,7 @@ def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8
     if bits > 16:
         raise ValueError("at most 16 bits per table")
     q, v = _queries(queries, k), _base(base)
-    dim = _dimension(v)
+    dim = _dimension(q)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     shared = q.sparkSession.sparkContext.broadcast(planes)
 

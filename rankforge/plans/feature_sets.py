@@ -145,9 +145,8 @@ def _checked(rows, blocks: int):
 @query("text_item_features")
 def text_item_features(spark, sf):
     """Each field reduced on its own, brought to unit length, weighted and concatenated."""
-    docs = _fields(spark, sf)
-    model = features.fit_field_model(docs, STOP_WORDS)
-    return _checked(features.apply_field_model(docs, model, STOP_WORDS), 3)
+    _, rows = features.fit_field_model(_fields(spark, sf), STOP_WORDS)
+    return _checked(rows, 3)
 
 
 @query("new_item_features")
@@ -155,7 +154,7 @@ def new_item_features(spark, sf):
     """A model fitted on labelled documents, applied to all others."""
     docs = _fields(spark, sf)
     seen = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
-    model = features.fit_field_model(docs.join(seen, "item_id", "left_semi"), STOP_WORDS)
+    model, _ = features.fit_field_model(docs.join(seen, "item_id", "left_semi"), STOP_WORDS)
     return _checked(features.apply_field_model(docs.join(seen, "item_id", "left_anti"), model, STOP_WORDS), 3)
 
 

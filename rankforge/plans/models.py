@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import vectors as vx
 from ..operators import collaborative, factors, linalg, ordering
 from ..operators.neighbours import nearest
+from ..session import cut_lineage
 from ..sources import embedding_vectors, ratings_agg, table
 from .fragments import VECTORS, top
 from .registry import RATINGS_AGG, query, steady
@@ -59,31 +60,32 @@ def pivot_by_label(spark, sf):
     return linalg.pivot_matrix(cells, ["click", "error"])
 
 
-def _entries(spark, sf, by: str = "user_id") -> tuple[DataFrame, int]:
-    """Centred ratings as matrix entries with dense columns, rows being users (or items)."""
+def _entries(rows: DataFrame, by: str = "user_id") -> tuple[DataFrame, DataFrame, int]:
+    """Centred ratings as matrix entries with dense columns, rows being users (or items); the column ids."""
     other = "item_id" if by == "user_id" else "user_id"
-    centred = linalg.mean_centre(ratings_agg(spark, sf), by)
-    ids = ordering.dense_ids(centred, [other], "idx")
-    return centred.join(ids, other).select(F.col(by).alias("id"), "idx", F.col("centred").alias("value")), ids.count()
+    centred = linalg.mean_centre(rows, by)
+    ids = cut_lineage(ordering.dense_ids(rows, [other], "idx"))
+    entries = centred.join(ids, other).select(F.col(by).alias("id"), "idx", F.col("centred").alias("value"))
+    return entries, ids, ids.count()
 
 
 @query("svd_user_vectors")
 def svd_user_vectors(spark, sf):
-    entries, width = _entries(spark, sf)
+    entries, _, width = _entries(cut_lineage(ratings_agg(spark, sf)))
     rows = linalg.truncated_svd(entries, width, 16)["rows"]
     return rows.select("id", F.size("vec").alias("dim"), vx.norm(F.col("vec")).alias("size"))
 
 
 @query("svd_item_vectors")
 def svd_item_vectors(spark, sf):
-    entries, width = _entries(spark, sf, "item_id")
+    entries, _, width = _entries(cut_lineage(ratings_agg(spark, sf)), "item_id")
     rows = linalg.truncated_svd(entries, width, 16)["rows"]
     return rows.select("id", F.size("vec").alias("dim"), vx.norm(F.col("vec")).alias("size"))
 
 
 @query("svd_spectrum")
 def svd_spectrum(spark, sf):
-    entries, width = _entries(spark, sf)
+    entries, _, width = _entries(cut_lineage(ratings_agg(spark, sf)))
     return linalg.cumulative_variance(linalg.truncated_svd(entries, width, 16)["spectrum"])
 
 
@@ -146,8 +148,8 @@ def regularised_biases(spark, sf):
         found["user_bias"].select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("user_bias").alias("bias")))
 
 
-def given_model(spark, sf) -> dict[str, DataFrame]:
-    model = factors.biases(ratings_agg(spark, sf), _REG)
+def given_model(spark, sf, rows: DataFrame) -> dict[str, DataFrame]:
+    model = {name: cut_lineage(df) for name, df in factors.biases(rows, _REG).items()}
     vec = vx.doubles(F.col("vec"))
     base = embedding_vectors(spark, sf)
     model["user_factors"] = base.select(F.col("id").alias("user_id"), vec.alias("vec"))
@@ -160,7 +162,8 @@ SELECT user_id, item_id, mu + coalesce(user_bias, 0) + coalesce(item_bias, 0) +
 FROM ra LEFT JOIN bu USING (user_id) LEFT JOIN bi USING (item_id) LEFT JOIN v p ON p.id = user_id LEFT JOIN v q ON q.id = item_id, g""",
        floats=("prediction",))
 def factor_predictions(spark, sf):
-    return factors.predict(ratings_agg(spark, sf).select("user_id", "item_id"), given_model(spark, sf))
+    rows = cut_lineage(ratings_agg(spark, sf))
+    return factors.predict(rows.select("user_id", "item_id"), given_model(spark, sf, rows))
 
 
 _FOLD = f"""{_BIAS}, {VECTORS},
@@ -173,12 +176,13 @@ p AS (SELECT query_id, list(x ORDER BY pos) AS vec FROM px GROUP BY 1)"""
 @query("folded_in_users", f"WITH {RATINGS_AGG}, {_FOLD} SELECT query_id, pos - 1 AS pos, x, user_bias FROM px JOIN ub USING (query_id)",
        floats=("x", "user_bias"), ints=("pos",))
 def folded_in_users(spark, sf):
-    folded = factors.fold_in(_requests(spark, sf), given_model(spark, sf), 64)
+    rows = cut_lineage(ratings_agg(spark, sf))
+    folded = factors.fold_in(_requests(rows), given_model(spark, sf, rows), 64)
     return folded.select("query_id", F.posexplode("vec").alias("pos", "x"), "user_bias")
 
 
-def _requests(spark, sf):
-    return ratings_agg(spark, sf).select(F.col("user_id").alias("query_id"), "item_id", "rating")
+def _requests(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("query_id"), "item_id", "rating")
 
 
 @query("factor_recommendations", f"""WITH {RATINGS_AGG}, {_FOLD},
@@ -188,7 +192,8 @@ t AS ({top('s', 's DESC', 10)})
 SELECT query_id, item_id, {steady('mu + user_bias + s', 6)} AS score, rank FROM t JOIN ub USING (query_id), g""",
        floats=("score",))
 def factor_recommendations(spark, sf):
-    return collaborative.factor_recommend(_requests(spark, sf), given_model(spark, sf), 64, 10)
+    rows = cut_lineage(ratings_agg(spark, sf))
+    return collaborative.factor_recommend(_requests(rows), given_model(spark, sf, rows), 64, 10)
 
 
 @query("factor_similar_items", f"""WITH {RATINGS_AGG}, {VECTORS},
@@ -198,7 +203,8 @@ s AS (SELECT query_id, v.id AS item_id, round(list_inner_product(q.vec, v.vec),
       WHERE NOT EXISTS (SELECT 1 FROM ra WHERE ra.user_id = q.query_id AND ra.item_id = v.id))
 {top('s', 'score DESC', 10)}""", floats=("score",))
 def factor_similar_items(spark, sf):
-    return collaborative.factor_similar(_requests(spark, sf), given_model(spark, sf), 10)
+    rows = cut_lineage(ratings_agg(spark, sf))
+    return collaborative.factor_similar(_requests(rows), given_model(spark, sf, rows), 10)
 
 
 @query("als_history")
@@ -208,21 +214,20 @@ def als_history(spark, sf):
 
 @query("als_recommendations")
 def als_recommendations(spark, sf):
-    rows = ratings_agg(spark, sf)
+    rows = cut_lineage(ratings_agg(spark, sf))
     model = factors.factorise(rows, rank=10, reg=0.1, iterations=(5,))
-    return collaborative.factor_recommend(_requests(spark, sf), model, 10, 10)
+    return collaborative.factor_recommend(_requests(rows), model, 10, 10)
 
 
 @query("svd_user_recommendations")
 def svd_user_recommendations(spark, sf):
     """The live user-based flow: SVD of centred ratings, fold-in, nearest users, prediction, diversity."""
-    rows = ratings_agg(spark, sf)
-    entries, width = _entries(spark, sf)
-    ids = ordering.dense_ids(rows, ["item_id"], "idx")
+    rows = cut_lineage(ratings_agg(spark, sf))
+    entries, ids, width = _entries(rows)
     svd = linalg.truncated_svd(entries, width, 16)
-    components = svd["components"].join(ids, "idx").select("item_id", "vec")
+    components = cut_lineage(svd["components"].join(ids, "idx").select("item_id", "vec"))
     item_vectors = components.select(F.col("item_id").alias("id"), "vec")
-    requests = _requests(spark, sf)
+    requests = _requests(rows)
     folded = collaborative.fold_in_users(requests, components.select(F.col("item_id").alias("idx"), "vec"), item_vectors, 16)
     near = nearest(folded, svd["rows"], 100, skip_self=True, min_score=0.1)
     return collaborative.user_based(requests, rows, near, n=10, diversity=0.7, item_vectors=item_vectors)

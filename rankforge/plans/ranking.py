@@ -9,6 +9,7 @@ from ..operators.co_ratings import pearson, similar_rows
 from ..operators.neighbours import cells_for, nearest, nearest_in_cells, train_cells
 
 from ..functions import vectors as vx
+from ..session import cut_lineage
 from ..sources import embedding_vectors, ratings_agg, table
 from .fragments import VECTORS, cosine_lists, row_cosine, seed_means, simple_user_lists, top, user_terms, z
 from .registry import RATINGS_AGG, query, steady
@@ -16,22 +17,31 @@ from .registry import RATINGS_AGG, query, steady
 _CLIP = "least(greatest({}, 1.0), 5.0)"
 
 
-def _requests(spark, sf):
-    return ratings_agg(spark, sf).select(F.col("user_id").alias("query_id"), "item_id", "rating")
+def _rows(spark, sf):
+    """The ratings, worked out once: a recommender reads them as requests, as statistics and as histories."""
+    return cut_lineage(ratings_agg(spark, sf))
+
+
+def _requests(rows):
+    return rows.select(F.col("user_id").alias("query_id"), "item_id", "rating")
 
 
 def _vectors(spark, sf):
     return embedding_vectors(spark, sf).select("id", "vec")
 
 
-def user_neighbours(spark, sf, k: int = 20):
-    return similar_rows(ratings_agg(spark, sf), "user_id", "item_id", "rating", k)
+def user_neighbours(rows, k: int = 20):
+    return similar_rows(rows, "user_id", "item_id", "rating", k)
 
 
 @query("simple_user_recommendations", f"WITH {RATINGS_AGG}, {simple_user_lists('ra', 10)} SELECT * FROM c4",
        floats=("similarity", "predicted_rating"))
 def simple_user_recommendations(spark, sf):
-    return collaborative.simple_user_based(_requests(spark, sf), ratings_agg(spark, sf), user_neighbours(spark, sf), 10)
+    return _simple_lists(_rows(spark, sf))
+
+
+def _simple_lists(rows):
+    return collaborative.simple_user_based(_requests(rows), rows, user_neighbours(rows), 10)
 
 
 _STATS = """st AS (SELECT item_id, count(*) AS item_count, avg(rating) AS item_mean,
@@ -53,9 +63,13 @@ r AS (SELECT query_id, item_id, {steady(_CLIP.format('CASE WHEN conf IS NULL THE
       {steady('coalesce(conf, 0)', 3)} AS confidence FROM p)
 {top('r', 'predicted_rating DESC, confidence DESC', 10)}""", floats=("predicted_rating", "confidence"))
 def item_based_recommendations(spark, sf):
-    rows = ratings_agg(spark, sf)
-    near = similar_rows(rows, "item_id", "user_id", "rating", 100)
-    return collaborative.item_based(_requests(spark, sf), rows, near, 10)
+    return _item_based(_rows(spark, sf))
+
+
+def _item_based(rows):
+    # Read twice: forward for the candidates, backward for the predictions.
+    near = cut_lineage(similar_rows(rows, "item_id", "user_id", "rating", 100))
+    return collaborative.item_based(_requests(rows), rows, near, 10)
 
 
 @query("user_based_recommendations", f"""WITH {RATINGS_AGG}, {_STATS},
@@ -70,7 +84,11 @@ r AS (SELECT query_id, item_id, {steady(_CLIP.format('CASE WHEN conf < 0.3 THEN
       {steady('conf', 3)} AS confidence FROM p)
 {top('r', 'predicted_rating DESC, confidence DESC', 10)}""", floats=("predicted_rating", "confidence"))
 def user_based_recommendations(spark, sf):
-    return collaborative.user_based(_requests(spark, sf), ratings_agg(spark, sf), user_neighbours(spark, sf, 50), 10)
+    return _user_based(_rows(spark, sf))
+
+
+def _user_based(rows):
+    return collaborative.user_based(_requests(rows), rows, user_neighbours(rows, 50), 10)
 
 
 @query("bias_user_recommendations", f"""WITH {RATINGS_AGG}, {_STATS},
@@ -85,11 +103,12 @@ r AS (SELECT query_id, item_id, {steady('ss', 4)} AS similarity, {steady('ds / s
       {steady('least(100.0, ss / 10)', 4)} AS confidence FROM sums JOIN m ON m.user_id = query_id)
 {top('r', 'predicted_rating DESC', 10)}""", floats=("similarity", "predicted_rating", "confidence"))
 def bias_user_recommendations(spark, sf):
-    rows, near = ratings_agg(spark, sf), user_neighbours(spark, sf)
+    rows = _rows(spark, sf)
+    near = user_neighbours(rows)
     pairs = near.select(F.col("query_id").alias("user_a"), F.col("id").alias("user_b"))
     scored = pearson(pairs, rows).select(F.col("user_a").alias("query_id"), F.col("user_b").alias("id"),
                                          F.round("similarity", 6).alias("score"))
-    return collaborative.bias_user_based(_requests(spark, sf), rows, scored, 10, min_similarity=1.0)
+    return collaborative.bias_user_based(_requests(rows), rows, scored, 10, min_similarity=1.0)
 
 
 _SEED_LISTS = f"WITH {RATINGS_AGG}, {VECTORS}, {seed_means()}"
@@ -100,7 +119,7 @@ _NOT_SEED = "NOT EXISTS (SELECT 1 FROM ra WHERE ra.user_id = query_id AND ra.ite
 r AS (SELECT query_id, id AS item_id, score FROM nn WHERE score >= 0.1 AND {_NOT_SEED})
 {top('r', 'score DESC', 10)}""", floats=("score",))
 def similar_to_seeds(spark, sf):
-    return collaborative.similar_to_seeds(_requests(spark, sf), _vectors(spark, sf), 10)
+    return collaborative.similar_to_seeds(_requests(_rows(spark, sf)), _vectors(spark, sf), 10)
 
 
 def _weighted_sql(weight: str, value: str) -> str:
@@ -115,20 +134,24 @@ SELECT query_id, item_id, {steady(value, 2)} AS predicted_rating, score, rank FR
 
 @query("softmax_recommendations", _weighted_sql("exp(c)", "wr / ws"), floats=("predicted_rating", "score"))
 def softmax_recommendations(spark, sf):
-    return collaborative.seed_weighted(_requests(spark, sf), _vectors(spark, sf), 10)
+    return collaborative.seed_weighted(_requests(_rows(spark, sf)), _vectors(spark, sf), 10)
 
 
 @query("cosine_weighted_recommendations", _weighted_sql("c", "CASE WHEN abs(ws) > 1e-12 THEN wr / ws ELSE mean END"),
        floats=("predicted_rating", "score"))
 def cosine_weighted_recommendations(spark, sf):
-    return collaborative.seed_weighted(_requests(spark, sf), _vectors(spark, sf), 10, weighting="linear")
+    return _cosine_weighted(spark, sf, _rows(spark, sf))
+
+
+def _cosine_weighted(spark, sf, rows):
+    return collaborative.seed_weighted(_requests(rows), _vectors(spark, sf), 10, weighting="linear")
 
 
 @query("cell_search_recommendations")
 def cell_search_recommendations(spark, sf):
     base = _vectors(spark, sf)
     cells = train_cells(base.withColumn("vec", vx.l2_normalise(F.col("vec"))), cells_for(base.count()))
-    requests = _requests(spark, sf)
+    requests = _requests(_rows(spark, sf))
     found = nearest_in_cells(collaborative.query_vectors(requests, base), base, 50, cells, min_score=0.1)
     return collaborative.seed_weighted(requests, base, 10, weighting="linear", found=found)
 
@@ -140,7 +163,7 @@ b AS (SELECT query_id, id AS item_id, score FROM nn WHERE {_NOT_SEED}), best AS
 SELECT query_id, item_id, CASE WHEN score <> 0 THEN {steady('mean', 2)} ELSE 0.0 END AS predicted_rating, {steady('score', 4)} AS score, rank
 FROM best JOIN a USING (query_id)""", floats=("predicted_rating", "score"))
 def rating_weighted_recommendations(spark, sf):
-    return collaborative.rating_weighted(_requests(spark, sf), _vectors(spark, sf), 10)
+    return collaborative.rating_weighted(_requests(_rows(spark, sf)), _vectors(spark, sf), 10)
 
 
 _AS_OF, _FACTOR = "1999-01-01 00:00:00", 0.5
@@ -162,17 +185,17 @@ _KNOWN = "SELECT user_id AS query_id, mean, std FROM us"
 _GUEST = "SELECT DISTINCT user_id AS query_id, (SELECT avg(mean) FROM us) AS mean, (SELECT avg(std) FROM us) AS std FROM ra"
 
 
-def _decayed(spark, sf, guest: bool):
-    rows, requests = ratings_agg(spark, sf), _requests(spark, sf)
+def _decayed(rows, guest: bool):
+    requests = _requests(rows)
     stats = collaborative.guest_stats(requests, rows) if guest else collaborative.user_stats(rows).toDF("query_id", "mean", "std")
     rated = linalg.user_z_scores(rows).select("user_id", "item_id", "z", "ts")
     as_of = F.lit(_AS_OF).cast("timestamp_ntz")
-    return collaborative.decayed_predictions(requests, rated, user_neighbours(spark, sf), stats, as_of, _FACTOR, 0.05)
+    return collaborative.decayed_predictions(requests, rated, user_neighbours(rows), stats, as_of, _FACTOR, 0.05)
 
 
 @query("decayed_user_predictions", f"WITH {RATINGS_AGG}, {_decayed_sql(_KNOWN)} SELECT * FROM pred", floats=("predicted",))
 def decayed_user_predictions(spark, sf):
-    return _decayed(spark, sf, guest=False)
+    return _decayed(_rows(spark, sf), guest=False)
 
 
 def _blended_sql(stats: str) -> str:
@@ -188,12 +211,14 @@ b AS (SELECT u.user_id AS query_id, p.item_id, {steady('0.8 * coalesce(predicted
 
 @query("blended_recommendations", _blended_sql(_KNOWN), floats=("score",))
 def blended_recommendations(spark, sf):
-    return collaborative.blended(_requests(spark, sf), ratings_agg(spark, sf), _decayed(spark, sf, False), 10)
+    rows = _rows(spark, sf)
+    return collaborative.blended(_requests(rows), rows, _decayed(rows, False), 10)
 
 
 @query("guest_recommendations", _blended_sql(_GUEST), floats=("score",))
 def guest_recommendations(spark, sf):
-    return collaborative.blended(_requests(spark, sf), ratings_agg(spark, sf), _decayed(spark, sf, True), 10)
+    rows = _rows(spark, sf)
+    return collaborative.blended(_requests(rows), rows, _decayed(rows, True), 10)
 
 
 @query("cold_start_recommendations", f"""WITH {RATINGS_AGG},
@@ -208,7 +233,8 @@ def cold_start_recommendations(spark, sf):
 
 @query("both_recommendation_lists")
 def both_recommendation_lists(spark, sf):
-    return collaborative.both_lists(_requests(spark, sf), item_based_recommendations(spark, sf), user_based_recommendations(spark, sf))
+    rows = _rows(spark, sf)
+    return collaborative.both_lists(_requests(rows), _item_based(rows), _user_based(rows))
 
 
 @query("diverse_recommendations")
@@ -287,24 +313,23 @@ cb AS (SELECT query_id, item_id, max(score) AS score FROM lists GROUP BY 1, 2)""
 _COUNTS = "nr AS (SELECT user_id AS query_id, count(*) AS n_ratings FROM ra GROUP BY 1)"
 
 
-def _content_lists(spark, sf):
+def _content_lists(spark, sf, rows):
     near = nearest(_vectors(spark, sf).withColumnRenamed("id", "query_id"), _vectors(spark, sf), 10, skip_self=True)
-    seeds = ratings_agg(spark, sf).filter("rating >= 4").select(F.col("user_id").alias("query_id"), "item_id")
+    seeds = rows.filter("rating >= 4").select(F.col("user_id").alias("query_id"), "item_id")
     lists = near.select(F.col("query_id").alias("item_id"), F.col("id"), "score")
     return seeds.join(lists, "item_id").select("query_id", F.col("id").alias("item_id"), "score")
 
 
-def _user_list(spark, sf):
-    return simple_user_recommendations(spark, sf).select("query_id", "item_id", F.col("predicted_rating").alias("score"))
+def _user_list(rows):
+    return _simple_lists(rows).select("query_id", "item_id", F.col("predicted_rating").alias("score"))
 
 
-def _item_list(spark, sf):
-    lists = cosine_weighted_recommendations(spark, sf)
-    return lists.select("query_id", "item_id", F.col("predicted_rating").alias("score"))
+def _item_list(spark, sf, rows):
+    return _cosine_weighted(spark, sf, rows).select("query_id", "item_id", F.col("predicted_rating").alias("score"))
 
 
-def _counts(spark, sf):
-    return ratings_agg(spark, sf).groupBy(F.col("user_id").alias("query_id")).agg(F.count("*").alias("n_ratings"))
+def _counts(rows):
+    return rows.groupBy(F.col("user_id").alias("query_id")).agg(F.count("*").alias("n_ratings"))
 
 
 _CF = f"{simple_user_lists('ra', 10)}, cf AS (SELECT query_id, item_id, predicted_rating AS score FROM c4)"
@@ -313,12 +338,12 @@ _CF = f"{simple_user_lists('ra', 10)}, cf AS (SELECT query_id, item_id, predicte
 @query("content_only", f"""WITH {RATINGS_AGG}, {VECTORS}, {_CONTENT}
 {top('cb', 'score DESC', 10)}""", floats=("score",))
 def content_only(spark, sf):
-    return hybrid.content_only(_content_lists(spark, sf), 10)
+    return hybrid.content_only(_content_lists(spark, sf, _rows(spark, sf)), 10)
 
 
 @query("z_scored_lists", f"WITH {RATINGS_AGG}, {VECTORS}, {_CONTENT}, {z('cb', 'zc')} SELECT * FROM zc", floats=("score",))
 def z_scored_lists(spark, sf):
-    return hybrid.z_scores(hybrid.best_over_seeds(_content_lists(spark, sf)))
+    return hybrid.z_scores(hybrid.best_over_seeds(_content_lists(spark, sf, _rows(spark, sf))))
 
 
 @query("weighted_hybrid", f"""WITH {RATINGS_AGG}, {VECTORS}, {_CF}, {_CONTENT}, {_COUNTS}, {z('cf', 'za')}, {z('cb', 'zb')},
@@ -328,7 +353,9 @@ r AS (SELECT query_id, item_id, {steady('least(n_ratings / 10, 1.0) * coalesce(a
       FROM mix JOIN nr USING (query_id))
 {top('r', 'score DESC', 10)}""", floats=("score",))
 def weighted_hybrid(spark, sf):
-    return hybrid.weighted_hybrid(_user_list(spark, sf), hybrid.best_over_seeds(_content_lists(spark, sf)), _counts(spark, sf), 10)
+    rows = _rows(spark, sf)
+    best = hybrid.best_over_seeds(_content_lists(spark, sf, rows))
+    return hybrid.weighted_hybrid(_user_list(rows), best, _counts(rows), 10)
 
 
 @query("weighted_or_content", f"""WITH {RATINGS_AGG}, {VECTORS}, {_CF}, {_CONTENT}, {_COUNTS},
@@ -340,7 +367,8 @@ r AS (SELECT query_id, item_id, {steady('least(n_ratings / 10, 1.0) * coalesce(a
       UNION ALL SELECT query_id, item_id, {steady('score', 6)} FROM cb WHERE query_id NOT IN (SELECT query_id FROM has))
 {top('r', 'score DESC', 10)}""", floats=("score",))
 def weighted_or_content(spark, sf):
-    return hybrid.weighted_or_content(_user_list(spark, sf), _content_lists(spark, sf), _counts(spark, sf), 10)
+    rows = _rows(spark, sf)
+    return hybrid.weighted_or_content(_user_list(rows), _content_lists(spark, sf, rows), _counts(rows), 10)
 
 
 @query("switching_hybrid", f"""{_weighted_sql('c', 'CASE WHEN abs(ws) > 1e-12 THEN wr / ws ELSE mean END').replace('SELECT query_id, item_id, CAST', ', il AS (SELECT query_id, item_id, CAST', 1).replace('AS predicted_rating, score, rank FROM w', 'AS score FROM w)')},
@@ -353,4 +381,6 @@ r AS (SELECT query_id, item_id, {steady('(1 - least(n_ratings / 10, 0.5)) * coal
       UNION ALL SELECT query_id, item_id, {steady('score', 6)} FROM cb WHERE query_id NOT IN (SELECT query_id FROM il))
 {top('r', 'score DESC', 10)}""", floats=("score",))
 def switching_hybrid(spark, sf):
-    return hybrid.switching_hybrid(_item_list(spark, sf), _user_list(spark, sf), _content_lists(spark, sf), _counts(spark, sf), 10)
+    rows = _rows(spark, sf)
+    return hybrid.switching_hybrid(_item_list(spark, sf, rows), _user_list(rows), _content_lists(spark, sf, rows),
+                                   _counts(rows), 10)
