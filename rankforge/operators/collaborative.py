@@ -19,6 +19,7 @@ from .neighbours import nearest
 from .ordering import global_positions, top_k
 
 _SALT = 16
+_FIRST_LOOK = 8
 
 
 def item_stats(ratings: DataFrame) -> DataFrame:
@@ -211,14 +212,24 @@ def blended(requests: DataFrame, ratings: DataFrame, predictions: DataFrame, n:
     default = pop.select("item_id", numeric.steady_round(weight * F.col("mean") + share * F.col("popularity"), 6).alias("score"))
     ordered = global_positions(default.withColumn("_down", -F.col("score")), ["_down", "item_id"], "_at")
     taken = requests.select("query_id", "item_id").unionByName(predictions.select("query_id", "item_id")).distinct()
-    needs = taken.groupBy("query_id").agg((F.count("*") + n).alias("_need"))
+    needs = cut_lineage(taken.groupBy("query_id").agg((F.count("*") + n).alias("_need")))
     # Every query asks for the first positions: salt both sides, or those keys would be hot.
     salt = F.pmod(F.xxhash64("query_id"), F.lit(_SALT)).cast("int")
-    asked = needs.select("query_id", salt.alias("_salt"), F.explode(F.sequence(F.lit(0), F.col("_need") - 1)).alias("_at"))
-    salted = ordered.select("_at", "item_id", "score",
-                            F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("_salt"))
-    rest = asked.withColumn("_at", F.col("_at").cast("bigint")).join(salted, ["_at", "_salt"]).select(
-        "query_id", "item_id", "score").join(taken, ["query_id", "item_id"], "left_anti")
+    salted = cut_lineage(ordered.select("_at", "item_id", "score",
+                                        F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))).alias("_salt")))
+
+    def free(wanted: DataFrame) -> DataFrame:
+        asked = wanted.select("query_id", salt.alias("_salt"),
+                              F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_need") - 1)).alias("_at"))
+        return asked.join(salted, ["_at", "_salt"]).select("query_id", "item_id", "score").join(
+            taken, ["query_id", "item_id"], "left_anti")
+
+    # Most queries find n free items within a few times n positions; the others go on to their whole need.
+    few = _FIRST_LOOK * n
+    first = cut_lineage(free(needs.withColumn("_need", F.least(F.col("_need"), F.lit(few).cast("bigint")))))
+    found = first.groupBy("query_id").agg(F.count("*").alias("_free")).filter(F.col("_free") >= n)
+    unfilled = needs.filter(F.col("_need") > few).join(found, "query_id", "left_anti")
+    rest = first.join(unfilled, "query_id", "left_anti").unionByName(free(unfilled))
     return _ranked(scored.unionByName(rest), [F.desc("score")], n)
 
 

@@ -244,8 +244,8 @@ def nearest_in_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.
         q, v = (d.withColumn("vec", l2_normalise(F.col("vec"))) for d in (q, v))
     probes = min(probes, len(centroids))
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * centroids.shape[1] + 16))
-    found = _in_cells(_with_cells(q, centroids, probes, _Q_SCHEMA), _with_cells(spread(v), centroids, 1, _V_SCHEMA),
-                      metric, skip_self, digits, rows)
+    lists = cut_lineage(_with_cells(spread(v), centroids, 1, _V_SCHEMA))  # counted, then searched
+    found = _in_cells(cut_lineage(_with_cells(q, centroids, probes, _Q_SCHEMA)), lists, metric, skip_self, digits, rows)
     return _ranked(found, q, k, metric, min_score)
 
 
@@ -272,7 +272,7 @@ def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8
             yield from out.append_column("cell", pa.array(codes.ravel(), pa.int32())).to_batches()
 
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim + 16))
-    found = _in_cells(q.mapInArrow(sign, _Q_SCHEMA), spread(v).mapInArrow(sign, _V_SCHEMA),
+    found = _in_cells(cut_lineage(q.mapInArrow(sign, _Q_SCHEMA)), cut_lineage(spread(v).mapInArrow(sign, _V_SCHEMA)),
                       metric, skip_self, digits, rows)
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _ranked(once, q, k, metric, min_score)
