@@ -92,7 +92,7 @@ def attach_external(recs: DataFrame, item_map: DataFrame, columns: list[str]) ->
     return recs.join(item_map.select("item_id", *columns), "item_id")
 
 
-def combine_rating_files(ratings: DataFrame, movies: DataFrame, links: DataFrame, key: str = "movieId") -> DataFrame:
+def combine_rating_files(ratings: DataFrame, movies: DataFrame, links: DataFrame, key: str = "item_id") -> DataFrame:
     """Ratings with title, genres and external id; rows without a match on either side vanish."""
     return ratings.join(movies, key).join(links, key)
 
