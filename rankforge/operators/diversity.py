@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import l2_normalise
 from ..session import cut_lineage
+from .ordering import top_k
 
 POOL = 500
 
@@ -48,21 +49,23 @@ def _walk(recs: DataFrame, extra: str, n: int, clashes: Callable) -> DataFrame:
 
 def _diversify(recs: DataFrame, order: list[Column], extra: str, attach: Callable[[DataFrame], DataFrame],
                n: int, pool: int, clashes: Callable) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")
-    ranked = cut_lineage(recs.withColumn("_place", place))
-    short = _walk(attach(ranked.filter(F.col("_place") <= pool)), extra, n, clashes)
-    longer = ranked.groupBy("query_id").agg(F.max("_place").alias("_len")).filter(F.col("_len") > pool)
+    recs = cut_lineage(recs)
+    # The cut to `pool` rows per query happens in each partition, before the shuffle.
+    head = top_k(recs, ["query_id"], order, pool, "_place").withColumn("_place", F.col("_place").cast("bigint"))
+    short = _walk(attach(head), extra, n, clashes)
+    longer = recs.groupBy("query_id").agg(F.count("*").alias("_len")).filter(F.col("_len") > pool)
     if longer.isEmpty():
         kept = short
     else:
         short = cut_lineage(short)
         full = short.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n)
-        open_queries = longer.join(full, "query_id", "left_anti").select("query_id")
-        rest = _walk(attach(ranked.join(open_queries, "query_id", "left_semi")), extra, n, clashes)
+        open_queries = cut_lineage(longer.join(full, "query_id", "left_anti").select("query_id"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")
+        whole = recs.join(open_queries, "query_id", "left_semi").withColumn("_place", place)
+        rest = _walk(attach(whole), extra, n, clashes)
         kept = short.join(open_queries, "query_id", "left_anti").unionByName(rest)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_place"))  # at most n rows per query
-    return kept.withColumn("rank", rank).join(ranked, ["query_id", "item_id", "_place"]).select(
-        *recs.columns, "rank")
+    return kept.withColumn("rank", rank).join(recs, ["query_id", "item_id"]).select(*recs.columns, "rank")
 
 
 def diversify_by_vectors(recs: DataFrame, order: list[Column], vectors: DataFrame, n: int, threshold: float = 0.7,

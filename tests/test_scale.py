@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankforge.operators import co_ratings, diversity, explore, linalg, metrics, neighbours, ordering, splits
-from rankforge.sources import embedding_vectors, ratings, ratings_agg
+from rankforge.sources import embedding_vectors, ratings_agg
 
 
 def skewed(spark, n=3000):
