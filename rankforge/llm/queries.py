@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, sharding
+from . import ann_blocks, bpe, chat, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +56,38 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(24 + length(role) + length(text) + CASE WHEN clash THEN marks ELSE 0 END) AS BIGINT) AS formatted_chars,
        CAST(max(CAST(clash AS INTEGER)) AS INTEGER) AS level, TRUE AS round_trips
 FROM e GROUP BY conv_id"""
+
+
+@_query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all other vectors for every vector whose id is divisible by 100."""
+    base = _table(spark, sf_dir, "embeddings")
+    return ann_blocks.nearest_neighbours(base.filter("vec_id % 100 = 0"), base, "vec_id", "embedding", 10)
+
+
+SQL["op4_nearest_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.vec, v.vec) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.vec) = len(q.vec))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
+
+
+def _bytes_vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _bytes_vocabulary())
+
+
+@_query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)

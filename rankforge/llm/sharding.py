@@ -21,9 +21,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, shared_dir
+from .positions import numbered
 
 SLOTS = 4096
 _TEXT_SPLIT, _ID_SPLIT = 256, 256
@@ -115,22 +116,6 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/version={version}").withColumn("map_version", F.lit(version))
 
 
-def numbered(placed: DataFrame) -> DataFrame:
-    """Position of each row in its shard, without gaps from 0.
-
-    Rows are numbered inside (shard, hash of doc_id) chunks; only one count per chunk is added up.
-    """
-    spark = placed.sparkSession
-    chunks = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)))
-    before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy("shard", "_chunk").agg(F.count("*").alias("_n"))
-              .select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    inside = Window.partitionBy("shard", "_chunk").orderBy("doc_id", "text_crc32")
-    return (placed.withColumn("_row", F.row_number().over(inside) - 1).join(starts, ["shard", "_chunk"])
-            .withColumn("slot", (F.col("_start") + F.col("_row")).cast("long")).drop("_row", "_start", "_chunk"))
-
-
 def shard_documents(docs: DataFrame, shards: int = 16, folder: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, map_version, slot): near equal bytes per shard."""
     spark = docs.sparkSession
@@ -141,4 +126,4 @@ def shard_documents(docs: DataFrame, shards: int = 16, folder: str | None = None
     save_map(spark, folder, 2, rebalanced(first, sizes, shards), sizes)
     current = load_map(spark, folder, 2).select("virtual_slot", "shard", "map_version")
     placed = slots.rows.join(F.broadcast(current), "virtual_slot")  # one row per slot, bounded by SLOTS and its splits
-    return numbered(placed).drop("_h1", "_h2")
+    return numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot").drop("_h1", "_h2")
