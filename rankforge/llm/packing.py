@@ -65,28 +65,68 @@ class Pattern:
     copies: int
 
 
-def _best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Knapsack: the pieces of largest total price that fit into `room`, each as often as it fits."""
-    best, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for w in range(1, room + 1):
-        fit = int(np.searchsorted(sizes, w, side="right"))
-        best[w] = best[w - 1]
-        if fit:
-            worth = best[w - sizes[:fit]] + prices[:fit]
-            i = int(np.argmax(worth))
-            if worth[i] > best[w] + 1e-12:
-                best[w], choice[w] = worth[i], i
-    uses, w = np.zeros(len(sizes), dtype=np.int64), room
-    while w > 0:
-        if choice[w] < 0:
-            w -= 1
-        else:
-            uses[choice[w]] += 1
-            w -= sizes[choice[w]]
-    return float(best[room]), uses
-
-
-def cutting_patterns(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = 2e-4) -> list[Pattern]:
+class _Knapsack:
+    """Dynamic program over room: the best of w is the best of u and of w - u, for every u.
+
+    Each round doubles the number of pieces a pattern may hold, and it ends when a round adds nothing.
+    """
+
+    def __init__(self, sizes: np.ndarray, room: int):
+        self.sizes, self.room = sizes, room
+        w, u = np.arange(room + 1)[:, None], np.arange(room // 2 + 1)[None, :]
+        self.rest = np.where(u <= w, w - u, 0)
+        self.outside = u > w
+        self.fits = np.searchsorted(sizes, np.arange(room + 1), side="right")
+
+    def best(self, prices: np.ndarray) -> tuple[float, np.ndarray]:
+        top = np.concatenate(([0], np.maximum.accumulate(prices)))
+        value, cuts = top[self.fits], []
+        while True:
+            sums = value[None, :self.room // 2 + 1] + value[self.rest]
+            sums[self.outside] = -1
+            cut = sums.argmax(axis=1)
+            better = sums[np.arange(self.room + 1), cut]
+            gained = better > value + 1e-12
+            if not gained.any():
+                break
+            cuts.append(np.where(gained, cut, 0))
+            value = np.where(gained, better, value)
+        rooms = [self.room]
+        for cut in reversed(cuts):
+            rooms = [part for w in rooms for part in ((int(cut[w]), w - int(cut[w])) if cut[w] else (w,))]
+        uses = np.zeros(len(self.sizes), dtype=np.int64)
+        for w in rooms:
+            fit = int(self.fits[w])
+            if fit and prices[:fit].max() > 0:
+                uses[int(np.argmax(prices[:fit]))] += 1
+        return float(value[self.room]), uses
+
+
+def _first_basis(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A pattern per class, led by that class and filled with smaller ones, largest first, while they last."""
+    m, left = len(sizes), counts.astype(float)
+    basis, amount = [np.zeros(0)] * m, np.zeros(m)
+    for i in range(m - 1, -1, -1):
+        uses, space = np.zeros(m, dtype=np.int64), room
+        x = left[i]
+        uses[i] = 1
+        if x > 0 and i > 0:
+            space -= int(sizes[i])
+            for j in range(min(i, int(np.searchsorted(sizes, space, side="right"))) - 1, -1, -1):
+                fill = min(space // int(sizes[j]), int(left[j] // x))
+                if fill > 0:
+                    uses[j] = fill
+                    space -= fill * int(sizes[j])
+        if uses.sum() == 1:
+            uses[i] = room // int(sizes[i])
+            x = left[i] / uses[i]
+        left -= x * uses
+        left = np.maximum(left, 0)
+        basis[i], amount[i] = uses, x
+    return basis, amount
+
+
+def cutting_patterns(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = 1e-3) -> list[Pattern]:
     """Patterns that use every class exactly `counts` times. `sizes` ascend and are at most `room`.
 
     The linear program ends at the optimum, or once the value is within `gap` of the bound that the
@@ -95,13 +135,12 @@ def cutting_patterns(sizes: np.ndarray, counts: np.ndarray, room: int, gap: floa
     m = len(sizes)
     if m == 0:
         return []
-    fits = room // sizes
-    basis = [np.where(np.arange(m) == i, fits, 0) for i in range(m)]
-    inverse = np.diag(1.0 / fits)
-    amount = counts / fits
+    basis, amount = _first_basis(sizes, counts, room)
+    inverse = np.linalg.inv(np.array(basis, dtype=float).T)
+    knapsack = _Knapsack(sizes, room)
     for _ in range(60 * m):
         prices = np.maximum(inverse.sum(axis=0), 0)
-        value, uses = _best_pattern(sizes, prices, room)
+        value, uses = knapsack.best(prices)
         if value <= 1 + max(gap, 1e-9):
             break
         step = inverse @ uses
