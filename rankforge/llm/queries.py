@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_blocks, bpe, chat, packing, quality, sharding
+from . import ann_blocks, bpe, chat, packing, quality, sharding, url_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, score and verdict of every document."""
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@_query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or propagated verdict of every page."""
+    return url_graph.judge(_table(spark, sf_dir, "pages"), URL_RULES)
