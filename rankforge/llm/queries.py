@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_blocks, bpe, chat, packing, quality, sharding, url_graph
+from . import ann_blocks, bpe, chat, packing, quality, sharding, substring, url_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,9 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or propagated verdict of every page."""
     return url_graph.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that occur earlier."""
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), digests=True)
