@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_blocks, bpe, chat, packing, quality, sharding, substring, url_graph
+from . import ann_blocks, bpe, chat, ngram_join, packing, quality, sharding, substring, url_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word windows that occur earlier."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), digests=True)
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity 0.75 on five-word shingles."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
