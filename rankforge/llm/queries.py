@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_blocks, bpe, chat, ngram_join, packing, quality, sharding, substring, url_graph
+from . import ann_blocks, bpe, chat, ngram_join, packing, quality, sharding, substring, toxicity, url_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,3 +120,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of Jaccard similarity 0.75 on five-word shingles."""
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels of held-out rows are not learnt."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id"))))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
