@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .kernels import Slice, mixed, slices, window_hashes, windows_inside, word_hashes, words
 
@@ -213,8 +213,9 @@ def probability(margin: np.ndarray, model: Model) -> np.ndarray:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the base counts, base_failed, score and kept for every row."""
+def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, score and kept for every row. `carry`: other columns to keep, as they are."""
+    carry = carry or []
     shared = docs.sparkSession.sparkContext.broadcast(
         Model(model.weights.astype(np.float32), model.intercept, model.a, model.b))  # KINDS * 2 ** BITS numbers
 
@@ -227,9 +228,10 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(piece.first, piece.texts), *[pa.array(counts[c], pa.int64()) for c in _COUNTS],
-                     pa.array(failed), pa.array(score, pa.float64()), pa.array(~failed & (score >= threshold))],
-                    names=["doc_id", *_COUNTS, "base_failed", "score", "kept"])
+                     pa.array(failed), pa.array(score, pa.float64()), pa.array(~failed & (score >= threshold)),
+                     *[c.slice(piece.first, piece.texts) for c in batch.columns[2:]]],
+                    names=["doc_id", *_COUNTS, "base_failed", "score", "kept", *carry])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, base_failed boolean, score double, kept boolean")
+    made = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("base_failed", T.BooleanType()),
+                         T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType()), *[docs.schema[c] for c in carry]])
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, made)

@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
 from .kernels import slices, window_hashes, windows_inside, word_hashes, words
@@ -151,12 +151,12 @@ def _hits(probes: DataFrame) -> DataFrame:
     return probes.groupBy("bucket").applyInArrow(meet, _BACK)
 
 
-def _texts(table: pa.Table, id_type=None):
-    """Rows of a chunk in order of (doc_id, text): ids and texts."""
+def _texts(table: pa.Table):
+    """Rows of a chunk in order of (doc_id, text): ids, texts and the order itself."""
     ids = table.column("_id").to_pylist()
     texts = [t or "" for t in table.column("_text").to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return [ids[i] for i in order], [texts[i] for i in order], order
 
 
 def _windows(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
@@ -223,14 +223,15 @@ def marked(piece, found: np.ndarray, stays: np.ndarray, width: int, seen: set):
     return starts, ends, edges, np.cumsum(removed)[:len(starts)] > 0
 
 
-def _cleaned(docs: DataFrame, repeats: DataFrame, width: int, digests: bool) -> DataFrame:
+def _cleaned(docs: DataFrame, repeats: DataFrame, width: int, digests: bool, carry: list[str]) -> DataFrame:
     last = "kept_sha256 string" if digests else "kept_text string, removed array<struct<start:long,length:long>>"
+    made = T.StructType([*T.StructType.fromDDL(f"_id long, n_words long, n_removed long, {last}").fields, *[docs.schema[c] for c in carry]])
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         found, stays = _joined(right, "keys", np.uint64), _joined(right, "flags", np.uint8)
         order = np.argsort(found)
         found, stays, seen = found[order], stays[order], set()
-        ids, texts = _texts(left) if left.num_rows else ([], [])
+        ids, texts, placed = _texts(left) if left.num_rows else ([], [], [])
         counts, gone, kept, spans = [], [], [], []
         for piece in slices(pa.array(texts, pa.string())):
             starts, ends, edges, removed = marked(piece, found, stays, width, seen)
@@ -252,22 +253,23 @@ def _cleaned(docs: DataFrame, repeats: DataFrame, width: int, digests: bool) ->
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0]))))
                     spans.append([{"start": s, "length": e - s} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())])
         out = {"_id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
+        others = {c: left.column(c).take(pa.array(placed, pa.int64())) for c in carry}
         if digests:
-            return pa.table(out | {"kept_sha256": pa.array(kept, pa.string())})
+            return pa.table(out | {"kept_sha256": pa.array(kept, pa.string())} | others)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table(out | {"kept_text": pa.array(kept, pa.string()), "removed": pa.array(spans, kind)})
+        return pa.table(out | {"kept_text": pa.array(kept, pa.string()), "removed": pa.array(spans, kind)} | others)
 
-    return docs.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(
-        clean, f"_id long, n_words long, n_removed long, {last}")
+    return docs.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(clean, made)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, digests: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, and kept_text with the removed spans (in words), or the digest of the kept words.
 
-    kept_text is the text itself where nothing is removed, else the kept words joined by blanks.
+    kept_text is the text itself where nothing is removed, else the kept words joined by blanks. `carry`: other columns
+    to keep, as they are.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *(carry or []))
     hits = cut_lineage(_hits(_probes(source, width)))
-    chunked = source.selectExpr(f"{_CHUNK} AS chunk", "_id", "_text")
-    out = _cleaned(chunked, _repeats(_windows(chunked, hits, width)), width, digests)
+    chunked = source.withColumn("chunk", F.expr(_CHUNK))
+    out = _cleaned(chunked, _repeats(_windows(chunked, hits, width)), width, digests, carry or [])
     return out.withColumnRenamed("_id", "doc_id")

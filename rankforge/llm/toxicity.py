@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_ROWS, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 60_000, 160, 0.6, 24
 _LIFT, _LEAST = 6.0, 4
@@ -297,11 +297,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
                  prior=counts.get(1, 0) / max(1, sum(counts.values())))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score, margin) of every row: the probability, and the worst unit's margin."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, score, margin) of every row: the probability, and the worst unit's margin. `carry`: other columns to keep, as they are."""
+    carry = carry or []
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("margin"))
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("margin"), *carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # _KINDS ** 3 numbers
 
     def run(batches):
@@ -337,10 +337,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     size = 0
             finish()
             inputs = np.array(out).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(fitted, inputs), pa.float64()), pa.array(inputs[:, 0], pa.float64())],
-                                             names=["doc_id", "score", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(fitted, inputs), pa.float64()), pa.array(inputs[:, 0], pa.float64()),
+                                              *batch.columns[2:]], names=["doc_id", "score", "margin", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, margin double")
+    made = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()),
+                         *[docs.schema[c] for c in carry]])
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, made)
 
 
 def held_out(doc_id: str) -> Column:
