@@ -10,9 +10,9 @@ of the strip. Spark merges the strips. The result is exact, ties included.
 Rows sent: candidates times query blocks, queries times strips; rows back: k per query and strip.
 
 Defined results: vectors that are null, empty, all zero or hold a null or a non-finite number take no part;
-vectors are compared with those of the same length; repeated ids are different rows, but a row
-is never a neighbour of a query with its own id; fewer candidates than k give fewer rows; an empty
-table gives none.
+vectors are compared with those of the same length; repeated candidate ids are different rows, query rows of one id share
+one list, and a row is never a neighbour of a query with its own id; fewer candidates than k give fewer rows; an
+empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
