@@ -69,7 +69,7 @@ def filter_recommendations(recs: DataFrame, item_map: DataFrame, media_type: str
     overlap = F.arrays_overlap(spoken, F.array(*[F.lit(x.lower()) for x in wanted]))
     passes = overlap if strict else overlap | (F.size(spoken) == 0)
     allowed = item_map.filter((F.col("media_type") == kind) & passes)
-    out = recs.join(allowed.select("item_id"), "item_id", "left_semi")
+    out = recs.join(allowed.select("item_id").distinct(), "item_id", "left_semi")
     if excluded is not None:
         out = out.join(excluded.select("item_id"), "item_id", "left_anti")
     return out

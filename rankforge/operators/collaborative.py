@@ -1,4 +1,4 @@
-"""Collaborative recommenders; each answers a whole table of requests in one job.
+"""Collaborative methods; each answers a whole table of requests in one job.
 
 `ratings(user_id, item_id, rating[, ts])` holds one row per pair. `requests(query_id, item_id,
 rating)` are the ratings a query comes with. Neighbour tables have the shape `nearest` returns:
@@ -110,11 +110,11 @@ def active_means(requests: DataFrame) -> DataFrame:
 
 
 def user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n: int = 20,
-               min_similarity: float = 0.1, n_neighbours: int = 50, candidates: int = 500,
+               min_similarity: float = 0.1, n_neighbours: int = 50, candidates: int | None = None,
                diversity: float | None = None, item_vectors: DataFrame | None = None) -> DataFrame:
-    """User-based prediction over the best `candidates` items of the nearest users.
+    """User-based prediction over the items of the nearest users.
 
-    Confidence below 0.3 blends the prediction with active mean + item bias.
+    `candidates` keeps only so many per query, by rating, similarity and popularity; unset, all are predicted. Confidence below 0.3 blends the prediction with active mean + item bias.
     """
     stats = item_stats(ratings)
     near = neighbours.filter((F.col("score") >= min_similarity) & (F.col("rank") <= n_neighbours)).withColumn(
@@ -124,7 +124,9 @@ def user_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n
         F.sum(F.col("rating") * F.col("sim")).alias("rs"), F.sum(F.col("dev") * F.col("sim")).alias("ds"),
         F.sum("sim").alias("ss"), F.count("*").alias("k")).join(stats, "item_id")
     score = numeric.steady_round(F.col("rs") * F.least(F.log(F.col("item_count") + 1), F.lit(3.0)), 6)
-    best = top_k(sums.withColumn("_score", score), ["query_id"], [F.desc("_score"), F.asc("item_id")], candidates, "_r")
+    best = sums
+    if candidates is not None:
+        best = top_k(sums.withColumn("_score", score), ["query_id"], [F.desc("_score"), F.asc("item_id")], candidates, "_r")
     pop = F.least(F.col("item_count") / 10, F.lit(2.0))
     conf = (F.col("ss") * pop / F.col("k") * F.least(F.col("k") / 8, F.lit(1.0))
             * F.least(F.col("item_count") / 20, F.lit(1.0)))
@@ -246,20 +248,24 @@ def cold_start(queries: DataFrame, ratings: DataFrame, n: int = 10) -> DataFrame
 # ---- vector methods -------------------------------------------------------------------------------
 
 def query_vectors(requests: DataFrame, vectors: DataFrame, weight: Column | None = None) -> DataFrame:
-    """`(query_id, vec, n_seeds)`: (weighted) mean vector of the items of each query."""
+    """`(query_id, vec, n_seeds, seeds)`: (weighted) mean vector of the known items of each query, and all its items."""
     known = requests.join(vectors.select(F.col("id").alias("item_id"), "vec"), "item_id")
-    return known.groupBy("query_id").agg(
+    means = known.groupBy("query_id").agg(
         mean_vector(F.col("vec"), weight).alias("vec"), F.count("*").cast("int").alias("n_seeds"))
+    return means.join(_seeds(requests), "query_id")
 
 
-def _drop_seeds(found: DataFrame, requests: DataFrame) -> DataFrame:
-    return _without_rated(found.withColumnRenamed("id", "item_id").drop("rank"), requests)
+def _seeds(requests: DataFrame) -> DataFrame:
+    return requests.groupBy("query_id").agg(F.collect_set("item_id").alias("seeds"))
+
+
+def _listed(found: DataFrame, n: int) -> DataFrame:
+    return _ranked(found.withColumnRenamed("id", "item_id").drop("rank"), [F.desc("score")], n)
 
 
 def similar_to_seeds(requests: DataFrame, vectors: DataFrame, n: int = 10, min_similarity: float = 0.1) -> DataFrame:
-    """Nearest items of the mean vector: 2n are searched, the seeds dropped, n kept."""
-    found = nearest(query_vectors(requests, vectors), vectors, 2 * n, min_score=min_similarity)
-    return _ranked(_drop_seeds(found, requests), [F.desc("score")], n)
+    """Nearest n items of the mean vector that are not seeds."""
+    return _listed(nearest(query_vectors(requests, vectors), vectors, n, min_score=min_similarity, skip="seeds"), n)
 
 
 def seed_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10, min_similarity: float = 0.1,
@@ -267,12 +273,11 @@ def seed_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10, min_simi
     """Nearest items of the mean vector, with ratings predicted from their cosine to each seed.
 
     Weights are softmax of the cosines, or the cosines themselves (`linear`; the mean rating when
-    they sum to 0). `found` replaces the exact search, for example by one in cells.
+    they sum to 0). `found` replaces the exact search, for example by one in cells that skips the seeds.
     """
     if found is None:
-        means = query_vectors(requests, vectors).withColumn("k", F.col("n_seeds") + n)
-        found = nearest(means, vectors, "k", min_score=min_similarity)
-    best = _ranked(_drop_seeds(found, requests), [F.desc("score")], n)
+        found = nearest(query_vectors(requests, vectors), vectors, n, min_score=min_similarity, skip="seeds")
+    best = _listed(found, n)
     of_item = vectors.select(F.col("id").alias("item_id"), "vec")
     seeds = requests.join(of_item, "item_id").select("query_id", F.col("vec").alias("seed_vec"), "rating")
     both = best.join(of_item, "item_id").join(seeds, "query_id").withColumn("_cos", cosine(F.col("vec"), F.col("seed_vec")))
@@ -285,8 +290,7 @@ def seed_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10, min_simi
 
 def rating_weighted(requests: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
     """Nearest items of the rating-weighted mean vector, predicted at the mean given rating."""
-    means = query_vectors(requests, vectors, F.col("rating")).withColumn("k", F.col("n_seeds") + n)
-    best = _ranked(_drop_seeds(nearest(means, vectors, "k"), requests), [F.desc("score")], n)
+    best = _listed(nearest(query_vectors(requests, vectors, F.col("rating")), vectors, n, skip="seeds"), n)
     return best.join(active_means(requests), "query_id").select(
         "query_id", "item_id", F.when(F.col("score") != 0, numeric.steady_round("active_mean", 2)).otherwise(0.0).alias("predicted_rating"),
         numeric.steady_round("score", 4).alias("score"), "rank")
@@ -316,13 +320,10 @@ def factor_recommend(requests: DataFrame, model: dict[str, DataFrame], dim: int,
     The item bias rides along as one more dimension, so the search is one by inner product.
     """
     users = cut_lineage(mf.fold_in(requests, model, dim))
-    counts = requests.groupBy("query_id").agg((F.count("*") + n).cast("int").alias("k"))
-    queries = users.join(counts, "query_id").select(
-        "query_id", F.concat("vec", F.array(F.lit(1.0))).alias("vec"), "k", "user_bias")
+    queries = users.join(_seeds(requests), "query_id").select("query_id", F.concat("vec", F.array(F.lit(1.0))).alias("vec"), "seeds")
     base = model["item_factors"].join(model["item_bias"], "item_id").select(
         F.col("item_id").alias("id"), F.concat("vec", F.array("item_bias")).alias("vec"))
-    found = _drop_seeds(nearest(queries.drop("user_bias"), base, "k", metric="dot"), requests)
-    best = _ranked(found, [F.desc("score")], n)
+    best = _listed(nearest(queries, base, n, metric="dot", skip="seeds"), n)
     total = model["mean"].scalar() + F.col("user_bias") + F.col("score")
     return best.join(users.select("query_id", "user_bias"), "query_id").select(
         "query_id", "item_id", numeric.steady_round(total, 6).alias("score"), "rank")
@@ -331,8 +332,7 @@ def factor_recommend(requests: DataFrame, model: dict[str, DataFrame], dim: int,
 def factor_similar(requests: DataFrame, model: dict[str, DataFrame], n: int = 10) -> DataFrame:
     """Items with the largest inner product with the mean factors of the seeds, seeds left out."""
     base = model["item_factors"].withColumnRenamed("item_id", "id")
-    means = query_vectors(requests, base).withColumn("k", F.col("n_seeds") + n)
-    return _ranked(_drop_seeds(nearest(means, base, "k", metric="dot"), requests), [F.desc("score")], n)
+    return _listed(nearest(query_vectors(requests, base), base, n, metric="dot", skip="seeds"), n)
 
 
 def both_lists(requests: DataFrame, item_lists: DataFrame, user_lists: DataFrame) -> DataFrame:

@@ -1,56 +1,62 @@
-"""Content-based recommenders over item vectors `(id, vec)` and an item map.
+"""Content-based suggestions over item vectors `(id, vec)` and an item map.
 
 `item_map(item_id, ext_id, media_type, spoken_languages, title)`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric, text
 from ..functions.vectors import max_vector, mean_vector
 from .cleaning import filter_recommendations
 from .explore import request_majority
-from .neighbours import nearest
-from .ordering import extend_ids, top_k
+from ..session import cut_lineage
+from .neighbours import nearest, nearest_within
+from .ordering import dense_ids, extend_ids, top_k
 
 
 def _finish(found: DataFrame, n: int, key: str = "similarity") -> DataFrame:
     return top_k(found, ["query_id"], [F.desc(key), F.asc("item_id")], n)
 
 
+def _allowed(vectors: DataFrame, item_map: DataFrame, media_type: str | None, languages: list[str] | None,
+             strict: bool = False) -> DataFrame:
+    """Vectors of the items a request may get; filtered before the search, so lists are short only if items are few."""
+    kept = filter_recommendations(vectors.withColumnRenamed("id", "item_id"), item_map, media_type, languages, strict=strict)
+    return kept.withColumnRenamed("item_id", "id")
+
+
+def _similarities(found: DataFrame, n: int) -> DataFrame:
+    return _finish(found.select("query_id", F.col("id").alias("item_id"),
+                                numeric.similarity(F.col("score"), "cosine").alias("similarity")), n)
+
+
 def similar_items(queries: DataFrame, vectors: DataFrame, item_map: DataFrame, n: int = 10,
                   media_type: str | None = None, languages: list[str] | None = None) -> DataFrame:
-    """Items like one known item each: `queries(query_id, item_id)`.
-
-    2n + 1 are searched, the item itself is dropped, then media type and language are filtered.
-    """
+    """Items like one known item each, of the media type and languages wanted: `queries(query_id, item_id)`."""
     asked = queries.join(vectors.select(F.col("id").alias("item_id"), "vec"), "item_id")
-    found = nearest(asked.select("query_id", "vec"), vectors, 2 * n + 1).select(
-        "query_id", F.col("id").alias("item_id"), numeric.similarity(F.col("score"), "cosine").alias("similarity"))
-    others = found.join(queries, ["query_id", "item_id"], "left_anti")
-    return _finish(filter_recommendations(others, item_map, media_type, languages), n)
+    asked = asked.select("query_id", "vec", F.array("item_id").alias("own"))
+    return _similarities(nearest(asked, _allowed(vectors, item_map, media_type, languages), n, skip="own"), n)
 
 
 def similar_to_vectors(queries: DataFrame, vectors: DataFrame, item_map: DataFrame, n: int = 10,
                        media_type: str | None = None, languages: list[str] | None = None,
-                       strict: bool = False, search: int = 3) -> DataFrame:
+                       strict: bool = False) -> DataFrame:
     """Items like given feature vectors `(query_id, vec)`, of unknown items or custom metadata.
 
     `strict` drops items without a language, as discovery does. Nothing is stored.
     """
-    found = nearest(queries, vectors, search * n).select(
-        "query_id", F.col("id").alias("item_id"), numeric.similarity(F.col("score"), "cosine").alias("similarity"))
-    return _finish(filter_recommendations(found, item_map, media_type, languages, strict=strict), n)
+    return _similarities(nearest(queries, _allowed(vectors, item_map, media_type, languages, strict), n), n)
 
 
 def similar_to_several(queries: DataFrame, vectors: DataFrame, item_map: DataFrame, n: int = 10,
                        weights: tuple[float, float, float] = (0.5, 0.25, 0.25)) -> DataFrame:
     """Items like several known ones: `queries(query_id, item_id)`.
 
-    The lists of each item, of the mean vector and of the max-pooled vector (3n each) are added up
-    with `weights`; the 3n best less the inputs are filtered by the most common media type and all
-    languages of the inputs.
+    Candidates are of the most common media type and of all languages of the inputs (or of no known
+    language), less the inputs. The lists of each item, of the mean vector and of the max-pooled vector
+    (the best 3n each) are added up with `weights`. Media type and language are the cells of the search.
     """
     known = queries.join(vectors.select(F.col("id").alias("item_id"), "vec"), "item_id")
     # One search for all three kinds: each kind of each query gets its own search id.
@@ -60,22 +66,32 @@ def similar_to_several(queries: DataFrame, vectors: DataFrame, item_map: DataFra
     several = (single.withColumn("vec", F.col("vec").cast("array<double>"))
                .unionByName(pooled.select("query_id", F.col("a").alias("vec"), F.lit(weights[1]).alias("w"), none, F.lit(1).alias("_k")))
                .unionByName(pooled.select("query_id", F.col("m").alias("vec"), F.lit(weights[2]).alias("w"), none, F.lit(2).alias("_k"))))
-    several = several.withColumn("_search", F.xxhash64("query_id", "_s", "_k"))
-    found = nearest(several.select(F.col("_search").alias("query_id"), "vec"), vectors, 3 * n)
+    keys = ["query_id", "_s", "_k"]
+    several = cut_lineage(several.join(dense_ids(several, keys, "_search"), keys))
+
+    def spoken(c: str) -> Column:
+        return text.name_list(F.lower(F.col(c)))
+
+    inputs = queries.join(item_map.select("item_id", "media_type", "spoken_languages"), "item_id")
+    kind = request_majority(inputs, "media_type").filter(F.col("rank") == 1).select("query_id", F.col("value").alias("_kind"))
+    wanted = inputs.select("query_id", F.explode(spoken("spoken_languages")).alias("x")).groupBy(
+        "query_id").agg(F.collect_set("x").alias("_wanted"))
+    # A language is a cell of its media type; so is no language, and all of them for inputs that name none.
+    cells = F.when(F.col("_wanted").isNull(), F.array(F.lit("*"))).otherwise(F.concat(F.col("_wanted"), F.array(F.lit(""))))
+    asked = several.join(kind, "query_id").join(wanted, "query_id", "left").join(
+        queries.groupBy("query_id").agg(F.collect_set("item_id").alias("own")), "query_id")
+    asked = asked.withColumn("_lang", F.explode(cells)).select(
+        F.col("_search").alias("query_id"), "vec", "own", F.concat_ws("|", "_kind", "_lang").alias("cell"))
+    own = F.concat(F.when(F.size(spoken("spoken_languages")) > 0, F.array_distinct(spoken("spoken_languages"))).otherwise(
+        F.array(F.lit(""))), F.array(F.lit("*")))
+    base = vectors.join(item_map.select(F.col("item_id").alias("id"), "media_type", F.explode(own).alias("_lang")), "id").select(
+        "id", "vec", F.concat_ws("|", "media_type", "_lang").alias("cell"))
+    found = nearest_within(asked, base, 3 * n, skip="own")
     labelled = found.select(F.col("query_id").alias("_search"), F.col("id").alias("item_id"),
                             numeric.similarity(F.col("score"), "cosine").alias("s")).join(
         several.select("_search", "query_id", "w"), "_search")
     combined = labelled.groupBy("query_id", "item_id").agg(numeric.steady_round(F.sum(F.col("s") * F.col("w")), 6).alias("similarity"))
-    best = _finish(combined, 3 * n).drop("rank").join(queries, ["query_id", "item_id"], "left_anti")
-    inputs = queries.join(item_map.select("item_id", "media_type", "spoken_languages"), "item_id")
-    kind = request_majority(inputs, "media_type").filter(F.col("rank") == 1).select("query_id", F.col("value").alias("_kind"))
-    spoken = inputs.select("query_id", F.explode(text.name_list(F.lower("spoken_languages"))).alias("x")).groupBy(
-        "query_id").agg(F.collect_set("x").alias("_wanted"))
-    rows = best.join(item_map.select("item_id", "media_type", "spoken_languages"), "item_id").join(kind, "query_id").join(
-        spoken, "query_id", "left")
-    own = text.name_list(F.lower("spoken_languages"))
-    passes = F.arrays_overlap(own, "_wanted") | (F.size(own) == 0) | F.col("_wanted").isNull()
-    return _finish(rows.filter((F.col("media_type") == F.col("_kind")) & passes).select("query_id", "item_id", "similarity"), n)
+    return _finish(combined, n)
 
 
 def with_percent(found: DataFrame, queries: DataFrame, n: int) -> DataFrame:

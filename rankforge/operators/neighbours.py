@@ -1,8 +1,10 @@
 """Nearest neighbours over dense vectors: exact block join, inverted cells, sign hashing.
 
-All three share one kernel. Query and base rows that may meet are put into cells; a cell larger
+All share one kernel. Query and base rows that may meet are put into cells; a cell larger
 than a block is cut into blocks on both sides, so that no task ever holds more than two blocks,
-and each pair of blocks sends on only its own best k per query.
+and each pair of blocks sends on only its own best k per query. Ids a query must not get (`skip`)
+are left out inside the kernel, so k good ones are found whenever there are so many. Null vectors and
+such with null or non-finite numbers take no part.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,7 +67,26 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
-def _block_best(q_ids, q, k, v_ids, v, metric, skip_self, digits):
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a list column one after another, and the row each belongs to; null is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0)]).astype(np.int64)
+    return flat, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _leave_out(scores: np.ndarray, first: int, v_ids: np.ndarray, skip: tuple[np.ndarray, np.ndarray]) -> None:
+    """Unset the scores of the (query row, id) pairs in `skip` for the strip that begins at row `first`."""
+    ids, rows = skip
+    part = slice(*np.searchsorted(rows, [first, first + len(scores)]))
+    ids, rows = ids[part], rows[part] - first
+    order = np.argsort(v_ids, kind="stable")
+    low, high = (np.searchsorted(v_ids[order], ids, side=s) for s in ("left", "right"))
+    for step in range(int((high - low).max(initial=0))):  # once, as ids are unique in the base
+        there = low + step < high
+        scores[rows[there], order[(low + step)[there]]] = -np.inf
+
+
+def _block_best(q_ids, q, k, v_ids, v, metric, skip_self, digits, skip):
     """(query ids, base ids, scores) of the best k per query between two blocks."""
     if metric == "cosine":
         q, v = _unit(q), _unit(v)
@@ -75,6 +97,8 @@ def _block_best(q_ids, q, k, v_ids, v, metric, skip_self, digits):
         scores = _scored(q[part], v, metric, digits)
         if skip_self:
             scores[q_ids[part][:, None] == v_ids[None, :]] = -np.inf
+        if len(skip[0]):
+            _leave_out(scores, at, v_ids, skip)
         rows, cols = best_per_row(scores, v_ids, k[part])
         found.append((q_ids[part][rows], v_ids[cols], scores[rows, cols]))
     return [np.concatenate(x) for x in zip(*found)]
@@ -88,15 +112,19 @@ def _result(q_ids, v_ids, scores) -> pa.Table:
 _NOTHING = _result([], [], [])
 
 
-def _queries(queries: DataFrame, k: int | str) -> DataFrame:
+def _queries(queries: DataFrame, k: int | str, skip: str | None = None, others: tuple[str, ...] = ()) -> DataFrame:
     """The query side, written once: its size is checked, it is searched with, and joined to the result."""
     wanted = F.col(k) if isinstance(k, str) else F.lit(k)
-    return cut_lineage(queries.select(F.col("query_id").cast("bigint"), doubles(F.col("vec")).alias("vec"),
-                                      wanted.cast("int").alias("k")))
+    return cut_lineage(_sound(queries).select(F.col("query_id").cast("bigint"), doubles(F.col("vec")).alias("vec"), wanted.cast("int").alias("k"),
+                                              (F.col(skip) if skip else F.lit(None)).cast("array<bigint>").alias("skip"), *others))
 
 
-def _base(base: DataFrame) -> DataFrame:
-    return base.select(F.col("id").cast("bigint"), doubles(F.col("vec")).alias("vec"))
+def _sound(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("vec").isNotNull() & ~has_bad_value(F.col("vec")))
+
+
+def _base(base: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    return _sound(base).select(F.col("id").cast("bigint"), doubles(F.col("vec")).alias("vec"), *others)
 
 
 def _dimension(df: DataFrame) -> int:
@@ -109,11 +137,11 @@ def _against_small(queries: DataFrame, base: DataFrame, metric: str, skip_self:
     rows = queries.toArrow()
     if rows.num_rows == 0:
         return queries.sparkSession.createDataFrame([], _OUT)
-    packed = (_numbers(rows["query_id"]), _matrix(rows["vec"]), _numbers(rows["k"]))
+    packed = (_numbers(rows["query_id"]), _matrix(rows["vec"]), _numbers(rows["k"]), _lists(rows["skip"]))
     shared = queries.sparkSession.sparkContext.broadcast(packed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q, k = shared.value
+        q_ids, q, k, skip = shared.value
         order = np.argsort(q_ids, kind="stable")
         limit = k[order]
         best = None
@@ -121,7 +149,7 @@ def _against_small(queries: DataFrame, base: DataFrame, metric: str, skip_self:
             if batch.num_rows == 0:
                 continue
             data = pa.Table.from_batches([batch])
-            new = _block_best(q_ids, q, k, _numbers(data["id"]), _matrix(data["vec"]), metric, skip_self, digits)
+            new = _block_best(q_ids, q, k, _numbers(data["id"]), _matrix(data["vec"]), metric, skip_self, digits, skip)
             best = new if best is None else [np.concatenate(x) for x in zip(best, new)]
             ranked = np.lexsort((best[1], -best[2], best[0]))
             best = [x[ranked] for x in best]
@@ -153,7 +181,7 @@ def _in_cells(queries: DataFrame, base: DataFrame, metric: str, skip_self: bool,
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = (queries.join(counts, "cell").withColumn("qb", own("query_id", "q_blocks"))
-            .withColumn("vb", every("v_blocks")).select("cell", "qb", "vb", "query_id", "vec", "k"))
+            .withColumn("vb", every("v_blocks")).select("cell", "qb", "vb", "query_id", "vec", "k", "skip"))
     right = (base.join(counts, "cell").withColumn("vb", own("id", "v_blocks"))
              .withColumn("qb", every("q_blocks")).select("cell", "qb", "vb", "id", "vec"))
 
@@ -161,7 +189,7 @@ def _in_cells(queries: DataFrame, base: DataFrame, metric: str, skip_self: bool,
         if q.num_rows == 0 or v.num_rows == 0:
             return _NOTHING
         return _result(*_block_best(_numbers(q["query_id"]), _matrix(q["vec"]), _numbers(q["k"]),
-                                    _numbers(v["id"]), _matrix(v["vec"]), metric, skip_self, digits))
+                                    _numbers(v["id"]), _matrix(v["vec"]), metric, skip_self, digits, _lists(q["skip"])))
 
     cell = ["cell", "qb", "vb"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, _OUT)
@@ -182,15 +210,20 @@ def _ranked(found: DataFrame, queries: DataFrame, k: int | str, metric: str, min
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int | str, metric: str = "cosine", skip_self: bool = False,
-            min_score: float | None = None, digits: int = SCORE_DIGITS, block_rows: int | None = None) -> DataFrame:
+            min_score: float | None = None, digits: int = SCORE_DIGITS, block_rows: int | None = None,
+            skip: str | None = None) -> DataFrame:
     """Exact best k of `base(id, vec)` for each of `queries(query_id, vec)`.
 
     `metric`: cosine, dot, or l2 (squared and true distance are returned). `k` is a number or the
     name of an integer column of `queries`. Queries that fit a broadcast are matched without
     shuffling the base; else both sides are cut into blocks. `block_rows` forces the block path.
+    `skip` names an array column of `queries` with ids that query must not get.
     """
-    q, v = _queries(queries, k), _base(base)
+    q, v = _queries(queries, k, skip), _base(base)
     row_bytes = 8 * max(1, _dimension(q)) + 16
+    if skip or isinstance(k, str):  # what a task keeps per query counts too: its list, and the ids it skips
+        mean = q.agg(F.coalesce(F.avg(F.coalesce(F.size("skip"), F.lit(0)) + 3 * F.col("k")), F.lit(0.0))).first()[0]
+        row_bytes += 8 * int(mean)
     if block_rows is None and fits(q, row_bytes, SMALL_BYTES // 4):
         return _ranked(_against_small(q, spread(v), metric, skip_self, digits), q, k, metric, min_score)
     rows = block_rows or max(1024, BLOCK_BYTES // row_bytes)
@@ -219,27 +252,29 @@ def _with_cells(df: DataFrame, centroids: np.ndarray, probes: int, schema: str)
             if batch.num_rows == 0:
                 continue
             data = pa.Table.from_batches([batch])
-            scores = _scored(_matrix(data["vec"]), cells, "l2", 12)
-            many = np.full(batch.num_rows, probes)
-            rows, cols = best_per_row(scores, np.arange(len(cells)), many)
-            out = data.take(pa.array(rows)).append_column("cell", pa.array(cols, pa.int32()))
-            yield from out.to_batches()
+            strip = max(1, STRIP_CELLS // len(cells))
+            for at in range(0, batch.num_rows, strip):
+                part = data.slice(at, strip)
+                scores = _scored(_matrix(part["vec"]), cells, "l2", 12)
+                rows, cols = best_per_row(scores, np.arange(len(cells)), np.full(part.num_rows, probes))
+                out = part.take(pa.array(rows)).append_column("cell", pa.array(cols, pa.int32()))
+                yield from out.to_batches()
 
     return df.mapInArrow(assign, schema)
 
 
-_Q_SCHEMA = "query_id bigint, vec array<double>, k int, cell int"
+_Q_SCHEMA = "query_id bigint, vec array<double>, k int, skip array<bigint>, cell int"
 _V_SCHEMA = "id bigint, vec array<double>, cell int"
 
 
 def nearest_in_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray, probes: int = 8,
                      metric: str = "cosine", skip_self: bool = False, min_score: float | None = None,
-                     digits: int = SCORE_DIGITS, block_rows: int | None = None) -> DataFrame:
+                     digits: int = SCORE_DIGITS, block_rows: int | None = None, skip: str | None = None) -> DataFrame:
     """Approximate best k: each query looks into its `probes` nearest cells only.
 
     With cosine, vectors are brought to unit length first and so must those the cells were trained on.
     """
-    q, v = _queries(queries, k), _base(base)
+    q, v = _queries(queries, k, skip), _base(base)
     if metric == "cosine":
         q, v = (d.withColumn("vec", l2_normalise(F.col("vec"))) for d in (q, v))
     probes = min(probes, len(centroids))
@@ -253,8 +288,6 @@ def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8
                     metric: str = "cosine", skip_self: bool = False, min_score: float | None = None,
                     digits: int = SCORE_DIGITS, block_rows: int | None = None) -> DataFrame:
     """Approximate best k by sign hashing: vectors meet where all signs of one table agree."""
-    if bits > 16:
-        raise ValueError("at most 16 bits per table")
     q, v = _queries(queries, k), _base(base)
     dim = _dimension(q)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
@@ -269,15 +302,29 @@ def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8
             positive = (_matrix(data["vec"]) @ shared.value > 0).reshape(-1, tables, bits)
             codes = (positive * powers).sum(2) + np.arange(tables) * (1 << bits)
             out = data.take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
-            yield from out.append_column("cell", pa.array(codes.ravel(), pa.int32())).to_batches()
+            yield from out.append_column("cell", pa.array(codes.ravel(), pa.int64())).to_batches()
 
     rows = block_rows or max(1024, BLOCK_BYTES // (8 * dim + 16))
-    found = _in_cells(cut_lineage(q.mapInArrow(sign, _Q_SCHEMA)), cut_lineage(spread(v).mapInArrow(sign, _V_SCHEMA)),
+    wide = [s.replace("cell int", "cell bigint") for s in (_Q_SCHEMA, _V_SCHEMA)]
+    found = _in_cells(cut_lineage(q.mapInArrow(sign, wide[0])), cut_lineage(spread(v).mapInArrow(sign, wide[1])),
                       metric, skip_self, digits, rows)
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _ranked(once, q, k, metric, min_score)
 
 
+def nearest_within(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", skip: str | None = None,
+                   digits: int = SCORE_DIGITS, block_rows: int | None = None) -> DataFrame:
+    """Exact best k among the rows of `base(id, vec, cell)` that share a cell with the query.
+
+    A query (or a base row) may be in several cells, as several rows.
+    """
+    q, v = _queries(queries, k, skip, ("cell",)), cut_lineage(_base(base, ("cell",)))
+    rows = block_rows or max(1024, BLOCK_BYTES // (8 * max(1, _dimension(q)) + 16))
+    found = _in_cells(q, v, metric, False, digits, rows)
+    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return _ranked(once, q, k, metric, None)
+
+
 def lookup_vectors(ids: DataFrame, base: DataFrame) -> DataFrame:
     """Stored vectors of the given ids."""
     return ids.select("id").join(base, "id")
@@ -324,5 +371,5 @@ def validate_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def cells_for(n_rows: int) -> int:
-    """A usual number of cells: square root of the rows, between 1 and 4096."""
-    return max(1, min(4096, int(math.sqrt(n_rows))))
+    """A usual number of cells: the square root of the rows."""
+    return max(1, int(math.sqrt(n_rows)))

@@ -34,13 +34,16 @@ def hashed_split(ratings: DataFrame, keys: list[str], test_share: float = 0.2, s
                  per_user: bool = True) -> tuple[DataFrame, DataFrame]:
     """Random split by hash of `keys` (unique per row), stratified by user unless `per_user` is off.
 
-    Each user gives ceil(test_share * n) rows to the test set; test users all occur in train.
+    Each user gives ceil(test_share * n) of n rows to the test set, but never all: a user with one row
+    is train only. Per user, train and test together are the input; unless `per_user`, test rows of users
+    unknown to train are left out.
     """
     hashed = ratings.withColumn("_h", stable_key(keys, seed))
     group = ["user_id"] if per_user else []
     if per_user:
         ranked = group_ranks(hashed, group, ["_h", *keys])
-        marked = ranked.withColumn("_test", F.col("rn") <= F.ceil(F.col("group_size") * F.lit(test_share)))
+        wanted = F.ceil(F.col("group_size") * F.lit(test_share))
+        marked = ranked.withColumn("_test", F.col("rn") <= F.least(wanted, F.col("group_size") - 1))
     else:
         # The hash is uniform, so a cut on its first 8 hex digits is a cut on the rows.
         edge = f"{int(test_share * 16 ** 8):08x}"
@@ -48,4 +51,4 @@ def hashed_split(ratings: DataFrame, keys: list[str], test_share: float = 0.2, s
     marked = cut_lineage(marked.select(*ratings.columns, "_test"))
     train = marked.filter("NOT _test").drop("_test")
     test = marked.filter("_test").drop("_test")
-    return train, _known_only(test, train, ["user_id"])
+    return train, test if per_user else _known_only(test, train, ["user_id"])

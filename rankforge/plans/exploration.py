@@ -102,11 +102,12 @@ def year_month_crosstab(spark, sf):
 
 
 @query("year_genre_share", f"""
-WITH {RATINGS}, c AS (SELECT year(ts) AS year, p_type AS genre, count(*) AS n FROM ratings JOIN part ON item_id = p_partkey GROUP BY 1, 2)
+WITH {RATINGS}, g AS (SELECT year(ts) AS year, unnest([p_type, p_brand]) AS genre FROM ratings JOIN part ON item_id = p_partkey),
+c AS (SELECT year, genre, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT year, genre, n, n / sum(n) OVER (PARTITION BY year) AS share FROM c""", floats=("share",), ints=("year",))
 def year_genre_share(spark, sf):
     joined = ratings(spark, sf).join(items(spark, sf), "item_id").select(
-        F.year("ts").alias("year"), F.col("genres")[0].alias("genre"))
+        F.year("ts").alias("year"), F.explode("genres").alias("genre"))
     return explore.share_per_row(joined, "year", "genre")
 
 

@@ -9,14 +9,16 @@ VECTORS = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, labe
 e AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM v)"""
 
 
-def cosine_lists(name: str, queries: str, k: int | str, skip_self: bool = False, metric: str = "cosine") -> str:
-    """`name(query_id, id, score, rank)`: best k of `v` for each row of `queries(query_id, vec[, k])`."""
+def cosine_lists(name: str, queries: str, k: int | str, skip_self: bool = False, metric: str = "cosine", base: str = "v",
+                 only: str = "") -> str:
+    """`name(query_id, id, score, rank)`: best k of `base` for each row of `queries(query_id, vec[, k])`; `only` is a condition on q and v."""
     score = {"cosine": "list_cosine_similarity(q.vec, v.vec)", "dot": "list_inner_product(q.vec, v.vec)",
              "l2": "-pow(list_distance(q.vec, v.vec), 2)"}[metric]
     limit = f"q_{k}" if isinstance(k, str) else k
     extra = f", q.{k} AS q_{k}" if isinstance(k, str) else ""
-    where = "WHERE q.query_id <> v.id" if skip_self else ""
-    return f"""{name}_all AS (SELECT q.query_id, v.id, round({score}, 6) AS score{extra} FROM {queries} q, v {where}),
+    where = " AND ".join(["q.query_id <> v.id"] * skip_self + [only] * bool(only))
+    where = f"WHERE {where}" if where else ""
+    return f"""{name}_all AS (SELECT q.query_id, v.id, round({score}, 6) AS score{extra} FROM {queries} q, {base} v {where}),
 {name} AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
            FROM {name}_all) WHERE rank <= {limit})"""
 

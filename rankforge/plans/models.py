@@ -52,12 +52,15 @@ def standardised_columns(spark, sf):
     return linalg.standardise_columns(ratings_agg(spark, sf).drop("ts"), n)[1]
 
 
-@query("pivot_by_label", """
-SELECT user_id, coalesce(avg(value) FILTER (event_type = 'click'), 0) AS click,
-       coalesce(avg(value) FILTER (event_type = 'error'), 0) AS error FROM events GROUP BY 1""", floats=("click", "error"))
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("pivot_by_label", "SELECT user_id, " + ", ".join(
+    f"coalesce(avg(value) FILTER (event_type = '{t}'), 0) AS {t}" for t in _EVENT_TYPES) + " FROM events GROUP BY 1",
+    floats=tuple(_EVENT_TYPES))
 def pivot_by_label(spark, sf):
     cells = table(spark, sf, "events").select("user_id", F.col("event_type").alias("item_id"), F.col("value").alias("rating"))
-    return linalg.pivot_matrix(cells, ["click", "error"])
+    return linalg.pivot_matrix(cells, _EVENT_TYPES)
 
 
 def _entries(rows: DataFrame, by: str = "user_id") -> tuple[DataFrame, DataFrame, int]:

@@ -1,4 +1,4 @@
-"""Recommenders: collaborative, content-based and hybrid."""
+"""Ranked suggestions: collaborative, content-based and hybrid."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ _CLIP = "least(greatest({}, 1.0), 5.0)"
 
 
 def _rows(spark, sf):
-    """The ratings, worked out once: a recommender reads them as requests, as statistics and as histories."""
+    """The ratings, worked out once: they are read as requests, as statistics and as histories."""
     return cut_lineage(ratings_agg(spark, sf))
 
 
@@ -76,10 +76,9 @@ def _item_based(rows):
 {row_cosine('nn', 'ra', 'user_id', 'item_id', 50)},
 {user_terms('ra', 'nn', 0.1)},
 sums AS (SELECT query_id, t.item_id, sum(rating * sim) AS rs, sum(dev * sim) AS ds, sum(sim) AS ss, count(*) AS k FROM terms t GROUP BY 1, 2),
-sc AS (SELECT s.*, item_count, item_bias, {steady('rs * least(ln(item_count + 1), 3.0)', 6)} AS score FROM sums s JOIN st USING (item_id)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM sc) WHERE r <= 500),
+sc AS (SELECT s.*, item_count, item_bias FROM sums s JOIN st USING (item_id)),
 p AS (SELECT query_id, item_id, m.mean + ds / ss AS raw, m.mean + item_bias AS base,
-      ss * least(item_count / 10, 2.0) / k * least(k / 8, 1.0) * least(item_count / 20, 1.0) AS conf FROM best JOIN m ON m.user_id = query_id),
+      ss * least(item_count / 10, 2.0) / k * least(k / 8, 1.0) * least(item_count / 20, 1.0) AS conf FROM sc JOIN m ON m.user_id = query_id),
 r AS (SELECT query_id, item_id, {steady(_CLIP.format('CASE WHEN conf < 0.3 THEN raw * conf + base * (1 - conf) ELSE raw END'), 2)} AS predicted_rating,
       {steady('conf', 3)} AS confidence FROM p)
 {top('r', 'predicted_rating DESC, confidence DESC', 10)}""", floats=("predicted_rating", "confidence"))
@@ -115,7 +114,7 @@ _SEED_LISTS = f"WITH {RATINGS_AGG}, {VECTORS}, {seed_means()}"
 _NOT_SEED = "NOT EXISTS (SELECT 1 FROM ra WHERE ra.user_id = query_id AND ra.item_id = id)"
 
 
-@query("similar_to_seeds", f"""{_SEED_LISTS}, {cosine_lists('nn', 'qv', 20)},
+@query("similar_to_seeds", f"""{_SEED_LISTS}, qk AS (SELECT query_id, vec, n_seeds + 10 AS k FROM qv), {cosine_lists('nn', 'qk', 'k')},
 r AS (SELECT query_id, id AS item_id, score FROM nn WHERE score >= 0.1 AND {_NOT_SEED})
 {top('r', 'score DESC', 10)}""", floats=("score",))
 def similar_to_seeds(spark, sf):
@@ -152,7 +151,7 @@ def cell_search_recommendations(spark, sf):
     base = _vectors(spark, sf)
     cells = train_cells(base.withColumn("vec", vx.l2_normalise(F.col("vec"))), cells_for(base.count()))
     requests = _requests(_rows(spark, sf))
-    found = nearest_in_cells(collaborative.query_vectors(requests, base), base, 50, cells, min_score=0.1)
+    found = nearest_in_cells(collaborative.query_vectors(requests, base), base, 10, cells, min_score=0.1, skip="seeds")
     return collaborative.seed_weighted(requests, base, 10, weighting="linear", found=found)
 
 
@@ -255,9 +254,9 @@ _SELF = "selfq AS (SELECT id AS query_id, vec FROM v)"
 _LIKE = "least(greatest(score, 0), 1)"
 
 
-@query("similar_documents", f"""WITH {VECTORS}, {_SELF}, {cosine_lists('nn', 'selfq', 101)},
-r AS (SELECT query_id, id AS item_id, {_LIKE} AS similarity FROM nn JOIN documents ON doc_id = id
-      WHERE query_id <> id AND source = 'src1' AND lang IN ('en', 'fr'))
+@query("similar_documents", f"""WITH {VECTORS}, {_SELF},
+allowed AS (SELECT v.* FROM v JOIN documents ON doc_id = id WHERE source = 'src1' AND lang IN ('en', 'fr')), {cosine_lists('nn', 'selfq', 50, True, base='allowed')},
+r AS (SELECT query_id, id AS item_id, {_LIKE} AS similarity FROM nn)
 {top('r', 'similarity DESC', 50)}""", floats=("similarity",))
 def similar_documents(spark, sf):
     queries = _vectors(spark, sf).select(F.col("id").alias("query_id"), F.col("id").alias("item_id"))
@@ -265,8 +264,8 @@ def similar_documents(spark, sf):
 
 
 @query("discover_by_features", f"""WITH {VECTORS}, q AS (SELECT id AS query_id, list_transform(vec, lambda x: x + 0.05) AS vec FROM v),
-{cosine_lists('nn', 'q', 90)},
-r AS (SELECT query_id, id AS item_id, {_LIKE} AS similarity FROM nn JOIN documents ON doc_id = id WHERE source = 'src2' AND lang = 'en')
+allowed AS (SELECT v.* FROM v JOIN documents ON doc_id = id WHERE source = 'src2' AND lang = 'en'), {cosine_lists('nn', 'q', 30, base='allowed')},
+r AS (SELECT query_id, id AS item_id, {_LIKE} AS similarity FROM nn)
 {top('r', 'similarity DESC', 30)}""", floats=("similarity",))
 def discover_by_features(spark, sf):
     wanted = _vectors(spark, sf).select(F.col("id").alias("query_id"), F.transform(vx.doubles(F.col("vec")), lambda x: x + 0.05).alias("vec"))
@@ -279,18 +278,16 @@ ax AS (SELECT label AS query_id, pos, avg(x) AS a, max(x) AS m FROM e JOIN v USI
 several AS (SELECT query_id AS label, item_id AS s, 0.5 AS w, vec FROM k
   UNION ALL SELECT query_id, -1, 0.25, list(a ORDER BY pos) FROM ax GROUP BY 1
   UNION ALL SELECT query_id, -2, 0.25, list(m ORDER BY pos) FROM ax GROUP BY 1),
-numbered AS (SELECT *, row_number() OVER (ORDER BY label, s) AS query_id FROM several),
-{cosine_lists('nn', 'numbered', 60)},
-c AS (SELECT label AS query_id, id AS item_id, {steady('sum(' + _LIKE + ' * w)', 6)} AS similarity FROM nn JOIN numbered USING (query_id) GROUP BY 1, 2),
-best AS ({top('c', 'similarity DESC', 60)}),
 kinds AS (SELECT label AS query_id, source, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, source) AS r
           FROM v JOIN documents ON doc_id = id GROUP BY label, source),
 langs AS (SELECT DISTINCT label AS query_id, lang FROM v JOIN documents ON doc_id = id),
-r AS (SELECT b.query_id, b.item_id, b.similarity FROM best b JOIN documents d ON d.doc_id = b.item_id
-      JOIN kinds ON kinds.query_id = b.query_id AND kinds.r = 1 AND kinds.source = d.source
-      JOIN langs ON langs.query_id = b.query_id AND langs.lang = d.lang
-      WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = b.query_id AND k.item_id = b.item_id))
-SELECT CAST(query_id AS BIGINT) AS query_id, item_id, similarity, rank FROM ({top('r', 'similarity DESC', 20)})""", floats=("similarity",))
+may AS (SELECT kinds.query_id AS label, doc_id AS id, v.vec FROM documents d JOIN v ON v.id = doc_id
+      JOIN kinds ON kinds.r = 1 AND kinds.source = d.source JOIN langs ON langs.query_id = kinds.query_id AND langs.lang = d.lang
+      WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = kinds.query_id AND k.item_id = doc_id)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY label, s) AS query_id FROM several),
+{cosine_lists('nn', 'numbered', 60, base='may', only='v.label = q.label')},
+c AS (SELECT label AS query_id, id AS item_id, {steady('sum(' + _LIKE + ' * w)', 6)} AS similarity FROM nn JOIN numbered USING (query_id) GROUP BY 1, 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, item_id, similarity, rank FROM ({top('c', 'similarity DESC', 20)})""", floats=("similarity",))
 def multi_seed_content(spark, sf):
     queries = embedding_vectors(spark, sf).select(F.col("label").alias("query_id"), F.col("id").alias("item_id"))
     return content.similar_to_several(queries, _vectors(spark, sf), _item_map(spark, sf), 20)
@@ -308,14 +305,14 @@ def percent_lists(spark, sf):
 # ---- hybrids -----------------------------------------------------------------------------------------
 
 _CONTENT = f"""{_SELF}, {cosine_lists('near', 'selfq', 10, True)},
-lists AS (SELECT ra.user_id AS query_id, near.id AS item_id, near.score FROM ra JOIN near ON near.query_id = ra.item_id WHERE rating >= 4),
+lists AS (SELECT ra.user_id AS query_id, near.id AS item_id, near.score FROM ra JOIN near ON near.query_id = ra.item_id),
 cb AS (SELECT query_id, item_id, max(score) AS score FROM lists GROUP BY 1, 2)"""
 _COUNTS = "nr AS (SELECT user_id AS query_id, count(*) AS n_ratings FROM ra GROUP BY 1)"
 
 
 def _content_lists(spark, sf, rows):
     near = nearest(_vectors(spark, sf).withColumnRenamed("id", "query_id"), _vectors(spark, sf), 10, skip_self=True)
-    seeds = rows.filter("rating >= 4").select(F.col("user_id").alias("query_id"), "item_id")
+    seeds = rows.select(F.col("user_id").alias("query_id"), "item_id")
     lists = near.select(F.col("query_id").alias("item_id"), F.col("id"), "score")
     return seeds.join(lists, "item_id").select("query_id", F.col("id").alias("item_id"), "score")
 

@@ -151,9 +151,9 @@ def pooled_vectors(spark, sf):
 
 
 @query("lookup_vectors", f"""WITH {RATINGS_AGG}, {VECTORS}
-SELECT user_id, id, list_sum(vec) AS total FROM ra JOIN v ON id = item_id WHERE rating = 5""", floats=("total",))
+SELECT user_id, id, list_sum(vec) AS total FROM ra JOIN v ON id = item_id""", floats=("total",))
 def lookup_vectors(spark, sf):
-    wanted = ratings_agg(spark, sf).filter("rating = 5").select("user_id", F.col("item_id").alias("id"))
+    wanted = ratings_agg(spark, sf).select("user_id", F.col("item_id").alias("id"))
     found = neighbours.lookup_vectors(wanted, _vectors(spark, sf))
     return wanted.distinct().join(found.distinct(), "id").select(
         "user_id", "id", F.aggregate(vx.doubles(F.col("vec")), F.lit(0.0), lambda s, x: s + x).alias("total"))
