@@ -42,8 +42,10 @@ def daypart(hour: Column) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return days * 86_400_000_000 + seconds.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def min_max(c: Column, low: Column, high: Column) -> Column:

@@ -75,9 +75,13 @@ def item_based(requests: DataFrame, ratings: DataFrame, neighbours: DataFrame, n
     rated = seeds.filter(F.col("rating").isNotNull()).join(stats, "item_id").select(
         "query_id", F.col("item_id").alias("id"), (F.col("rating") - F.col("item_mean")).alias("dev"),
         weight.alias("pop"))
-    terms = rated.join(near.filter(F.col("rank") <= predict_from), "id")
+    # From each candidate to its own nearest items, at most `predict_from`, then to the rating of (query, item):
+    # an item that is near to many others is no hot key.
+    lists = near.filter(F.col("rank") <= predict_from).select(F.col("of").alias("item_id"), "id", "sim")
+    found = cut_lineage(found)
+    terms = found.join(lists, "item_id").join(rated, ["query_id", "id"])
     w = F.col("sim") * F.col("pop")
-    sums = terms.groupBy("query_id", F.col("of").alias("item_id")).agg(
+    sums = terms.groupBy("query_id", "item_id").agg(
         F.sum(w * F.col("dev")).alias("wd"), F.sum(F.abs(w)).alias("ws"), F.count("*").alias("k"))
     joined = found.join(sums, ["query_id", "item_id"], "left").join(
         stats.select("item_id", "item_mean"), "item_id", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric
@@ -47,17 +45,32 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std (sample), min, quartiles and max, one row per column."""
-    rows = []
-    for c in columns:
-        base = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                      F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).groupBy().agg(
-            *[F.max(F.when(F.col("share") == s, F.col("value"))).alias(name)
-              for s, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-        rows.append(base.select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                *[q.select(n).scalar().alias(n) for n in ("q25", "q50", "q75")], "max"))
-    return reduce(DataFrame.unionByName, rows)
+    """count, mean, std (sample), min, quartiles and max, one row per column.
+
+    One scan and one distributed order of (column, value) serve all columns.
+    """
+    cells = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v")).filter("_v IS NOT NULL")
+    counts = cells.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
+    placed = global_positions(counts, ["_c", "_v"], "_position", running={"_n": "_to"})
+    n = F.col("_n")
+    stats = placed.groupBy("_c").agg(
+        F.sum(n).alias("count"), (F.sum(F.col("_v") * n) / F.sum(n)).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.min(F.col("_to") - n).alias("_first"))
+    spread = cells.groupBy("_c").agg(F.stddev_samp("_v").alias("std"))
+    shares = F.array(*[F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("count") - 1)).alias("p")) for s in (0.25, 0.5, 0.75)])
+    low = F.col("_to") - n - F.col("_first")  # a value takes the positions [low, high) of its column
+    high = F.col("_to") - F.col("_first")
+    hits = placed.join(F.broadcast(stats.select("_c", "count", "_first")), "_c").withColumn(  # one row per column
+        "_x", F.explode(F.filter(shares, lambda x: (F.ceil(x["p"]) >= low) & (F.floor(x["p"]) < high))))
+    p = F.max("_x.p")
+    quantiles = hits.groupBy("_c", F.col("_x.share").alias("share")).agg(
+        (F.min("_v") + (F.max("_v") - F.min("_v")) * (p - F.floor(p))).alias("value"))
+    wide = quantiles.groupBy("_c").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(name)
+                                         for s, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_c int, column string")
+    found = stats.join(spread, "_c").join(wide, "_c").drop("_first")
+    return names.join(found, "_c", "left").select(
+        "column", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
