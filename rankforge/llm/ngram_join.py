@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
 from .components import connected_components
 from .kernels import folded, mixed, slices, window_hashes, windows_inside, word_hashes, words
+from .resources import settled
 from .substring import by_bucket
 
 WORDS, PERCENT, ORDERS, BUCKETS = 5, 75, 3, 256
@@ -311,13 +311,13 @@ def _links(records: DataFrame, clusters: DataFrame, percent: int, orders: int) -
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
-    rows = cut_lineage(_documents(_shared_tokens(_sent_tokens(docs, width)), percent))
-    classes = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(
+    rows = settled(_documents(_shared_tokens(_sent_tokens(docs, width)), percent))
+    classes = settled(rows.filter("n > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"), F.count("*").alias("copies"))
         .select("digest", F.col("first.node").alias("node"), F.col("first.doc_id").alias("rep_id"), "copies"))
-    records = cut_lineage(rows.filter("keys IS NOT NULL").select("node", "n", "keys", "powers").join(classes.select("node", "copies"), "node"))
+    records = settled(rows.filter("keys IS NOT NULL").select("node", "n", "keys", "powers").join(classes.select("node", "copies"), "node"))
     clusters = connected_components(_ties(records, percent)).withColumnRenamed("component", "cluster")
-    links = cut_lineage(_links(records, clusters, percent, orders))
+    links = settled(_links(records, clusters, percent, orders))
     reached = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))

@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import cut_lineage
 from .kernels import slices, window_hashes, windows_inside, word_hashes, words
+from .resources import settled
 
 WIDTH, SPAN, BUCKETS = 20, 128, 256
 _FIRST_ID = -(1 << 63)
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digests: bool = False, c
     to keep, as they are.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *(carry or []))
-    hits = cut_lineage(_hits(_probes(source, width)))
+    hits = settled(_hits(_probes(source, width)))
     chunked = source.withColumn("chunk", F.expr(_CHUNK))
     out = _cleaned(chunked, _repeats(_windows(chunked, hits, width)), width, digests, carry or [])
     return out.withColumnRenamed("_id", "doc_id")
