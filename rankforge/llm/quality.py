@@ -142,6 +142,15 @@ def _hashed_rows(labelled: DataFrame, label: str) -> DataFrame:
         run, "label int, doc_id long, buckets binary, shares binary")
 
 
+def _arrays(column: pa.ChunkedArray, kind) -> Iterator[np.ndarray]:
+    """The numbers in each binary value, in place."""
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1] // np.dtype(kind).itemsize
+        numbers = np.frombuffer(data, kind, count=int(at[-1])) if data is not None else np.zeros(0, kind)
+        yield from (numbers[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, float]:
     """Newton steps for the probability of label 1 given the margin, with smoothed targets."""
     up, down = label.sum(), len(label) - label.sum()
@@ -171,9 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", label).limit(max_rows)  # the documented bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rng, found = np.random.default_rng(7), []
-    for r in _hashed_rows(rows, label).collect():
-        found.append((r["label"], r["doc_id"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32)))
+    rng, table = np.random.default_rng(7), _hashed_rows(rows, label).toArrow()
+    found = list(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), _arrays(table["buckets"], np.int32), _arrays(table["shares"], np.float32)))
     found.sort(key=lambda r: (r[1] is None, r[1], r[0], len(r[2])))
     y = np.array([r[0] for r in found], dtype=float)
     held = np.arange(len(found)) % 5 == 4
