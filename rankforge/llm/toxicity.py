@@ -109,19 +109,19 @@ def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY) -> np.ndarra
 
     (lr, lt, lw), (rr, rt, rw) = sparse(left), sparse(right)
     seen, number = np.unique(rt, return_inverse=True)
-    b = np.zeros((len(right), len(seen)))
-    np.add.at(b, (rr, number), rw)
-    norm_b = np.sqrt((b ** 2).sum(axis=1))
-    norm_a = self_norms(left, decay)
+    b = np.bincount(rr * len(seen) + number, weights=rw, minlength=len(right) * len(seen)).astype(np.float32).reshape(len(right), -1)
+    norm_b, norm_a = self_norms(right, decay), self_norms(left, decay)
     at = np.minimum(np.searchsorted(seen, lt), len(seen) - 1)
     hit = seen[at] == lt
+    order = np.argsort(lr[hit], kind="stable")
+    lr, at, lw = lr[hit][order], at[hit][order], lw[hit][order]
     out = np.zeros((len(left), len(right)))
-    step = 2000
+    step = max(1, (1 << 22) // max(1, len(seen)))  # rows whose triples are held as a full matrix at once
     for s in range(0, len(left), step):
-        mine = hit & (lr >= s) & (lr < s + step)
-        a = np.zeros((min(step, len(left) - s), len(seen)), dtype=np.float32)
-        np.add.at(a, (lr[mine] - s, at[mine]), lw[mine])
-        out[s:s + step] = a @ b.T.astype(np.float32)
+        rows = min(step, len(left) - s)
+        mine = slice(*np.searchsorted(lr, [s, s + rows]))
+        a = np.bincount((lr[mine] - s) * len(seen) + at[mine], weights=lw[mine], minlength=rows * len(seen))
+        out[s:s + rows] = a.astype(np.float32).reshape(rows, -1) @ b.T
     return out / np.maximum(norm_a[:, None] * norm_b[None, :], 1e-12)
 
 
@@ -151,7 +151,7 @@ class Model:
     decay: float = DECAY
 
 
-def margins(model: Model, pieces: list[str], step: int = 20_000) -> np.ndarray:
+def margins(model: Model, pieces: list[str], step: int = 8_000) -> np.ndarray:
     """The machine's value of each unit."""
     out = np.full(len(pieces), model.intercept)
     for s in range(0, len(pieces), step):
