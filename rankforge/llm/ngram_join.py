@@ -16,8 +16,7 @@ their document count) and break ties by different hashes.
    pairs are sent: a group returns for each document its smallest linked document and the number of its links.
 5. Components of the links are the result.
 
-Tokens are compared by 48 bits while counting (a chance hit only makes a token look more frequent) and
-by 64 bits when sets are verified.
+Tokens are compared by 48 bits of their hash, in the counts as in the verification.
 
 Defined results: a document without words or text is linked with nothing and is its own component; every row is a document of its own,
 also when ids or whole rows repeat (the component is told by the smallest doc_id); a null doc_id is larger than all others;
@@ -113,7 +112,7 @@ def _shared_tokens(sent: DataFrame) -> DataFrame:
         low = np.frombuffer(b"".join([k[:4 * n] for k, n in zip(raw, counts.tolist())]), np.uint32).astype(np.uint64)
         more = np.frombuffer(b"".join([k[4 * n:] for k, n in zip(raw, counts.tolist())]), np.uint8)
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        # 48 bits: 8 of the bucket, then 32 whose first 8 repeat the bucket's, then 8 more
+        # the leading 48 bits of the token: 8 of the bucket, 32, and 8 more
         key = bucket << np.uint64(40) | low << np.uint64(8) | more
         owner, at = np.frombuffer(b"".join(owners), np.uint16), np.repeat(np.arange(len(counts)), counts)
         order = np.argsort(key, kind="stable")
