@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankforge.operators import co_ratings, diversity, explore, linalg, metrics, neighbours, ordering, splits
+from rankforge.functions import numeric
+from rankforge.operators import co_ratings, collaborative, diversity, explore, linalg, metrics, neighbours, ordering, splits
 from rankforge.sources import embedding_vectors, ratings_agg
 
 
@@ -159,3 +160,41 @@ def test_trailing_mean_includes_both_ends(spark):
         got = explore.trailing_mean(events, 7, bucket).orderBy("ts").collect()
         assert [r["n"] for r in got] == [1, 2, 3, 3]
         assert [round(r["mean_rating"], 6) for r in got] == [1.0, 1.5, round(11 / 3, 6), round(19 / 3, 6)]
+
+
+def test_skipped_ids_do_not_shorten_lists(spark, sf):
+    """120 seeds: ten others are still found, in place and in blocks, exact and within cells."""
+    base = embedding_vectors(spark, sf).select("id", "vec")
+    requests = base.filter("id < 120").select(F.lit(1).cast("bigint").alias("query_id"), F.col("id").alias("item_id"), F.lit(4.0).alias("rating"))
+    near = collaborative.similar_to_seeds(requests, base, 10, min_similarity=-1.0).collect()
+    assert len(near) == 10 and all(r["item_id"] >= 120 for r in near)
+    means = collaborative.query_vectors(requests, base)
+    one = neighbours.nearest(means, base, 10, skip="seeds")
+    blocks = neighbours.nearest(means, base, 10, skip="seeds", block_rows=60)
+    cells = neighbours.nearest_within(means.withColumn("cell", F.lit("a")), base.withColumn("cell", F.lit("a")), 10, skip="seeds")
+    assert one.count() == 10 and one.exceptAll(blocks).count() == 0 and one.exceptAll(cells).count() == 0
+
+
+def test_bad_vectors_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, None]), (5, [0.5, 0.5])]
+    base = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = neighbours.nearest(base.withColumnRenamed("id", "query_id"), base, 3, skip_self=True).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(1, 5), (5, 1)]
+
+
+def test_hashed_split_keeps_every_row(spark):
+    rows = [(1, 1, 5.0), (2, 1, 3.0), (2, 2, 4.0)] + [(3, i, 1.0) for i in range(10)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    train, test = splits.hashed_split(ratings, ["user_id", "item_id"])
+    assert train.unionByName(test).exceptAll(ratings).count() == 0 and train.count() + test.count() == len(rows)
+    assert {r["user_id"] for r in test.collect()} == {2, 3} and train.filter("user_id = 1").count() == 1
+
+
+def test_micros_do_not_depend_on_the_session_zone(spark):
+    times = spark.createDataFrame([("2024-03-31 02:30:00.123456",), ("1969-12-31 23:59:59.5",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    want = [r[0] for r in times.select(numeric.micros(F.col("t"))).collect()]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert [r[0] for r in times.select(numeric.micros(F.col("t"))).collect()] == want == [1711852200123456, -500000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
