@@ -15,8 +15,11 @@ BLOCK_ENTRIES = 2_000_000  # entries per block before its dimensions are cut int
 _OUT = "query_id bigint, id bigint, dot double, co double, q_size double, v_size double"
 
 
-def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: bool) -> pa.Table:
-    """Inner products and common dimensions of all rows of two blocks; the best k when `whole`."""
+def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: bool, both: bool) -> pa.Table:
+    """Inner products and common dimensions of all rows of two blocks; the best k when `whole`.
+
+    `both` answers the rows of the second block too, from the same products.
+    """
     def side(t: pa.Table, column: str):
         entries = pa.concat_arrays([c.flatten() for c in t[column].chunks])
         numbers = [entries.field(name).to_numpy(zero_copy_only=False) for name in ("id", "dim", "val", "size")]
@@ -62,15 +65,21 @@ def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: boo
     rows, cols = np.divmod(pair, width)
     other = q_ids[rows] != v_ids[cols]
     rows, cols, dots, common = rows[other], cols[other], dots[other], common[other]
-    if whole:
-        scores = _score(dots, common, q_size[rows], v_size[cols], metric, digits)
-        order = np.lexsort((v_ids[cols], -scores, rows))
-        ranked = rows[order]
-        place = np.arange(len(order)) - np.searchsorted(ranked, ranked)
-        best = order[place < k]
-        rows, cols, dots, common = rows[best], cols[best], dots[best], common[best]
-    return pa.table({"query_id": q_ids[rows], "id": v_ids[cols], "dot": dots, "co": common,
-                     "q_size": q_size[rows], "v_size": v_size[cols]})
+    scores = _score(dots, common, q_size[rows], v_size[cols], metric, digits) if whole else None
+
+    def answers(rows, row_ids, row_size, cols, col_ids, col_size) -> pa.Table:
+        kept = slice(None)
+        if whole:
+            order = np.lexsort((col_ids[cols], -scores, rows))
+            ranked = rows[order]
+            kept = order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k]
+        return pa.table({"query_id": row_ids[rows][kept], "id": col_ids[cols][kept], "dot": dots[kept], "co": common[kept],
+                         "q_size": row_size[rows][kept], "v_size": col_size[cols][kept]})
+
+    found = [answers(rows, q_ids, q_size, cols, v_ids, v_size)]
+    if both:
+        found.append(answers(cols, v_ids, v_size, rows, q_ids, q_size))
+    return pa.concat_tables(found)
 
 
 def _score(dot, co, q_size, v_size, metric: str, digits: int):
@@ -94,8 +103,8 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
     """Best k other rows with a common dimension for each row of a sparse matrix.
 
     `entries(row, dim, value)` holds one entry per cell; `metric` is cosine or jaccard. Rows are cut
-    into blocks by hash, each packed into one record, and each pair of blocks is summed up in place
-    by one task: pairs leave it only as the best k per row, never one per common dimension. A block
+    into blocks by hash, each packed into one record, and each unordered pair of blocks is summed up once, in place
+    by one task, for the rows of both: pairs leave it only as the best k per row, never one per common dimension. A block
     with more than `block_entries` entries (it holds a hot row) is also cut by hash of the dimension;
     its pairs then leave as sums per chunk, and are added up before the ranking. Memory per task is
     bounded by the block.
@@ -119,9 +128,8 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
         leveled.groupBy("own", "heavy", "parts", F.pmod(F.col("dim"), F.col("parts")).cast("int").alias("part"))
         .agg(F.collect_list(F.struct("id", "dim", "val", "size")).alias("entries")))
 
-    def placed(own: str, other: str, name: str) -> DataFrame:
-        met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
-            loads.toDF("other", "other_heavy"), "other")
+    def placed(own: str, other: str, name: str, others: Column) -> DataFrame:
+        met = packed.withColumn("other", F.explode(others)).join(loads.toDF("other", "other_heavy"), "other")
         wanted = F.when(F.col("heavy") | F.col("other_heavy"), chunks).otherwise(1)
         return met.filter(F.col("parts") == wanted).select(
             F.col("own").alias(own), F.col("other").alias(other), F.col("parts").alias("parts"),
@@ -132,13 +140,13 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
             return pa.table({c: pa.array([], t) for c, t in (
                 ("query_id", pa.int64()), ("id", pa.int64()), ("dot", pa.float64()), ("co", pa.float64()),
                 ("q_size", pa.float64()), ("v_size", pa.float64()))})
-        return _meet(q, v, k, metric, digits, key[2].as_py() == 1)
+        return _meet(q, v, k, metric, digits, key[2].as_py() == 1, key[0].as_py() != key[1].as_py())
 
     cell = ["qb", "vb", "parts", "part"]
     # Few rows but much work in each: more partitions than their bytes would ask for.
     tasks = min(n_blocks * n_blocks * chunks, 4 * parallelism(entries.sparkSession))
-    left = placed("qb", "vb", "q_entries").repartition(tasks, *cell)
-    right = placed("vb", "qb", "v_entries").repartition(tasks, *cell)
+    left = placed("qb", "vb", "q_entries", F.sequence(F.col("own"), F.lit(n_blocks - 1))).repartition(tasks, *cell)
+    right = placed("vb", "qb", "v_entries", F.sequence(F.lit(0), F.col("own"))).repartition(tasks, *cell)
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, _OUT)
     if chunks > 1:
         found = found.groupBy("query_id", "id").agg(

@@ -12,7 +12,7 @@ from ..functions import vectors as vx
 from ..session import cut_lineage
 from ..sources import embedding_vectors, ratings_agg, table
 from .fragments import VECTORS, cosine_lists, row_cosine, seed_means, simple_user_lists, top, user_terms, z
-from .registry import RATINGS_AGG, query, steady
+from .registry import REGISTRY, RATINGS_AGG, query, steady
 
 _CLIP = "least(greatest({}, 1.0), 5.0)"
 
@@ -230,7 +230,18 @@ def cold_start_recommendations(spark, sf):
     return collaborative.cold_start(guests, ratings_agg(spark, sf), 10)
 
 
-@query("both_recommendation_lists")
+def _both_sql() -> str:
+    lists = " UNION ALL ".join(
+        f"SELECT query_id, item_id, predicted_rating, confidence, rank, '{kind}' AS kind FROM ({REGISTRY[name].sql})"
+        for name, kind in (("item_based_recommendations", "item_based"), ("user_based_recommendations", "user_based")))
+    return f"""WITH both_lists AS ({lists}),
+kinds AS (SELECT query_id, count(DISTINCT kind) AS kinds FROM both_lists GROUP BY 1),
+asked AS (SELECT DISTINCT o_custkey AS query_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+told AS (SELECT query_id, CASE kinds WHEN 2 THEN 'success' WHEN 1 THEN 'partial' ELSE 'none' END AS status FROM asked LEFT JOIN kinds USING (query_id))
+SELECT query_id, status, item_id, predicted_rating, confidence, rank, kind FROM told LEFT JOIN both_lists USING (query_id)"""
+
+
+@query("both_recommendation_lists", _both_sql())
 def both_recommendation_lists(spark, sf):
     rows = _rows(spark, sf)
     return collaborative.both_lists(_requests(rows), _item_based(rows), _user_based(rows))
