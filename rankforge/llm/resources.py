@@ -1,12 +1,18 @@
-"""Disk of finished steps."""
+"""Disk of finished steps, and tables that may travel whole."""
 
 from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, fits
+
+
+def beside(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df` to be joined with a table that has hot keys: sent whole to every task if it is checked to be small (then no
+    key gathers rows), else joined by key, where Spark splits skewed partitions."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from .resources import beside
 
 DAMPING, TOLERANCE, MAX_STEPS, THRESHOLD = 0.85, 1e-6, 40, 1.0
 
@@ -115,8 +116,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     judged = ruled(pages.select("page_id", "url", "html"), rules)
     slim = ruled(pages.select("page_id", "url"), rules)
-    verdicts = host_verdicts(judged, threshold)
-    # a host may hold a third of all pages: the small side is sent to them when it fits, and skewed joins are split
+    verdicts = beside(cut_lineage(host_verdicts(judged, threshold)), 200)  # a host may hold a third of all pages
     return (slim.join(verdicts, "host", "left")
             .select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"),
                     F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
