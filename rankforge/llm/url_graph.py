@@ -1,7 +1,8 @@
 """URL filters by link-graph propagation.
 
-Hosts are the nodes. Edges lead from a page's host to the hosts it links to (absolute and "//host" links in its
-HTML) and from a host to its parent domain where pages have that too; repeated links add weight. Trust is
+Hosts and all their ancestor domains are the nodes, whether or not a page is there. Edges lead from a page's host to the hosts
+it links to (absolute and "//host" links in its HTML), and both ways between each domain and the next shorter one, with the weight
+of one link; repeated links add weight. Their numbers are logged (`edge_counts`). Trust is
 a personalised PageRank that starts at hosts with a trusted page; distrust is one on the reversed edges that
 starts at hosts with a blocked page: a host that links to bad hosts is itself suspect. A host
 is blocked when its distrust outweighs its trust by the threshold.
@@ -11,16 +12,22 @@ path, the longest fitting rule wins (host, then path), and only pages without a
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule and no edges, and is allowed (no evidence);
 null HTML has no links; repeated rows count again as links and stay as rows; user and port stay part of the host; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. The domain of a host is its name without user and port; an address of numbers has no
+ancestors.
 """
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import SMALL_BYTES, cut_lineage, fits
 from .resources import beside
 
+_LOG = logging.getLogger(__name__)
 DAMPING, TOLERANCE, MAX_STEPS, THRESHOLD = 0.85, 1e-6, 40, 1.0
 
 
@@ -55,28 +62,50 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
             .withColumn("rule", rule).withColumn("rule_verdict", verdict))
 
 
+def _steps_up(hosts: DataFrame) -> DataFrame:
+    """(low, high): each host of `hosts` (host) and each of its ancestor domains with the next shorter one."""
+    name = F.regexp_replace(F.regexp_replace("host", r"(?s)^.*@", ""), r":[0-9]*$", "")
+    names = F.expr(r"""CASE WHEN _name RLIKE r'^([0-9.]+$|\[)' THEN array(_name) ELSE
+        filter(transform(sequence(size(split(_name, r'\.')), 1, -1), i -> substring_index(_name, '.', -i)),
+               s -> s <> '' AND NOT startswith(s, '.')) END""")
+    chain = hosts.withColumn("_name", name).select(F.array_distinct(F.concat(F.array("host"), names)).alias("_chain"))
+    pairs = F.expr("transform(slice(_chain, 1, size(_chain) - 1), (low, i) -> named_struct('low', low, 'high', _chain[i + 1]))")
+    return chain.select(F.explode(pairs).alias("_pair")).select("_pair.low", "_pair.high").filter("high <> ''").distinct()
+
+
 def host_edges(judged: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts, each source's weights adding up to 1."""
+    """(src, dst, weight, links, domains) between different hosts or domains, each source's weights adding up to 1. `links` of
+    the weight's parts are links, `domains` (0 or 1) is the step between a domain and the next shorter one."""
     known = judged.filter("host <> ''")
     found = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""), 1)
     links = (known.select(F.col("host").alias("src"), F.explode(found).alias("dst"))
-             .select("src", _lower(F.col("dst")).alias("dst")).filter("dst <> src").groupBy("src", "dst").count())
-    hosts = known.select("host").distinct()
-    parents = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]+\.", "").alias("dst")).filter("src <> dst")
-    parents = parents.join(hosts.withColumnRenamed("host", "dst"), "dst").select("src", "dst", F.lit(1).cast("long").alias("count"))
-    both = links.unionByName(parents).groupBy("src", "dst").agg(F.sum("count").alias("n"))
-    out = both.groupBy("src").agg(F.sum("n").alias("_all"))
-    return both.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("weight"))
+             .select("src", _lower(F.col("dst")).alias("dst")).filter("dst <> src").groupBy("src", "dst").agg(F.count("*").alias("links")))
+    links = cut_lineage(links)  # read twice, and the pages' HTML once
+    up = _steps_up(known.select("host").union(links.select("dst")).distinct())
+    both_ways = up.select(F.col("low").alias("src"), F.col("high").alias("dst")).union(up.select("high", "low"))
+    both = (links.withColumn("domains", F.lit(0)).unionByName(both_ways.withColumn("links", F.lit(0)).withColumn("domains", F.lit(1)))
+            .groupBy("src", "dst").agg(F.sum("links").alias("links"), F.sum("domains").alias("domains")))
+    out = both.groupBy("src").agg(F.sum(F.col("links") + F.col("domains")).alias("_all"))
+    weight = ((F.col("links") + F.col("domains")) / F.col("_all")).alias("weight")
+    return both.join(out, "src").select("src", "dst", weight, "links", "domains")
+
+
+def edge_counts(edges: DataFrame) -> dict[str, int]:
+    """Pairs with links, and steps between domains (each way is one), among `host_edges`."""
+    return edges.agg(F.count_if(F.col("links") > 0).alias("links"), F.count_if(F.col("domains") > 0).alias("domains")).first().asDict()
 
 
 def personalised_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
-                      tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
+                      tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS, small: int = SMALL_BYTES) -> DataFrame:
     """(host, rank): the random walk that restarts at `seeds` (host, seed; shares of 1).
 
     Walks end at nodes without edges out. The steps stop when the ranks move by less than `tolerance` in all;
-    each step's ranks are written to the shared folder, so a lost executor costs one step.
+    each step's ranks are written to the shared folder, so a lost executor costs one step. A graph that is checked
+    to be under `small` bytes is stepped on the driver.
     """
     start = nodes.join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed"))
+    if fits(nodes, 200, small) and fits(edges, 400, small):
+        return _rank_of_few(start, edges, damping, tolerance, max_steps)
     ranks = cut_lineage(start.withColumn("rank", F.col("seed")))
     for _ in range(max_steps):
         sent = (edges.join(ranks.select(F.col("host").alias("src"), "rank"), "src")
@@ -90,6 +119,23 @@ def personalised_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damp
     return ranks.select("host", "rank")
 
 
+def _rank_of_few(start: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_steps: int) -> DataFrame:
+    """The same steps on arrays, in a fixed order of edges."""
+    rows, pairs = start.orderBy("host").toArrow(), edges.select("src", "dst", "weight").orderBy("src", "dst").toArrow()
+    number = {h: i for i, h in enumerate(rows.column("host").to_pylist())}
+    src, dst = (np.array([number.get(h, -1) for h in pairs.column(c).to_pylist()], dtype=np.int64) for c in ("src", "dst"))
+    known = (src >= 0) & (dst >= 0)
+    src, dst, weight = src[known], dst[known], pairs.column("weight").to_numpy()[known]
+    seed = rows.column("seed").to_numpy()
+    ranks = seed
+    for _ in range(max_steps):
+        before, ranks = ranks, (1 - damping) * seed + damping * np.bincount(dst, ranks[src] * weight, minlength=len(seed))
+        if np.abs(ranks - before).sum() < tolerance:
+            break
+    made = pa.table({"host": pa.array(list(number), pa.string()), "rank": pa.array(ranks, pa.float64())})
+    return start.sparkSession.createDataFrame(made, "host string, rank double")
+
+
 def _shares(counts: DataFrame) -> DataFrame:
     """Seeds in proportion to their pages."""
     total = counts.agg(F.sum("n").alias("_all"))
@@ -97,8 +143,9 @@ def _shares(counts: DataFrame) -> DataFrame:
 
 
 def host_verdicts(judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, trust, distrust, host_verdict) of every host that has pages or is linked to."""
+    """(host, trust, distrust, host_verdict) of every host that has pages or is linked to, and of their ancestor domains."""
     edges = cut_lineage(host_edges(judged))
+    _LOG.info("host graph: %(links)d edges by links, %(domains)d between domains", edge_counts(edges))
     own = judged.filter("host <> ''").groupBy("host").agg(
         F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad"))
     own = cut_lineage(own)

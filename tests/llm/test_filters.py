@@ -220,6 +220,30 @@ def test_trust_and_distrust_travel(spark):
     assert url_graph.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_domains_without_pages_join_their_hosts(spark):
+    rows = [(1, "http://a.b.farm.net/es/x", ""), (2, "http://c.farm.net/", ""), (3, "http://u.x@d.farm.net:80/", "<a href='//e.far.org/'>"),
+            (4, "http://10.0.0.1/", ""), (5, "http://net.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = url_graph.host_edges(url_graph.ruled(pages, URL_RULES))
+    up = [("a.b.farm.net", "b.farm.net"), ("b.farm.net", "farm.net"), ("c.farm.net", "farm.net"), ("u.x@d.farm.net:80", "d.farm.net"),
+          ("d.farm.net", "farm.net"), ("farm.net", "net"), ("e.far.org", "far.org"), ("far.org", "org"), ("net.org", "org")]
+    got = {(r["src"], r["dst"]): r["weight"] for r in edges.collect()}
+    assert set(got) == {*up, *[(b, a) for a, b in up], ("u.x@d.farm.net:80", "e.far.org")}
+    assert got["farm.net", "c.farm.net"] == 1 / 4 and got["u.x@d.farm.net:80", "d.farm.net"] == 1 / 2
+    assert url_graph.edge_counts(edges) == {"links": 1, "domains": 2 * len(up)}
+    judged = {r["page_id"]: r for r in url_graph.judge(pages, URL_RULES).collect()}
+    assert [judged[i]["verdict"] for i in range(1, 6)] == ["block", "block", "block", "allow", "allow"]  # c has no seed of its own
+    assert judged[2]["distrust"] > 0 and judged[4]["distrust"] == judged[5]["distrust"] == 0
+
+
+def test_a_small_graph_is_ranked_as_a_large_one(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcd"], "host string")
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.5), ("b", "a", 1.0), ("x", "d", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    few, many = (dict(map(tuple, url_graph.personalised_rank(nodes, edges, seeds, tolerance=0.05, small=size).collect())) for size in (1 << 20, 0))
+    assert few.keys() == many.keys() and all(abs(few[h] - many[h]) < 1e-12 for h in few)
+
+
 def test_rank_is_the_solution_of_its_equation(spark):
     rng = np.random.default_rng(0)
     n, d = 12, 0.85
