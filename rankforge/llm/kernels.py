@@ -126,10 +126,10 @@ def windows_inside(edges: np.ndarray, width: int, total: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=bool)
     inside = np.ones(total + 1, dtype=np.int8)
-    ends = edges[1:]
-    for step in range(1, width):
-        inside[np.maximum(ends - step, 0)] = 0
     counts = np.diff(edges)
+    ends = edges[1:][counts >= width]  # no step leads back beyond the start of these
+    for step in range(1, width):
+        inside[ends - step] = 0
     short = np.flatnonzero(counts < width)
     for i in short:  # every position of a short text
         inside[edges[i]:edges[i + 1]] = 0

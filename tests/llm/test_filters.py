@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from rankforge.llm import quality, substring, toxicity, url_graph
+from rankforge.llm import kernels, quality, substring, toxicity, url_graph
 from rankforge.llm.queries import QUERIES, URL_RULES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +61,21 @@ def test_repeats_at_every_offset(spark):
             assert r["kept_text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
+WORDLESS = [None, "", " \t\n "]
+
+
+def test_windows_after_texts_without_words():
+    assert kernels.windows_inside(np.array([0, 0, 30]), 20, 30).tolist() == [True] * 11
+    assert kernels.windows_inside(np.array([0, 0, 2, 2, 5, 5]), 3, 5).tolist() == [False, False, True]
+
+
+def test_repeats_after_texts_without_words(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, t) for i, t in enumerate(WORDLESS)] + [(10, passage + " first"), (11, "own " + passage), (300, None), (301, passage), (302, passage + " last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert cleaned(substring.remove_repeats(docs, digests=True)) == without_repeats(rows)
+
+
 def base_counts(text):
     w = WORD.findall(text or "")
     triples = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
@@ -104,6 +119,12 @@ def test_quality_of_odd_rows(spark, odd, nothing, odd_rows):
     assert quality.fit(odd, labels).a == 0
 
 
+def test_quality_after_texts_without_words(spark):
+    rows = [(i, t) for i, t in enumerate(WORDLESS)] + [(10, "la le lu x la le lu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.judge(docs, quality.no_model()).collect()} == {0: 0, 1: 0, 2: 0, 10: 6}
+
+
 def test_toxicity_of_documents(spark, sf, con):
     rows = QUERIES["op5_toxicity"](spark, sf).collect()
     assert len(rows) == con.execute("SELECT count(*) FROM documents").fetchone()[0]
