@@ -40,12 +40,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays, and one row of it."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return kept.withColumn("_n", again).filter("_n = 1").drop("_n")
+    """One row of each component stays, with its smallest doc_id (a null one only where all are null); rows without words all stay."""
+    first = ngram_join.survivors(docs.select("doc_id", "text"))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_first"), F.col("wordless").alias("_wordless"))
+    keyed = docs.select(*COLUMNS, ngram_join.text_key("text").alias("_key"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")))
+    own = kept.withColumn("_own", F.when(F.col("_wordless"), F.monotonically_increasing_id()))
+    again = F.row_number().over(Window.partitionBy("doc_id", "_key", "_own").orderBy(F.lit(1)))
+    return own.withColumn("_n", again).filter("_n = 1").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .kernels import folded, mixed, slices, window_hashes, windows_inside, word_hashes, words
@@ -41,6 +41,7 @@ WORDS, PERCENT, ORDERS, BUCKETS = 5, 75, 3, 256
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
 _ROW_BITS = 33
 _DENSE = 64  # tokens of more documents than this in a block are counted by a matrix product
+_HEAD = np.dtype([("id", np.int64), ("known", np.int64), ("n", np.int64), ("text", np.int64), ("digest", "V16")])
 _SENT = "bucket int, slice long, keys binary, owners binary, heads binary"
 
 
@@ -64,13 +65,16 @@ def shingle_sets(piece, width: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def text_key(text: str) -> Column:
+    """With the doc_id it tells a row from all rows of other texts."""
+    return F.xxhash64(text)
+
+
 def _sent_tokens(docs: DataFrame, width: int) -> DataFrame:
     """Per slice of texts: a row per bucket with (token, owner), and one row (heads) about its documents.
 
     A document's node is its Spark partition and its place in it: a scan that is run again gives the same.
     """
-    head = np.dtype([("id", np.int64), ("known", np.int64), ("n", np.int64), ("digest", "V16")])
-
     def run(batches):
         node = TaskContext.get().partitionId() << _ROW_BITS
         for batch in batches:
@@ -78,10 +82,10 @@ def _sent_tokens(docs: DataFrame, width: int) -> DataFrame:
             for piece in slices(batch.column(1)):
                 sets = shingle_sets(piece, width)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                heads = np.zeros(len(sets), dtype=head)
+                heads = np.zeros(len(sets), dtype=_HEAD)
                 mine = ids.slice(piece.first, piece.texts)
                 heads["id"], heads["known"] = mine.fill_null(0).to_numpy(zero_copy_only=False), mine.is_valid().to_numpy(zero_copy_only=False)
-                heads["n"] = sizes
+                heads["n"], heads["text"] = sizes, batch.column(2).slice(piece.first, piece.texts).to_numpy(zero_copy_only=False)
                 heads["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 tokens = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets)), sizes).astype(np.uint16)
@@ -98,7 +102,7 @@ def _sent_tokens(docs: DataFrame, width: int) -> DataFrame:
                      *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "slice", "keys", "owners", "heads"])
                 node += piece.texts
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SENT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text")).mapInArrow(run, _SENT)
 
 
 def _shared_tokens(sent: DataFrame) -> DataFrame:
@@ -139,12 +143,10 @@ def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def _documents(shared: DataFrame, percent: int) -> DataFrame:
-    """A row per document: node, doc_id, n, digest, and its shared tokens with powers if it may link at all."""
-    head = np.dtype([("id", np.int64), ("known", np.int64), ("n", np.int64), ("digest", "V16")])
-
+    """A row per document: node, doc_id, n, text_key, digest, and its shared tokens with powers if it may link at all."""
     def gather(table: pa.Table) -> pa.Table:
         rows = table.filter(table.column("heads").is_null())
-        heads = np.frombuffer(b"".join(table.column("heads").drop_null().to_pylist()), dtype=head)
+        heads = np.frombuffer(b"".join(table.column("heads").drop_null().to_pylist()), dtype=_HEAD)
         key = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64)
         owner = np.frombuffer(b"".join(rows.column("owners").to_pylist()), np.uint16)
         power = np.frombuffer(b"".join(rows.column("powers").to_pylist()), np.uint8)
@@ -157,12 +159,12 @@ def _documents(shared: DataFrame, percent: int) -> DataFrame:
         return pa.table({
             "node": pa.array(first + np.arange(len(heads)), pa.int64()),
             "doc_id": pa.array(heads["id"], pa.int64(), mask=heads["known"] == 0), "n": pa.array(n, pa.int64()),
-            "digest": pa.array([d.tobytes() for d in heads["digest"]], pa.binary()),
+            "text_key": pa.array(heads["text"], pa.int64()), "digest": pa.array([d.tobytes() for d in heads["digest"]], pa.binary()),
             "keys": pa.array([key[a:b].tobytes() if m else None for m, a, b in zip(may, edges[:-1], edges[1:])], pa.binary()),
             "powers": pa.array([power[a:b].tobytes() if m else None for m, a, b in zip(may, edges[:-1], edges[1:])], pa.binary())})
 
     return shared.groupBy("slice").applyInArrow(
-        gather, "node long, doc_id long, n long, digest binary, keys binary, powers binary")
+        gather, "node long, doc_id long, n long, text_key long, digest binary, keys binary, powers binary")
 
 
 def prefixes(key: np.ndarray, power: np.ndarray, n: int, order: int, percent: int = PERCENT) -> np.ndarray:
@@ -308,8 +310,8 @@ def _links(records: DataFrame, clusters: DataFrame, percent: int, orders: int) -
     return paired.groupBy("cluster", "i", "j").applyInArrow(verify, "node long, root long, links long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
+def _judged(docs: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, component_id, n_links, and `stays` for one row of each component."""
     rows = settled(_documents(_shared_tokens(_sent_tokens(docs, width)), percent))
     classes = settled(rows.filter("n > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"), F.count("*").alias("copies"))
@@ -319,11 +321,23 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     links = settled(_links(records, clusters, percent, orders))
     reached = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))
+    ids = named.groupBy("component").agg(
+        F.min("rep_id").alias("component_id"), F.min(F.struct(F.col("rep_id").isNull().alias("last"), "rep_id", "node")).alias("_first"))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     told = (named.join(ids, "component").join(counted, "node", "left")
-            .select("digest", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return (rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(told, "digest", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+            .select("digest", "component_id", F.col("_first.node").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return (rows.select("node", "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(told, "digest", "left")
+            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), ((F.col("n") == 0) | (F.col("node") == F.col("first"))).alias("stays"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links (documents it links with, copies included)."""
+    return _judged(docs, width, percent, orders).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def survivors(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """(doc_id, text_key, wordless): the row with the smallest doc_id of each component, and all rows without words."""
+    out = _judged(docs, width, percent, orders).filter("stays")
+    return out.select("doc_id", "text_key", (F.col("n_shingles") == 0).alias("wordless")).distinct()

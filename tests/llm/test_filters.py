@@ -321,3 +321,15 @@ def test_pipeline_takes_odd_rows(spark, sf, odd_rows):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert Counter(r["doc_id"] for r in kept.collect())[5] == 0  # row 4 is the smallest of that group
     assert kept.filter("doc_id = 9").count() == 1 and kept.filter("doc_id = 10").count() == 0
+
+
+def test_one_row_of_each_component_stays(spark, sf):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(None, a), (None, a + " more"), (None, b), (7, b + " more"), (8, "text of " + c), (8, c), (6, c + " end"), (8, "d e f g h i"),
+            (8, "d e f g h i"), (None, "no copy of any other text"), (None, None), (None, None), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
+    want = [(7, b + " more"), (6, c + " end"), (8, "d e f g h i"), (None, "no copy of any other text"), (None, None), (None, None), (9, " ")]
+    rest = Counter(kept) - Counter(want)
+    assert not Counter(want) - Counter(kept)
+    assert len(kept) == len(want) + 1 and set(rest) <= {(None, a), (None, a + " more")}
