@@ -19,6 +19,7 @@ ancestors.
 from __future__ import annotations
 
 import logging
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from ..session import SMALL_BYTES, cut_lineage, fits
 from .resources import beside
 
 _LOG = logging.getLogger(__name__)
-DAMPING, TOLERANCE, MAX_STEPS, THRESHOLD = 0.85, 1e-6, 40, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 1.0
 
 
 def _lower(text: Column) -> Column:
@@ -95,19 +96,25 @@ def edge_counts(edges: DataFrame) -> dict[str, int]:
     return edges.agg(F.count_if(F.col("links") > 0).alias("links"), F.count_if(F.col("domains") > 0).alias("domains")).first().asDict()
 
 
+def steps_needed(damping: float, tolerance: float) -> int:
+    """Step k moves 2 * damping ** k at most, as seeds add up to 1; one more for rounding."""
+    return math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
+
+
 def personalised_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
-                      tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS, small: int = SMALL_BYTES) -> DataFrame:
+                      tolerance: float = TOLERANCE, small: int = SMALL_BYTES) -> DataFrame:
     """(host, rank): the random walk that restarts at `seeds` (host, seed; shares of 1).
 
-    Walks end at nodes without edges out. The steps stop when the ranks move by less than `tolerance` in all;
+    Walks end at nodes without edges out. The steps stop when the ranks move by less than `tolerance` in all
+    (`steps_needed` bounds them, and it is an error if they do not);
     each step's ranks are written to the shared folder, so a lost executor costs one step. A graph that is checked
     to be under `small` bytes is stepped on the driver.
     """
     start = nodes.join(seeds, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed"))
     if fits(nodes, 200, small) and fits(edges, 400, small):
-        return _rank_of_few(start, edges, damping, tolerance, max_steps)
+        return _rank_of_few(start, edges, damping, tolerance)
     ranks = cut_lineage(start.withColumn("rank", F.col("seed")))
-    for _ in range(max_steps):
+    for _ in range(steps_needed(damping, tolerance)):
         sent = (edges.join(ranks.select(F.col("host").alias("src"), "rank"), "src")
                 .groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("weight"))).alias("_got")))
         moved = cut_lineage(ranks.join(sent, "host", "left").select(
@@ -116,10 +123,12 @@ def personalised_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damp
         ranks = moved.select("host", "seed", F.col("_next").alias("rank"))
         if change < tolerance:
             break
+    else:
+        raise RuntimeError("ranks did not settle")
     return ranks.select("host", "rank")
 
 
-def _rank_of_few(start: DataFrame, edges: DataFrame, damping: float, tolerance: float, max_steps: int) -> DataFrame:
+def _rank_of_few(start: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """The same steps on arrays, in a fixed order of edges."""
     rows, pairs = start.orderBy("host").toArrow(), edges.select("src", "dst", "weight").orderBy("src", "dst").toArrow()
     number = {h: i for i, h in enumerate(rows.column("host").to_pylist())}
@@ -128,10 +137,12 @@ def _rank_of_few(start: DataFrame, edges: DataFrame, damping: float, tolerance:
     src, dst, weight = src[known], dst[known], pairs.column("weight").to_numpy()[known]
     seed = rows.column("seed").to_numpy()
     ranks = seed
-    for _ in range(max_steps):
+    for _ in range(steps_needed(damping, tolerance)):
         before, ranks = ranks, (1 - damping) * seed + damping * np.bincount(dst, ranks[src] * weight, minlength=len(seed))
         if np.abs(ranks - before).sum() < tolerance:
             break
+    else:
+        raise RuntimeError("ranks did not settle")
     made = pa.table({"host": pa.array(list(number), pa.string()), "rank": pa.array(ranks, pa.float64())})
     return start.sparkSession.createDataFrame(made, "host string, rank double")
 

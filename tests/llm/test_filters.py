@@ -265,6 +265,24 @@ def test_a_small_graph_is_ranked_as_a_large_one(spark):
     assert few.keys() == many.keys() and all(abs(few[h] - many[h]) < 1e-12 for h in few)
 
 
+def test_ranks_go_on_to_the_tolerance(spark):
+    n, d = 60, 0.85  # a path, and a circle of two, in which the mass goes on moving
+    nodes = spark.createDataFrame([(str(i),) for i in range(n)], "host string")
+    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(n - 1)] + [("59", "58", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("0", 0.5), ("58", 0.5)], "host string, seed double")
+    m = np.zeros((n, n))
+    for i in range(n - 1):
+        m[i + 1, i] = 1
+    m[58, 59] = 1
+    seed = np.zeros(n)
+    seed[[0, 58]] = 0.5
+    want = np.linalg.solve(np.eye(n) - d * m, (1 - d) * seed)
+    got = {int(r["host"]): r["rank"] for r in url_graph.personalised_rank(nodes, edges, seeds).collect()}
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-5, rtol=0) and got[50] > 0
+    with pytest.raises(RuntimeError):  # seeds beyond 1 move further than the bound allows
+        url_graph.personalised_rank(nodes, edges, seeds.withColumn("seed", seeds["seed"] * 1e9))
+
+
 def test_rank_is_the_solution_of_its_equation(spark):
     rng = np.random.default_rng(0)
     n, d = 12, 0.85
