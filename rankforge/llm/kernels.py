@@ -134,3 +134,21 @@ def windows_inside(edges: np.ndarray, width: int, total: int) -> np.ndarray:
     for i in short:  # every position of a short text
         inside[edges[i]:edges[i + 1]] = 0
     return inside[:n].astype(bool)
+
+
+def runs(piece: Slice, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and `edges` of the maximal runs of `member` bytes inside the texts, as `words` gives them."""
+    cut = np.zeros(len(member) + 1, dtype=bool)
+    cut[piece.bounds] = True
+    before, after = np.zeros(len(member), dtype=bool), np.zeros(len(member), dtype=bool)
+    before[1:], after[:-1] = member[:-1], member[1:]
+    starts = np.flatnonzero(member & (~before | cut[:-1]))
+    ends = np.flatnonzero(member & (~after | cut[1:])) + 1
+    return starts, ends, np.searchsorted(starts, piece.bounds)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of all (start, length) stretches, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]

@@ -27,3 +27,9 @@ def settled(df: DataFrame) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
+
+
+def buckets_for(docs: DataFrame, text: str = "text", bucket_bytes: int = 16 << 20, least: int = 256) -> int:
+    """Number of hash buckets so that each gets the tokens of about `bucket_bytes` of text, however large the table."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, -(-int(total) // bucket_bytes))
