@@ -7,12 +7,12 @@ margin is calibrated to a probability on rows held out of the fit (Platt scaling
 every task and runs over Arrow batches. A text is kept if no base rule fails and the probability is at least
 `threshold`.
 
-The fit reads at most `MAX_ROWS` labelled rows, chosen by hash of doc_id, and of each its whole text.
+The fit reads at most `MAX_ROWS` labelled rows, chosen by hash, with at most `MAX_BYTES` of text in all, and of each its whole text.
 Every text is scored whole.
 
 Defined results: a null text is the empty text; a text without words fails the base rules; with no labelled rows,
 or labels of one kind only, the model keeps all and the base rules decide; rows with a null label are
-not learnt from; several labels for one doc_id count as rows of their own; an empty table gives no rows; other
+not learnt from; several labels or texts of one doc_id count as rows of their own, equal ones as one; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .kernels import Slice, mixed, slices, window_hashes, windows_inside, word_hashes, words
+from .labelled import labelled_rows
 
-BITS, MAX_ROWS, THRESHOLD = 16, 3000, 0.5
+BITS, MAX_ROWS, MAX_BYTES, THRESHOLD = 16, 3000, 12 << 20, 0.5
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _CHARACTERS = (3, 4, 5)
@@ -175,12 +176,10 @@ def no_model() -> Model:
     return Model(np.zeros((KINDS, 1 << BITS)), 0.0, 0.0, 30.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, epochs: int = 8) -> Model:
-    """Fit on at most `max_rows` labelled rows; every fifth of them, by hash, is left for the calibration."""
-    known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", label).limit(max_rows)  # the documented bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rng, table = np.random.default_rng(7), _hashed_rows(rows, label).toArrow()
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, epochs: int = 8) -> Model:
+    """Fit on at most `max_rows` labelled rows of `max_bytes` in all; every fifth of them, by hash, is left for the calibration."""
+    rows = labelled_rows(docs, labels, label, max_rows, max_bytes)
+    rng, table = np.random.default_rng(7), _hashed_rows(rows, "label").toArrow()
     found = list(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), _arrays(table["buckets"], np.int32), _arrays(table["shares"], np.float32)))
     found.sort(key=lambda r: (r[1] is None, r[1], r[0], len(r[2])))
     y = np.array([r[0] for r in found], dtype=float)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann_blocks, bpe, chat, divergence, ngram_join, packing, quality, sharding, spelling, substring, toxicity, url_graph
+from . import ann_blocks, bpe, chat, divergence, ngram_join, packing, passages, quality, sharding, spelling, substring, toxicity, url_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,12 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGIN
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
       FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+@_query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by attention over its passages; labels of held-out rows are not learnt."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = passages.score(docs, passages.fit(docs, labels.filter(~toxicity.held_out("doc_id"))))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "passages", "attended")

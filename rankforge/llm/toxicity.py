@@ -12,12 +12,12 @@ margins, the number of its toxic units and its length into a probability.
 The kernel is linear in the landmarks, so their weights fold into one weight per letter triple, and scoring a unit
 is a sum over its own triples: exactly the machine's value, without a kernel per landmark.
 
-The fit reads at most `MAX_ROWS` labelled texts, chosen by hash of doc_id, whole; of the clean texts' words at most `MAX_CLEAN` distinct
+The fit reads at most `MAX_ROWS` labelled texts, chosen by hash, with at most `MAX_BYTES` in all, whole; of the clean texts' words at most `MAX_CLEAN` distinct
 ones, by hash. Both bounds are parameters and hold for the fit alone; every text is scored whole.
 
 Defined results: a null text is the empty text; a text without units counts as one with margins below the machine's intercept, so a low score;
-with no labelled texts, or of one kind only, all scores are 0; null labels are not learnt from; several labels of one doc_id count
-as texts of their own; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+with no labelled texts, or of one kind only, all scores are 0; null labels are not learnt from; several labels or texts of one doc_id count
+as texts of their own, equal ones as one; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MAX_ROWS, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 60_000, 160, 0.6, 24
+from .labelled import labelled_rows
+
+MAX_ROWS, MAX_BYTES, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 24 << 20, 60_000, 160, 0.6, 24
 _LIFT, _LEAST = 6.0, 4
 _KINDS = 64  # letters are folded into this many
 _CACHE = 300_000
@@ -272,26 +274,23 @@ def probability(model: Model, inputs: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(inputs @ model.calibration[:-1] + model.calibration[-1], -60, 60)))
 
 
-def _bags(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, label, units joined by line breaks) of the chosen labelled rows."""
+def _bags(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, units joined by line breaks) of the labelled rows."""
     def run(batches):
         for batch in batches:
             texts = [sorted({p for u in units(t or "") for p in plain(u)}) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["\n".join(t) for t in texts], pa.string())],
                                              names=["doc_id", "label", "units"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most max_rows
-    return rows.mapInArrow(run, "doc_id long, label int, units string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, units string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    """Fit on at most `max_rows` labelled rows, half of them toxic where there are so many."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
-    by_hash = known.withColumn("_h", F.xxhash64("doc_id", F.lit(11)))
-    parts = [by_hash.filter(F.col("label") == y).orderBy("_h", "doc_id").limit(max_rows // 2) for y in (0, 1)]  # the documented bound
-    chosen = parts[0].unionByName(parts[1]).select("doc_id", "label")
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
-    found = sorted((r["doc_id"], r["label"], r["units"]) for r in _bags(docs, chosen).collect())
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS,
+        max_bytes: int = MAX_BYTES) -> Model | None:
+    """Fit on at most `max_rows` labelled rows of `max_bytes` in all, half of both toxic where there are so many."""
+    rows = labelled_rows(docs, labels, label, max_rows, max_bytes, each=True, seed=11)
+    counts = {r[0]: r[1] for r in labels.select(F.col(label).cast("int").alias("label")).filter("label IS NOT NULL").groupBy("label").count().collect()}
+    found = sorted((r["doc_id"], r["label"], r["units"]) for r in _bags(rows).collect())
     order = np.random.default_rng(3).permutation(len(found))
     return train([(found[i][1], found[i][2].split("\n") if found[i][2] else []) for i in order], landmarks,
                  prior=counts.get(1, 0) / max(1, sum(counts.values())))
