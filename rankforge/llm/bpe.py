@@ -3,7 +3,8 @@
 Each distinct word of a batch becomes a row of a matrix. A complete binary tree over its adjacent
 pairs holds rank * width + position, so the root is the leftmost lowest-rank merge. A merge changes
 at most three leaves, and each change climbs the logarithm of the width. All rows of one width class
-take their next merge together until no row has a mergeable pair left.
+take their next merge together until no row has a mergeable pair left. A worker keeps a bounded table of
+the words it met lately with their ids, so that usual words are merged once and not once a batch.
 
 The vocabulary file (tokenizers JSON, BPE on bytes, with or without word ends) is read once on the
 driver and broadcast: its size does not depend on the data. With word ends, texts are normalised (NFC,
@@ -35,6 +36,7 @@ from .kernels import mixed, power_tables
 _NONE = np.int64(1) << 62
 _CELLS = 1 << 19  # matrix cells that are worked on at once
 _LETTERS = 1 << 21  # characters of text whose words are gathered at once, or one longer text
+_KNOWN_WORDS, _KNOWN_BYTES = 150_000, 48  # words of a generation of a worker's table, and bytes of a word that is kept
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 # White_Space of the Unicode standard (fixed values).
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -51,12 +53,38 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class WordTable:
+    """Ids of words met before, found by the words themselves. Two generations of bounded size: what is not met again goes."""
+
+    def __init__(self, words: int = _KNOWN_WORDS, longest: int = _KNOWN_BYTES):
+        self.words, self.longest = words, longest
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        young, old = self.young, self.old
+        found = [young.get(w) for w in words]
+        if old:
+            for i, ids in enumerate(found):
+                if ids is None and (ids := old.get(words[i])) is not None:
+                    found[i] = ids
+                    self.put(words[i], ids)
+        return found
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        if len(word) <= self.longest:
+            if len(self.young) >= self.words:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+
+
 class Vocabulary:
-    """Ids, merge ranks and pattern of a tokenizers JSON file."""
+    """Ids, merge ranks and pattern of a tokenizers JSON file, and the words that this process has encoded lately."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
         model = spec["model"]
+        self.table = WordTable()
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -172,6 +200,21 @@ def encode_words(vocab: Vocabulary, raw: np.ndarray, starts: np.ndarray, sizes:
     return ids, lengths
 
 
+def encode_known(vocab: Vocabulary, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `encode_words`; words of the worker's table are not merged again."""
+    whole = raw.tobytes()
+    words = [whole[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
+    found = vocab.table.find(words)
+    new = [i for i, ids in enumerate(found) if ids is None]
+    if new:
+        ids, counts = encode_words(vocab, raw, starts[new], sizes[new])
+        flat, ends = ids.astype(np.uint32).tobytes(), (4 * np.cumsum(counts)).tolist()
+        for i, a, b in zip(new, [0, *ends], ends):
+            found[i] = flat[a:b]
+            vocab.table.put(words[i], found[i])
+    return np.frombuffer(b"".join(found), np.uint32).astype(np.int64), np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+
+
 _kinds: list[np.ndarray] = []
 
 
@@ -258,7 +301,7 @@ def encode_plain(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.nd
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)])))
     keys = mixed((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(np.uint64))
     _, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-    ids, counts = encode_words(vocab, raw, starts[sample], sizes[sample])
+    ids, counts = encode_known(vocab, raw, starts[sample], sizes[sample])
     lengths = counts[which]
     flat = gathered(ids, (np.cumsum(counts) - counts)[which], lengths)
     return flat, np.concatenate(([0], np.cumsum(lengths)))[owner]

@@ -117,3 +117,17 @@ def test_patterns_use_every_piece(counts):
                 room[k] -= s
         first_fit = len(room)
         assert sum(p.copies for p in patterns) <= 1.03 * first_fit + len(sizes)
+
+
+def test_word_table_is_bounded_and_gives_the_same_ids(documents):
+    from rankforge.llm import bpe
+    vocab = bpe.Vocabulary(bpe.read_text(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [t or "" for _, t in documents[:30]] + ["x" * 300, "word " * 50, ""]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for words in (150_000, 40):
+        vocab.table = bpe.WordTable(words)
+        for _ in range(2):  # the second time from what is known
+            assert [ids.tolist() for ids in bpe.encode_texts(vocab, texts)] == want
+        assert max(len(vocab.table.young), len(vocab.table.old)) <= words
+        assert all(len(w) <= 48 for w in vocab.table.young)
