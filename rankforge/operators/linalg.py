@@ -16,6 +16,7 @@ from ..session import SMALL_BYTES, cut_lineage
 
 GRAM_COLUMNS = 2048   # up to this width the matrix of column products is summed exactly (32 MB)
 OVERSAMPLE = 10
+TOLERANCE = 1e-7      # of a residual, as a share of the largest value of the product
 _STRIP = 1024
 
 
@@ -186,28 +187,154 @@ def _fixed_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(largest < 0, -1.0, 1.0)
 
 
-def _small_svd(packed: DataFrame, n_cols: int, k: int, seed: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
+# Every path but the exact one iterates until each wanted pair has |X'Xv - lv| <= TOLERANCE * l1. For a symmetric product the
+# error of a value is then of the order of TOLERANCE squared over its gap, so all paths give the same singular values.
+
+def _new_directions(products: np.ndarray, width: int) -> np.ndarray | None:
+    """How to turn [q | r] columns into an orthonormal addition to q: coefficients, or None if r adds nothing.
+
+    `products` is [q | r]'[q | r]; the first `width` columns are q, which is orthonormal.
+    """
+    across = products[:width, width:]
+    left = products[width:, width:] - across.T @ across
+    values, turn = np.linalg.eigh((left + left.T) / 2)
+    kept = values > 1e-10 * max(1e-300, float(np.trace(products[width:, width:])) / len(left))
+    if not kept.any():
+        return None
+    scaled = turn[:, kept] / np.sqrt(values[kept])
+    return np.vstack([-across @ scaled, scaled])
+
+
+class _LocalBasis:
+    """Basis q and image X'Xq as arrays on the driver; each product is one scan of the packed rows."""
+
+    def __init__(self, packed: DataFrame, start: np.ndarray):
+        self.packed = packed
+        self.q = np.linalg.qr(start)[0]
+        self.image = _times_transposed(packed, self.q)
+
+    def products(self) -> np.ndarray:
+        both = np.hstack([self.q, self.image])
+        return both.T @ both
+
+    def keep(self, turn: np.ndarray) -> None:
+        self.q, self.image = self.q @ turn, self.image @ turn
+
+    def extend(self, residual: np.ndarray) -> int:
+        """Add the directions [q | image] * residual and their images; how many there are."""
+        more, width = np.hstack([self.q, self.image]) @ residual, self.q.shape[1]
+        for _ in range(2):
+            both = np.hstack([self.q, more])
+            turn = _new_directions(both.T @ both, width)
+            if turn is None:
+                return 0
+            more = both @ turn
+        self.q = np.hstack([self.q, more])
+        self.image = np.hstack([self.image, _times_transposed(self.packed, more)])
+        return more.shape[1]
+
+
+class _JoinedBasis:
+    """The same as rows `(idx, vec)` with vec = [q | image]; products are joins, and only small matrices reach the driver."""
+
+    def __init__(self, entries: DataFrame, width: int, seed: int):
+        self.entries, self.width = entries, width
+
+        def noise(j: Column) -> Column:
+            return F.pmod(F.xxhash64(F.col("idx"), j, F.lit(seed)), F.lit(1_000_003)) / 1_000_003 - 0.5
+
+        start = cut_lineage(entries.select("idx").distinct().withColumn(
+            "vec", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), noise)))
+        for _ in range(2):
+            turn = _new_directions(_vector_products(start, width), 0)
+            start = cut_lineage(_turned(start, turn))
+            width = turn.shape[1]
+        self.width = width
+        self.rows = self._with_images(start, start)
+
+    def _with_images(self, q: DataFrame, more: DataFrame) -> DataFrame:
+        """Rows with the columns of q, and of the image of `more` behind them."""
+        image = _joined_product(self.entries, _joined_product(self.entries, more, "idx", "id"), "id", "idx")
+        return cut_lineage(q.join(image.withColumnRenamed("vec", "_image"), "idx").select("idx", F.concat("vec", "_image").alias("vec")))
+
+    def products(self) -> np.ndarray:
+        return _vector_products(self.rows, 2 * self.width)
+
+    def keep(self, turn: np.ndarray) -> None:
+        zero = np.zeros_like(turn)
+        self.rows = cut_lineage(_turned(self.rows, np.block([[turn, zero], [zero, turn]])))
+        self.width = turn.shape[1]
+
+    def extend(self, residual: np.ndarray) -> int:
+        w, rows = self.width, self.rows
+        only_q = np.vstack([np.eye(w), np.zeros((w, w))])
+        both = cut_lineage(_turned(rows, np.hstack([only_q, residual])))  # [q | r]
+        for _ in range(2):
+            turn = _new_directions(_vector_products(both, w + residual.shape[1]), w)
+            if turn is None:
+                return 0
+            n = turn.shape[1]
+            both = cut_lineage(_turned(both, np.hstack([np.vstack([np.eye(w), np.zeros((len(turn) - w, w))]), turn])))
+            residual = residual[:, :n]
+        tail = both.select("idx", F.slice("vec", w + 1, n).alias("vec"))
+        grown = self._with_images(both.select("idx", "vec"), tail)  # [q | r | image of r]
+        old = rows.select("idx", F.slice("vec", w + 1, w).alias("_old"))
+        self.rows = cut_lineage(grown.join(old, "idx").select("idx", F.concat(
+            F.slice("vec", 1, w + n), F.col("_old"), F.slice("vec", w + n + 1, n)).alias("vec")))
+        self.width = w + n
+        return n
+
+
+def _block_krylov(basis: _LocalBasis | _JoinedBasis, k: int, width: int, tolerance: float, passes: int) -> np.ndarray:
+    """Bring `basis` to the leading k directions (its first columns); their values.
+
+    Each step solves the small problem in the basis, locks the pairs whose residual is small enough, and adds the residuals of the
+    others, so a product is spent on open pairs only. A basis of four blocks is cut back to its best `width` directions.
+    """
+    for _ in range(passes):
+        products = basis.products()
+        w = len(products) // 2
+        inner, square = products[:w, w:], products[w:, w:]
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        best = np.argsort(values)[::-1]
+        values, turn = values[best], turn[:, best]
+        top = min(k, w)
+        # |image s - l q s|^2 from the products alone
+        wanted = turn[:, :top]
+        size = np.einsum("ij,ij->j", wanted, square @ wanted) - 2 * values[:top] * np.einsum("ij,ij->j", wanted, inner @ wanted) + values[:top] ** 2
+        open_ = np.flatnonzero(np.sqrt(np.maximum(size, 0)) > tolerance * max(values[0], 1e-300))
+        if w >= k and len(open_) == 0:
+            basis.keep(wanted)
+            return values[:k]
+        if w >= 4 * width:
+            basis.keep(turn[:, :width])
+            turn, values = np.eye(width), values[:width]
+        guards = np.arange(top, min(top + OVERSAMPLE // 2, len(values)))  # the next pairs help those at the edge
+        used = np.concatenate([open_, guards]) if len(open_) else guards
+        residual = np.vstack([-turn[:, used] * values[used], turn[:, used]])
+        residual = residual / np.maximum(np.sqrt(np.maximum(np.sum(residual ** 2, axis=0), 0)), 1e-300)
+        if basis.extend(residual) == 0:  # the basis holds all that the matrix reaches
+            products = basis.products()
+            w = len(products) // 2
+            values, turn = np.linalg.eigh(products[:w, w:] / 2 + products[w:, :w] / 2)
+            best = np.argsort(values)[::-1][:k]
+            basis.keep(turn[:, best])
+            return values[best]
+    raise RuntimeError(f"singular vectors did not reach the tolerance {tolerance} in {passes} passes")
+
+
+def _small_svd(packed: DataFrame, n_cols: int, k: int, seed: int, tolerance: float, passes: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
     """(components n_cols x k, singular values) when a few columns of that height fit the driver."""
-    if n_cols <= GRAM_COLUMNS:
+    if exact:
         # Each partition sends on a whole matrix, so it should have read at least as much.
         parts = max(1, packed.count() // n_cols)
         values, vectors = np.linalg.eigh(_column_products(packed.coalesce(parts), n_cols))
         best = np.argsort(values)[::-1][:k]
         return _fixed_signs(vectors[:, best]), np.sqrt(np.maximum(values[best], 0))
     width = min(k + OVERSAMPLE, n_cols)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_cols, width)))[0]
-    last = None
-    for _ in range(passes):
-        image = _times_transposed(packed, basis)
-        inner = basis.T @ image
-        values, turn = np.linalg.eigh((inner + inner.T) / 2)
-        best = np.argsort(values)[::-1]
-        values, components = values[best], basis @ turn[:, best]
-        if last is not None and np.all(np.abs(values[:k] - last) <= 1e-4 * np.maximum(values[:k], 1e-12)):
-            break
-        last = values[:k]
-        basis = np.linalg.qr(image @ turn[:, best])[0]
-    return _fixed_signs(components[:, :k]), np.sqrt(np.maximum(values[:k], 0))
+    basis = _LocalBasis(packed, np.random.default_rng(seed).standard_normal((n_cols, width)))
+    values = _block_krylov(basis, k, width, tolerance, passes)
+    return _fixed_signs(basis.q), np.sqrt(np.maximum(values, 0))
 
 
 def _turned(vectors: DataFrame, matrix: np.ndarray, key: str = "idx", kind: str = "int") -> DataFrame:
@@ -244,32 +371,19 @@ def _joined_product(entries: DataFrame, vectors: DataFrame, on: str, to: str) ->
             .agg(sum_vector(scale(F.col("vec"), F.col("value"))).alias("vec")))
 
 
-def _distributed_svd(entries: DataFrame, k: int, seed: int, passes: int) -> tuple[DataFrame, np.ndarray]:
+def _distributed_svd(entries: DataFrame, n_cols: int, k: int, seed: int, tolerance: float, passes: int) -> tuple[DataFrame, np.ndarray]:
     """The same iteration with the basis kept as a table, for matrices too wide for the driver."""
-    width = k + OVERSAMPLE
-
-    def noise(j: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col("idx"), j, F.lit(seed)), F.lit(1_000_003)) / 1_000_003 - 0.5
-
-    basis = entries.select("idx").distinct().withColumn(
-        "vec", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), noise))
-    for _ in range(passes):
-        image = _joined_product(entries, _joined_product(entries, basis, "idx", "id"), "id", "idx")
-        image = cut_lineage(image)
-        values, turn = np.linalg.eigh(_vector_products(image, width))
-        # Directions the matrix does not have come out as numerical zeros and stay zero.
-        inverse = np.where(values > 1e-12 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        basis = cut_lineage(_turned(image, turn * inverse))
-    rows = _joined_product(entries, basis, "idx", "id")
-    values, turn = np.linalg.eigh(_vector_products(rows, width))
-    best = np.argsort(values)[::-1][:k]
-    components = cut_lineage(_turned(basis, turn[:, best]))
+    width = min(k + OVERSAMPLE, n_cols)
+    basis = _JoinedBasis(entries, width, seed)
+    values = _block_krylov(basis, k, width, tolerance, passes)
+    k = len(values)
+    components = cut_lineage(basis.rows.select("idx", F.slice("vec", 1, k).alias("vec")))
     signs = components.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(
         F.max_by("x", F.abs("x")).alias("x")).collect()  # k rows
     flip = np.ones(k)
     for row in signs:
         flip[row["j"]] = -1.0 if row["x"] < 0 else 1.0
-    return _turned(components, np.diag(flip)), np.sqrt(np.maximum(values[best], 0))
+    return _turned(components, np.diag(flip)), np.sqrt(np.maximum(values, 0))
 
 
 def _project_packed(packed: DataFrame, components: np.ndarray) -> DataFrame:
@@ -292,28 +406,30 @@ def project(entries: DataFrame, components: DataFrame, n_cols: int, k: int) -> D
     return _project_packed(pack_rows(entries), _collect_matrix(components, n_cols, k))
 
 
-def truncated_svd(entries: DataFrame, n_cols: int, k: int, seed: int = 42, passes: int = 12,
-                  distributed: bool = False) -> dict[str, DataFrame]:
+def truncated_svd(entries: DataFrame, n_cols: int, k: int, seed: int = 42, tolerance: float = TOLERANCE, passes: int = 300,
+                  path: str | None = None) -> dict[str, DataFrame]:
     """Best rank-k factors of a sparse matrix of `n_cols` columns, `idx` being 0..n_cols-1.
 
     Tables: rows `(id, vec)` = U * Sigma, components `(idx, vec)` = V, and spectrum `(component,
-    singular_value, variance, ratio)`. Up to GRAM_COLUMNS columns the result is exact; wider matrices
-    are iterated on, in a broadcast basis while that is small, else (or with `distributed`) in joins.
-    The largest entry of each component is made positive. The matrix is written once and read by
-    every pass.
+    singular_value, variance, ratio)`. Three ways to one accuracy: "exact" column products up to GRAM_COLUMNS columns, a block
+    Krylov iteration with a "broadcast" basis while four blocks of it are small, and the same with the basis in "joined" tables.
+    `path` names one; the default goes by width. An iteration that does not reach `tolerance` in `passes` scans raises. The
+    largest entry of each component is made positive. The matrix is written once and read by every pass.
     """
     spark = entries.sparkSession
     entries = entries.select(F.col("id").cast("bigint"), F.col("idx").cast("int"), F.col("value").cast("double"))
     k = max(1, min(k, n_cols - 1))
-    if not distributed and n_cols * (k + OVERSAMPLE) * 8 <= SMALL_BYTES:
+    if path is None:
+        path = "exact" if n_cols <= GRAM_COLUMNS else "broadcast" if 4 * n_cols * (k + OVERSAMPLE) * 8 <= SMALL_BYTES else "joined"
+    if path != "joined":
         packed = cut_lineage(pack_rows(entries))
-        v, sigma = _small_svd(packed, n_cols, k, seed, passes)
+        v, sigma = _small_svd(packed, n_cols, k, seed, tolerance, passes, path == "exact")
         components = spark.createDataFrame(pa.Table.from_batches(list(_vec_rows("idx", np.arange(n_cols), v))))
         rows = _project_packed(packed, v)
         entries = packed.select("id", F.inline(F.arrays_zip("cols", "vals"))).toDF("id", "idx", "value")
     else:
         entries = cut_lineage(entries)
-        components, sigma = _distributed_svd(entries, k, seed, passes)
+        components, sigma = _distributed_svd(entries, n_cols, k, seed, tolerance, passes)
         rows = project(entries, components, n_cols, k)
     return {"rows": rows, "components": components, "spectrum": _spectrum(rows, entries, sigma)}
 

@@ -92,6 +92,26 @@ def svd_spectrum(spark, sf):
     return linalg.cumulative_variance(linalg.truncated_svd(entries, width, 16)["spectrum"])
 
 
+# One row per order line with a one for its supplier: the singular values are the roots of the suppliers' line counts.
+_LABEL_VALUES = """SELECT component, singular_value FROM (
+  SELECT row_number() OVER (ORDER BY n DESC) - 1 AS component, sqrt(n) AS singular_value, count(*) OVER () AS labels
+  FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)) WHERE component < least(16, labels - 1)"""
+
+
+def _label_values(path: str):
+    def run(spark, sf):
+        lines = table(spark, sf, "lineitem")
+        ids = cut_lineage(ordering.dense_ids(lines, ["l_suppkey"], "idx"))
+        numbered = cut_lineage(lines.select("l_suppkey", F.monotonically_increasing_id().alias("id")))
+        cells = numbered.join(ids, "l_suppkey").select("id", "idx", F.lit(1.0).alias("value"))
+        return linalg.truncated_svd(cells, ids.count(), 16, path=path)["spectrum"].select("component", "singular_value")
+    return run
+
+
+for _path in ("exact", "broadcast", "joined"):
+    query(f"svd_label_values_{_path}", _LABEL_VALUES, floats=("singular_value",), ints=("component",))(_label_values(_path))
+
+
 @query("pca_vectors")
 def pca_vectors(spark, sf):
     rows = linalg.pca(embedding_vectors(spark, sf).select("id", "vec"), 10, whiten=True)["rows"]
