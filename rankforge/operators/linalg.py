@@ -6,9 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import doubles, scale, sum_vector
@@ -211,7 +208,10 @@ class _LocalBasis:
     def __init__(self, packed: DataFrame, start: np.ndarray):
         self.packed = packed
         self.q = np.linalg.qr(start)[0]
-        self.image = _times_transposed(packed, self.q)
+        self.image = self._product(self.q)
+
+    def _product(self, matrix: np.ndarray) -> np.ndarray:
+        return _times_transposed(self.packed, matrix)
 
     def products(self) -> np.ndarray:
         both = np.hstack([self.q, self.image])
@@ -230,7 +230,7 @@ class _LocalBasis:
                 return 0
             more = both @ turn
         self.q = np.hstack([self.q, more])
-        self.image = np.hstack([self.image, _times_transposed(self.packed, more)])
+        self.image = np.hstack([self.image, self._product(more)])
         return more.shape[1]
 
 
@@ -451,26 +451,101 @@ def _spectrum(rows: DataFrame, entries: DataFrame, sigma: np.ndarray) -> DataFra
 
 # ---- PCA ------------------------------------------------------------------------------------------
 
-def pca(vectors: DataFrame, k: int, whiten: bool = False) -> dict[str, DataFrame]:
-    """Principal components of `(id, vec)` rows of at most 4096 dimensions; rows are centred first."""
+PCA_COLUMNS = 1024  # up to this width the covariance is summed exactly (8 MB); beyond, only products with it are
+
+
+class _CentredBasis(_LocalBasis):
+    """The same for dense rows `(id, vec)` less their mean: the product of the centred rows needs no centred copy."""
+
+    def __init__(self, vectors: DataFrame, mean: np.ndarray, n: int, start: np.ndarray):
+        self.vectors, self.mean, self.n = vectors, mean, n
+        self.q = np.linalg.qr(start)[0]
+        self.image = self._product(self.q)
+
+    def _product(self, matrix: np.ndarray) -> np.ndarray:
+        return _dense_times_transposed(self.vectors, matrix) - self.n * np.outer(self.mean, self.mean @ matrix)
+
+
+def _dense_times_transposed(vectors: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """XT X M of dense rows in one scan; each partition sends its sum once."""
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total = np.zeros(m.shape)
+        for batch in batches:
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(m))
+            for at in range(0, len(rows), _STRIP):
+                strip = rows[at:at + _STRIP]
+                total += strip.T @ (strip @ m)
+        yield from _vec_rows("idx", np.arange(len(m)), total)
+
+    sums = _sum_rows(vectors.select("vec").mapInArrow(partial, "idx int, vec array<double>"), matrix.shape[1])
+    try:
+        return _collect_matrix(sums, *matrix.shape)
+    finally:
+        shared.unpersist()
+
+
+def _column_sums(vectors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean of every column, sum of its squared deviations, and the number of rows; partitions merge pairwise."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, square = 0, np.zeros(width), np.zeros(width)
+        for batch in batches:
+            rows = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            if len(rows):
+                n, mean, square = _merged(n, mean, square, len(rows), rows.mean(axis=0), ((rows - rows.mean(axis=0)) ** 2).sum(axis=0))
+        if n:
+            yield from _vec_rows("idx", np.array([0]), np.concatenate([[n], mean, square])[None, :])
+
+    n, mean, square = 0, np.zeros(width), np.zeros(width)
+    for row in vectors.select("vec").mapInArrow(partial, "idx int, vec array<double>").toLocalIterator():  # one row per partition
+        part = np.array(row["vec"])
+        n, mean, square = _merged(n, mean, square, int(part[0]), part[1:width + 1], part[width + 1:])
+    return mean, square, n
+
+
+def _merged(n: int, mean: np.ndarray, square: np.ndarray, m: int, other: np.ndarray, more: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    step = other - mean
+    return n + m, mean + step * (m / (n + m)), square + more + step ** 2 * (n * m / (n + m))
+
+
+def pca(vectors: DataFrame, k: int, whiten: bool = False, seed: int = 42, tolerance: float = TOLERANCE, passes: int = 300,
+        exact: bool | None = None) -> dict[str, DataFrame]:
+    """Principal components of `(id, vec)` rows of any one width; rows are centred first.
+
+    Up to PCA_COLUMNS columns the covariance itself is solved; wider rows go through the block Krylov iteration, one scan a
+    step, to the same accuracy (`exact` names the way). Variances are of the sample (n - 1).
+    """
     spark = vectors.sparkSession
-    packed = vectors.select(array_to_vector(doubles(F.col("vec"))).alias("v"))
-    stats = packed.agg(Summarizer.mean(F.col("v")).alias("m"), Summarizer.variance(F.col("v")).alias("s")).first()
-    mean, total = stats["m"].toArray(), float(stats["s"].toArray().sum())
-    if len(mean) > 4096:
-        raise ValueError("pca takes at most 4096 dimensions")
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(packed)
-    components = _fixed_signs(model.pc.toArray())
-    ratio = model.explainedVariance.toArray()
-    variance = ratio * total
-    factor = components / np.sqrt(variance) if whiten else components
+    vectors = cut_lineage(vectors.select(F.col("id").cast("bigint").alias("id"), doubles(F.col("vec")).alias("vec")))
+    first = vectors.select(F.size("vec")).first()
+    if first is None:
+        raise ValueError("pca needs rows")
+    width = first[0]
+    mean, square, n = _column_sums(vectors, width)
+    k = max(1, min(k, width, n - 1))
+    if exact if exact is not None else width <= PCA_COLUMNS:
+        scatter = _vector_products(vectors, width) - n * np.outer(mean, mean)
+        values, turn = np.linalg.eigh((scatter + scatter.T) / 2)
+        best = np.argsort(values)[::-1][:k]
+        values, components = values[best], turn[:, best]
+    else:
+        start = np.random.default_rng(seed).standard_normal((width, min(k + OVERSAMPLE, width)))
+        basis = _CentredBasis(vectors, mean, n, start)
+        values = _block_krylov(basis, k, start.shape[1], tolerance, passes)
+        components = basis.q
+    components = _fixed_signs(components)
+    variance = np.maximum(values, 0) / max(1, n - 1)
+    ratio = variance / max(1e-300, float(square.sum()) / max(1, n - 1))
+    factor = components / np.sqrt(np.maximum(variance, 1e-300)) if whiten else components
     # (x - mean) C = x C - mean C, so the centring costs one constant row.
     shift = [float(x) for x in mean @ factor]
     turned = _turned(vectors, factor, "id", "bigint")
     rows = turned.select("id", F.zip_with("vec", F.array(*[F.lit(x) for x in shift]), lambda x, s: x - s).alias("vec"))
     spectrum = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(variance, ratio))],
                                      "component int, variance double, ratio double")
-    table = pa.Table.from_batches(list(_vec_rows("idx", np.arange(len(mean)), components)))
+    table = pa.Table.from_batches(list(_vec_rows("idx", np.arange(width), components)))
     return {"rows": rows, "components": spark.createDataFrame(table), "spectrum": spectrum}
 
 

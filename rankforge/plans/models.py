@@ -118,6 +118,26 @@ def pca_vectors(spark, sf):
     return rows.select("id", F.size("vec").alias("dim"), vx.norm(F.col("vec")).alias("size"))
 
 
+# Principal variances from SQL: those of the covariance add up to the total, their squares to the sum of its squared cells.
+_COVARIANCE = f"""{VECTORS}, m AS (SELECT pos, avg(x) AS m FROM e GROUP BY 1),
+c AS (SELECT id, pos, x - m AS x FROM e JOIN m USING (pos)), n AS (SELECT count(*) AS n FROM v),
+s AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) / (any_value(n) - 1) AS s FROM c a JOIN c b ON a.id = b.id, n GROUP BY 1, 2)"""
+
+
+def _principal(exact: bool):
+    def run(spark, sf):
+        found = linalg.pca(embedding_vectors(spark, sf).select("id", "vec"), 64, exact=exact)
+        v = F.col("variance")
+        return found["spectrum"].agg(F.count("*").alias("components"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.sum("ratio").alias("ratio"))
+    return run
+
+
+for _way in (True, False):
+    query(f"pca_variances_{'exact' if _way else 'iterated'}", f"""WITH {_COVARIANCE}
+SELECT (SELECT count(*) FROM m) AS components, sum(s) FILTER (i = j) AS total, sum(s * s) AS squares, 1.0 AS ratio FROM s""",
+          floats=("total", "squares", "ratio"))(_principal(_way))
+
+
 # The share of each embedding dimension in their total variance, largest first, seen as a spectrum.
 _SPECTRUM = f"""{VECTORS}, d AS (SELECT pos, var_pop(x) AS v FROM e GROUP BY 1),
 sp AS (SELECT row_number() OVER (ORDER BY v DESC, pos) - 1 AS component, v / (SELECT sum(v) FROM d) AS ratio FROM d),

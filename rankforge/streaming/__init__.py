@@ -1,3 +1,3 @@
-from .registration import register_stream, registered
+from .registration import register_stream
 
-__all__ = ["register_stream", "registered"]
+__all__ = ["register_stream"]

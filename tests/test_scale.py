@@ -162,6 +162,26 @@ def test_wide_svd_iterates(spark, sf, monkeypatch):
     assert abs(got[0]["singular_value"] - np.linalg.svd(m, compute_uv=False)[0]) < 1e-8
 
 
+@pytest.mark.parametrize("width, exact", [(40, True), (40, False), (8192, False)])
+def test_pca_against_numpy(spark, width, exact):
+    """Also wider than a covariance would fit; the mean is far from zero."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(120, 6)) @ (rng.normal(size=(6, width)) * np.array([9, 7, 5, 3, 2, 1])[:, None]) + rng.normal(size=(120, width)) / 10 + 100
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, vec array<double>").repartition(5)
+    found = linalg.pca(rows, 5, exact=exact)
+    c = m - m.mean(axis=0)
+    want = np.linalg.svd(c, compute_uv=False) ** 2 / 119
+    spectrum = found["spectrum"].orderBy("component").collect()
+    assert np.allclose([r["variance"] for r in spectrum], want[:5], rtol=1e-9)
+    assert np.allclose([r["ratio"] for r in spectrum], want[:5] / want.sum(), rtol=1e-9)
+    v = np.stack([np.array(r["vec"]) for r in found["components"].orderBy("idx").collect()])
+    got = {r["id"]: np.array(r["vec"]) for r in found["rows"].collect()}
+    assert np.allclose(np.stack([got[i] for i in range(120)]), c @ v, atol=1e-6)
+    if exact is False and width == 40:
+        full = linalg.pca(rows, 5, whiten=True, exact=True)["rows"].collect()
+        assert np.allclose(np.cov(np.stack([r["vec"] for r in full]).T), np.eye(5), atol=1e-8)
+
+
 def test_diversity_walk(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(60)]

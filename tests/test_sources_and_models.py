@@ -133,3 +133,49 @@ def test_batch_that_runs_twice_leaves_one_copy(spark, tmp_path):
     run()
     run()
     assert seen[0] == seen[1] and len(seen[0]) == 4
+
+
+SHAPE = "ext_id long, media_type string, overview string"
+
+
+def _arrive(spark, folder, rows):
+    spark.createDataFrame(rows, SHAPE).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+
+
+def _register(spark, folder, **more):
+    arrivals = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    return register_stream(arrivals, str(folder / "items"), str(folder / "progress"), ["ext_id", "media_type"], **more)
+
+
+def _held(spark, folder):
+    return sorted(tuple(r) for r in spark.read.parquet(str(folder / "items")).select("ext_id", "media_type", "item_id", "overview").collect())
+
+
+def test_batches_never_read_the_item_table(spark, tmp_path):
+    """Seen keys live in the stream's state and the last id in its ledger: with the table gone both still hold."""
+    for k in range(3):
+        _arrive(spark, tmp_path, [(i, "m", f"text {i} of batch {k}") for i in range(2 * k, 2 * k + 4)])
+        _register(spark, tmp_path).awaitTermination()
+    assert [(r[0], r[2]) for r in _held(spark, tmp_path)] == [(i, i + 1) for i in range(8)]
+    for path in (tmp_path / "items").glob("batch_id=*"):
+        path.rename(tmp_path / f"gone-{path.name}")
+    _arrive(spark, tmp_path, [(7, "m", "again"), (8, "m", "new"), (8, "m", None), (8, "m", "later"), (None, "m", "no key"), (9, None, "no kind")])
+    _register(spark, tmp_path).awaitTermination()
+    assert _held(spark, tmp_path) == [(8, "m", 9, "later")]  # the smallest row of the key, nulls last
+
+
+def test_failed_batch_is_replayed_with_the_same_ids(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    _arrive(spark, tmp_path, [(i, "m", "x") for i in range(5)])
+    _register(spark, tmp_path).awaitTermination()
+    _arrive(spark, tmp_path, [(i, "m", "y") for i in range(3, 9)])
+
+    def broken(new):
+        raise ValueError("no features")
+
+    with pytest.raises(StreamingQueryException):
+        _register(spark, tmp_path, features=broken, vectors_path=str(tmp_path / "vec")).awaitTermination()
+    names = lambda new: features.hash_names(new, F.array("overview"), 10, signed=False)
+    _register(spark, tmp_path, features=names, vectors_path=str(tmp_path / "vec")).awaitTermination()
+    assert [(r[0], r[2], r[3]) for r in _held(spark, tmp_path)] == [(i, i + 1, "x" if i < 5 else "y") for i in range(9)]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "vec")).collect()) == [6, 7, 8, 9]
