@@ -12,27 +12,47 @@ from .ordering import top_k
 
 BLOCK_IDS = 2048          # ids per block: two dense score blocks of 32 MB in a task
 BLOCK_ENTRIES = 2_000_000  # entries per block before its dimensions are cut into chunks
+CELL_BLOCKS = 8           # blocks of a cell of the grid, at most: a task holds two cells
 _OUT = "query_id bigint, id bigint, dot double, co double, q_size double, v_size double"
+_FIELDS = (("ids", np.int64), ("sizes", np.float64), ("dims", np.int64), ("counts", np.int32), ("at", np.uint16), ("vals", np.float64))
+_BLOCK = "own int, heavy boolean, parts int, part int, " + ", ".join(f"{name} binary" for name, _ in _FIELDS)
 
 
-def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: bool, both: bool) -> pa.Table:
+def _packed_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A block by dimension: its distinct dimensions with entry counts, and per entry the row's place in the block and the value.
+
+    A dimension is stored once for all rows of the block that have it, an id and its size once for all its entries.
+    """
+    own, heavy, parts, part = (x.as_py() for x in key)
+    numbers = {name: table[name].to_numpy() for name in ("id", "dim", "val", "size")}
+    ids, first, at = np.unique(numbers["id"], return_index=True, return_inverse=True)
+    order = np.argsort(numbers["dim"], kind="stable")
+    dims, counts = np.unique(numbers["dim"], return_counts=True)
+    made = {"ids": ids, "sizes": numbers["size"][first], "dims": dims, "counts": counts, "at": at[order], "vals": numbers["val"][order]}
+    head = {"own": pa.array([own], pa.int32()), "heavy": pa.array([heavy]), "parts": pa.array([parts], pa.int32()), "part": pa.array([part], pa.int32())}
+    return pa.table(head | {name: pa.array([made[name].astype(kind).tobytes()], pa.binary()) for name, kind in _FIELDS})
+
+
+def _unpacked(row: dict) -> dict[str, np.ndarray]:
+    return {name: np.frombuffer(row[name], kind) for name, kind in _FIELDS}
+
+
+def _meet(q: dict, v: dict, k: int, metric: str, digits: int, whole: bool, both: bool) -> list[pa.Table]:
     """Inner products and common dimensions of all rows of two blocks; the best k when `whole`.
 
     `both` answers the rows of the second block too, from the same products.
     """
-    def side(t: pa.Table, column: str):
-        entries = pa.concat_arrays([c.flatten() for c in t[column].chunks])
-        numbers = [entries.field(name).to_numpy(zero_copy_only=False) for name in ("id", "dim", "val", "size")]
-        ids, first, index = np.unique(numbers[0], return_index=True, return_inverse=True)
-        return ids, index, numbers[1], numbers[2], numbers[3][first]
-
-    q_ids, q_at, q_dim, q_val, q_size = side(q, "q_entries")
-    v_ids, v_at, v_dim, v_val, v_size = side(v, "v_entries")
-    order = np.argsort(v_dim, kind="stable")
-    v_at, v_dim, v_val = v_at[order], v_dim[order], v_val[order]
-    starts = np.searchsorted(v_dim, q_dim, "left")
-    hits = np.searchsorted(v_dim, q_dim, "right") - starts
+    common_dims, q_place, v_place = np.intersect1d(q["dims"], v["dims"], assume_unique=True, return_indices=True)
+    q_count, v_count = q["counts"][q_place].astype(np.int64), v["counts"][v_place].astype(np.int64)
+    q_start = (np.cumsum(q["counts"], dtype=np.int64) - q["counts"])[q_place]
+    v_start = (np.cumsum(v["counts"], dtype=np.int64) - v["counts"])[v_place]
+    entry = np.repeat(q_start - (np.cumsum(q_count) - q_count), q_count) + np.arange(int(q_count.sum()))  # of q, in common dimensions
+    hits, starts = np.repeat(v_count, q_count), np.repeat(v_start, q_count)
+    q_at, q_val, v_at, v_val = q["at"][entry].astype(np.int64), q["vals"][entry], v["at"].astype(np.int64), v["vals"]
+    q_ids, v_ids, q_size, v_size = q["ids"], v["ids"], q["sizes"], v["sizes"]
     ends = np.cumsum(hits)
+    if not len(ends):
+        return []
     # A pair of rows is numbered q * width + v; either all pairs get a place, or only those that met.
     width = len(v_ids)
 
@@ -46,8 +66,8 @@ def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: boo
         pair, product = products(0, len(hits))
         order = np.argsort(pair, kind="stable")
         pair, product = pair[order], product[order]
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-        dots = np.add.reduceat(product, first) if len(first) else np.zeros(0)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        dots = np.add.reduceat(product, first)
         common = np.diff(np.r_[first, len(pair)]).astype(np.float64)
         pair = pair[first]
     else:
@@ -65,21 +85,23 @@ def _meet(q: pa.Table, v: pa.Table, k: int, metric: str, digits: int, whole: boo
     rows, cols = np.divmod(pair, width)
     other = q_ids[rows] != v_ids[cols]
     rows, cols, dots, common = rows[other], cols[other], dots[other], common[other]
-    scores = _score(dots, common, q_size[rows], v_size[cols], metric, digits) if whole else None
 
     def answers(rows, row_ids, row_size, cols, col_ids, col_size) -> pa.Table:
-        kept = slice(None)
-        if whole:
-            order = np.lexsort((col_ids[cols], -scores, rows))
-            ranked = rows[order]
-            kept = order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k]
-        return pa.table({"query_id": row_ids[rows][kept], "id": col_ids[cols][kept], "dot": dots[kept], "co": common[kept],
-                         "q_size": row_size[rows][kept], "v_size": col_size[cols][kept]})
+        return pa.table({"query_id": row_ids[rows], "id": col_ids[cols], "dot": dots, "co": common, "q_size": row_size[rows], "v_size": col_size[cols]})
 
     found = [answers(rows, q_ids, q_size, cols, v_ids, v_size)]
     if both:
         found.append(answers(cols, v_ids, v_size, rows, q_ids, q_size))
-    return pa.concat_tables(found)
+    return [_best(x, k, metric, digits) for x in found] if whole else found
+
+
+def _best(found: pa.Table, k: int, metric: str, digits: int) -> pa.Table:
+    """Best k ids of each query."""
+    query, near = found["query_id"].to_numpy(), found["id"].to_numpy()
+    scores = _score(*(found[c].to_numpy() for c in ("dot", "co", "q_size", "v_size")), metric, digits)
+    order = np.lexsort((near, -scores, query))
+    ranked = query[order]
+    return found.take(order[np.arange(len(order)) - np.searchsorted(ranked, ranked) < k])
 
 
 def _score(dot, co, q_size, v_size, metric: str, digits: int):
@@ -103,11 +125,12 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
     """Best k other rows with a common dimension for each row of a sparse matrix.
 
     `entries(row, dim, value)` holds one entry per cell; `metric` is cosine or jaccard. Rows are cut
-    into blocks by hash, each packed into one record, and each unordered pair of blocks is summed up once, in place
-    by one task, for the rows of both: pairs leave it only as the best k per row, never one per common dimension. A block
-    with more than `block_entries` entries (it holds a hot row) is also cut by hash of the dimension;
-    its pairs then leave as sums per chunk, and are added up before the ranking. Memory per task is
-    bounded by the block.
+    into blocks by hash, each packed into one record, and blocks into the cells of a grid. A task has two cells and sums up each
+    unordered pair of their blocks once, in place, for the rows of both: pairs leave it only as the best k per row, never
+    one per common dimension. A block is sent once per cell, so copies grow with the root of the number of tasks while cells hold
+    fewer than `CELL_BLOCKS` blocks, and beyond with the number of cells. A block with more than
+    `block_entries` entries (it holds a hot row) is also cut by hash of the dimension; its pairs then leave as sums per chunk,
+    and are added up before the ranking. Memory per task is bounded by the cell.
     """
     if metric not in ("cosine", "jaccard"):
         raise ValueError(f"unknown metric: {metric}")
@@ -116,38 +139,55 @@ def similar_rows(entries: DataFrame, row: str, dim: str, value: str, k: int, met
     size = F.sqrt(F.sum(F.col("val") * F.col("val"))) if metric == "cosine" else F.count("*").cast("double")
     stats = cells.groupBy("id").agg(size.alias("size"), F.count("*").alias("n"))
     n_blocks = max(1, -(-stats.count() // block_ids))
+    tasks = 4 * parallelism(entries.sparkSession)
+    # s cells make s (s + 1) / 2 tasks
+    side = min(n_blocks, max(-(-n_blocks // CELL_BLOCKS), int(np.ceil(np.sqrt(2 * tasks)))))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    loads = stats.groupBy(block.alias("own")).agg(F.sum("n").alias("load"))
+    loads = cut_lineage(stats.groupBy(block.alias("own")).agg(F.sum("n").alias("load"), F.count("*").alias("rows")))  # a row per block
+    most = loads.agg(F.max("load"), F.max("rows")).first()
+    if (most[1] or 0) > np.iinfo(np.uint16).max:
+        raise ValueError("blocks hold at most 65,535 ids")
     # Pairs with a heavy block are cut into `chunks` by dimension, all others meet whole.
-    chunks = max(1, -(-(loads.agg(F.max("load")).first()[0] or 0) // block_entries))
+    chunks = max(1, -(-(most[0] or 0) // block_entries))
+    loads = F.broadcast(loads.select("own", (F.col("load") > block_entries).alias("heavy")))
     sized = cells.join(stats.select("id", "size"), "id").withColumn("own", block)
-    loads = F.broadcast(loads.select("own", (F.col("load") > block_entries).alias("heavy")))  # one row per block
     levels = F.array(*[F.lit(n) for n in ([1, chunks] if chunks > 1 else [1])])
     leveled = sized.join(loads, "own").withColumn("parts", F.explode(levels)).filter("NOT heavy OR parts > 1")
-    packed = cut_lineage(
-        leveled.groupBy("own", "heavy", "parts", F.pmod(F.col("dim"), F.col("parts")).cast("int").alias("part"))
-        .agg(F.collect_list(F.struct("id", "dim", "val", "size")).alias("entries")))
-
-    def placed(own: str, other: str, name: str, others: Column) -> DataFrame:
-        met = packed.withColumn("other", F.explode(others)).join(loads.toDF("other", "other_heavy"), "other")
-        wanted = F.when(F.col("heavy") | F.col("other_heavy"), chunks).otherwise(1)
-        return met.filter(F.col("parts") == wanted).select(
-            F.col("own").alias(own), F.col("other").alias(other), F.col("parts").alias("parts"),
-            F.col("part").alias("part"), F.col("entries").alias(name))
-
-    def meet(key, q: pa.Table, v: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or v.num_rows == 0:
+    leveled = leveled.withColumn("part", F.pmod(F.col("dim"), F.col("parts")).cast("int"))
+    packed = cut_lineage(leveled.groupBy("own", "heavy", "parts", "part").applyInArrow(_packed_block, _BLOCK))
+
+    cell = F.col("own") % side
+    placed = packed.withColumn("_cell", cell).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    placed = placed.withColumn("i", F.least("_cell", "_other")).withColumn("j", F.greatest("_cell", "_other"))
+    if chunks > 1:  # chunks go only where a heavy block is met
+        heavy = F.broadcast(loads.filter("heavy").select((F.col("own") % side).alias("_hot")).distinct())
+        whole = placed.filter("parts = 1")
+        cut = placed.filter("parts > 1").join(heavy, (F.col("_hot") == F.col("i")) | (F.col("_hot") == F.col("j")), "left_semi")
+        placed = whole.unionByName(cut)
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j, parts, _ = (x.as_py() for x in key)
+        blocks = sorted(table.to_pylist(), key=lambda b: b["own"])
+        read = {b["own"]: _unpacked(b) for b in blocks}
+        out = []
+        for q in blocks:
+            for v in blocks:
+                across = q["own"] % side == i and v["own"] % side == j if i != j else q["own"] <= v["own"]
+                if across and (parts == 1 or q["heavy"] or v["heavy"]):
+                    out += _meet(read[q["own"]], read[v["own"]], k, metric, digits, parts == 1, q["own"] != v["own"])
+            if parts == 1 and len(out) > CELL_BLOCKS:
+                out = [_best(pa.concat_tables(out), k, metric, digits)]
+        if not out:
             return pa.table({c: pa.array([], t) for c, t in (
                 ("query_id", pa.int64()), ("id", pa.int64()), ("dot", pa.float64()), ("co", pa.float64()),
                 ("q_size", pa.float64()), ("v_size", pa.float64()))})
-        return _meet(q, v, k, metric, digits, key[2].as_py() == 1, key[0].as_py() != key[1].as_py())
-
-    cell = ["qb", "vb", "parts", "part"]
-    # Few rows but much work in each: more partitions than their bytes would ask for.
-    tasks = min(n_blocks * n_blocks * chunks, 4 * parallelism(entries.sparkSession))
-    left = placed("qb", "vb", "q_entries", F.sequence(F.col("own"), F.lit(n_blocks - 1))).repartition(tasks, *cell)
-    right = placed("vb", "qb", "v_entries", F.sequence(F.lit(0), F.col("own"))).repartition(tasks, *cell)
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, _OUT)
+        found = pa.concat_tables(out)
+        return _best(found, k, metric, digits) if parts == 1 else found
+
+    # Few rows but much work in each: as many partitions as groups, up to a few per core.
+    group = ["i", "j", "parts", "part"]
+    dealt = placed.drop("_cell", "_other").repartition(min(side * (side + 1) // 2 * chunks, tasks), *group)
+    found = dealt.groupBy(*group).applyInArrow(meet, _OUT)
     if chunks > 1:
         found = found.groupBy("query_id", "id").agg(
             F.sum("dot").alias("dot"), F.sum("co").alias("co"), F.max("q_size").alias("q_size"),
