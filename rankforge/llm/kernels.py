@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+TEXTS = 65_535  # of a slice, at most: an owner fits 16 bits
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -73,7 +74,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
     first = 0
     while first < n:
         last = int(np.searchsorted(at, at[first] + limit, side="right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, max(first + 1, last), first + TEXTS)
         yield Slice(first, raw[at[first]:at[last]], at[first:last + 1] - at[first])
         first = last
 

@@ -16,7 +16,7 @@ their document count) and break ties by different hashes.
    pairs are sent: a group returns for each document its smallest linked document and the number of its links.
 5. Components of the links are the result.
 
-Tokens are compared by 48 bits of their hash, in the counts as in the verification.
+Tokens are compared by 48 to 64 bits of their hash, more for larger tables, in the counts as in the verification.
 
 Defined results: a document without words or text is linked with nothing and is its own component; every row is a document of its own,
 also when ids or whole rows repeat (the component is told by the smallest doc_id); a null doc_id is larger than all others;
@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected_components
 from .kernels import folded, mixed, slices, window_hashes, windows_inside, word_hashes, words
-from .resources import settled
+from .resources import beside, buckets_for, settled
 from .substring import by_bucket
 
-WORDS, PERCENT, ORDERS, BUCKETS = 5, 75, 3, 256
+WORDS, PERCENT, ORDERS = 5, 75, 3
 BLOCK_DOCS, BLOCK_TOKENS = 1024, 1 << 20
 _ROW_BITS = 33
 _DENSE = 64  # tokens of more documents than this in a block are counted by a matrix product
@@ -70,9 +70,11 @@ def text_key(text: str) -> Column:
     return F.xxhash64(text)
 
 
-def _sent_tokens(docs: DataFrame, width: int) -> DataFrame:
+def _sent_tokens(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Per slice of texts: a row per bucket with (token, owner), and one row (heads) about its documents.
 
+    A bucket is the leading `bits` of a token, and 40 more are sent.
+
     A document's node is its Spark partition and its place in it: a scan that is run again gives the same.
     """
     def run(batches):
@@ -89,12 +91,12 @@ def _sent_tokens(docs: DataFrame, width: int) -> DataFrame:
                 heads["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 tokens = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets)), sizes).astype(np.uint16)
-                order, edges = by_bucket((tokens >> np.uint64(56)).astype(np.int64), BUCKETS)
+                order, edges = by_bucket((tokens >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
                 tokens, owner = tokens[order], owner[order]
-                low, more = (tokens >> np.uint64(24)).astype(np.uint32), ((tokens >> np.uint64(16)) & np.uint64(255)).astype(np.uint8)
+                low, more = (tokens >> np.uint64(32 - bits)).astype(np.uint32), ((tokens >> np.uint64(24 - bits)) & np.uint64(255)).astype(np.uint8)
                 used = np.flatnonzero(np.diff(edges))
                 cut = [(edges[b], edges[b + 1]) for b in used]
-                columns = [[*used.tolist(), int(node % BUCKETS)],
+                columns = [[*used.tolist(), int(node % (1 << bits))],
                            [low[a:b].tobytes() + more[a:b].tobytes() for a, b in cut] + [None],
                            [owner[a:b].tobytes() for a, b in cut] + [None], [None] * len(cut) + [heads.tobytes()]]
                 yield pa.RecordBatch.from_arrays(
@@ -116,7 +118,7 @@ def _shared_tokens(sent: DataFrame) -> DataFrame:
         low = np.frombuffer(b"".join([k[:4 * n] for k, n in zip(raw, counts.tolist())]), np.uint32).astype(np.uint64)
         more = np.frombuffer(b"".join([k[4 * n:] for k, n in zip(raw, counts.tolist())]), np.uint8)
         bucket = np.uint64(table.column("bucket")[0].as_py())
-        # the leading 48 bits of the token: 8 of the bucket, 32, and 8 more
+        # the leading bits of the token: those of the bucket, 32, and 8 more
         key = bucket << np.uint64(40) | low << np.uint64(8) | more
         owner, at = np.frombuffer(b"".join(owners), np.uint16), np.repeat(np.arange(len(counts)), counts)
         order = np.argsort(key, kind="stable")
@@ -284,7 +286,7 @@ def _links(records: DataFrame, clusters: DataFrame, percent: int, orders: int) -
     """(node, root, links) for every document of a pair of blocks: smallest document linked there, documents linked."""
     held = records.join(clusters, "node")
     sizes = held.groupBy("cluster").agg(F.count("*").alias("_docs"), F.sum(F.length("powers")).alias("_tokens"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.ceil(F.col("_tokens") / BLOCK_TOKENS)).cast("int").alias("_blocks"))
+    sizes = beside(sizes.select("cluster", F.greatest(F.ceil(F.col("_docs") / BLOCK_DOCS), F.ceil(F.col("_tokens") / BLOCK_TOKENS)).cast("int").alias("_blocks")), 48)
     cut = held.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     paired = cut.select("cluster", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"),
@@ -307,12 +309,14 @@ def _links(records: DataFrame, clusters: DataFrame, percent: int, orders: int) -
         return pa.table({"node": pa.array(node[some], pa.int64()), "root": pa.array(node[root][some], pa.int64()),
                          "links": pa.array(weight[some].astype(np.int64), pa.int64())})
 
-    return paired.groupBy("cluster", "i", "j").applyInArrow(verify, "node long, root long, links long")
+    # the join deals rows by cluster, which would do for the groups: without a shuffle of their own all pairs of a cluster ran in one task
+    return paired.repartition("cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(verify, "node long, root long, links long")
 
 
 def _judged(docs: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, n_links, and `stays` for one row of each component."""
-    rows = settled(_documents(_shared_tokens(_sent_tokens(docs, width)), percent))
+    bits = min(24, (buckets_for(docs) - 1).bit_length())
+    rows = settled(_documents(_shared_tokens(_sent_tokens(docs, width, bits)), percent))
     classes = settled(rows.filter("n > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first"), F.count("*").alias("copies"))
         .select("digest", F.col("first.node").alias("node"), F.col("first.doc_id").alias("rep_id"), "copies"))
@@ -326,10 +330,12 @@ def _judged(docs: DataFrame, width: int, percent: int, orders: int) -> DataFrame
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     told = (named.join(ids, "component").join(counted, "node", "left")
             .select("digest", "component_id", F.col("_first.node").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return (rows.select("node", "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(told, "digest", "left")
-            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), ((F.col("n") == 0) | (F.col("node") == F.col("first"))).alias("stays"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    with_words = (rows.filter("n > 0").select("node", "doc_id", "text_key", "n", "digest").join(told, "digest")
+                  .select("doc_id", "text_key", F.col("n").alias("n_shingles"), (F.col("node") == F.col("first")).alias("stays"), "component_id",
+                          F.col("n_links").cast("long").alias("n_links")))
+    wordless = rows.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.lit(True).alias("stays"),
+                                           F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_words.unionByName(wordless)
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:

@@ -116,3 +116,34 @@ def test_neighbours_in_many_blocks_with_odd_vectors(spark):
         assert [(m[1], round(m[2], 9)) for m in mine] == [(k, round(d, 9)) for d, k in near]
     assert not {300, 301, 302, 303, 304, 305, 306} & {r["query_id"] for r in got}
     assert ann_blocks.nearest_neighbours(base.limit(0), base.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_blocks_of_one_cluster_fill_many_partitions(spark, monkeypatch):
+    """Pairs of blocks of a hot cluster are dealt over tasks, however the clusters were."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} tail{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = ngram_join._documents(ngram_join._shared_tokens(ngram_join._sent_tokens(docs, 5, 8)), 75)
+    records = held.filter("keys IS NOT NULL").selectExpr("node", "n", "keys", "powers", "1L AS copies").cache()
+    clusters = records.selectExpr("node", "0L AS cluster")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = ngram_join._links(records, clusters, 75, 3)
+        sizes = links.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        records.unpersist()
+    assert sum(s > 0 for s in sizes) >= 6 and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_many_tiny_texts_and_wide_buckets(spark, monkeypatch):
+    """More texts in a slice than 16 bits count, and more buckets than a small table needs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    monkeypatch.setattr(ngram_join, "buckets_for", lambda docs: 4096)
+    try:
+        docs = spark.range(70_000).coalesce(1).selectExpr("id AS doc_id", "IF(id IN (1000, 66000), 'the same words again and again', 'u' || id) AS text")
+        got = ngram_join.near_duplicates(docs).filter("doc_id <> component_id OR n_links > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(1000, 1000, 1), (66000, 1000, 1)]
