@@ -1,11 +1,11 @@
 """Toxicity by a string-subsequence-kernel support vector machine with Nystroem landmarks.
 
 A text is a bag of units: its words in lower case without inner signs (so "i.d.i.o.t" is "idiot"), pieces of long
-words, and runs of one- and two-letter words written together ("i d i o t"). The kernel of two units sums over the
-common subsequences of three letters, gaps allowed, each weighted by a decay per letter spanned, and is normalised: a word with
-inserted or dropped letters stays near the word it was. Landmarks are units of the labelled texts; the kernel to them,
-whitened by the landmarks' own kernel matrix, is a unit's feature vector, and a linear support vector machine is trained
-on it. Labels are of whole texts: units far more usual in toxic texts are learnt as toxic, each round adds the worst unit of toxic
+words, and runs of one- and two-letter words written together ("i d i o t"). The kernel of two units sums over all
+common subsequences of three letters, gaps of any size, each weighted by a decay per letter passed over. It is scaled by the
+landmark and not by the unit, so a word with letters put in holds nearly all of the word it was, however long it got. Landmarks are
+units of the labelled texts; the kernel to them, whitened by the landmarks' own kernel matrix, is a unit's feature vector, and
+a linear support vector machine is trained on it, altered copies of the suspects among its rows. Labels are of whole texts: units far more usual in toxic texts are learnt as toxic, each round adds the worst unit of toxic
 texts that have none, and clean units that come up as toxic are learnt as clean. A logistic fit on texts left out turns a text's worst
 margins, the number of its toxic units and its length into a probability.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .labelled import labelled_rows
 
-MAX_ROWS, MAX_BYTES, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 24 << 20, 60_000, 160, 0.6, 24
+MAX_ROWS, MAX_BYTES, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 24 << 20, 60_000, 240, 0.9, 24
 _LIFT, _LEAST = 6.0, 4
 _KINDS = 64  # letters are folded into this many
 _CACHE = 300_000
@@ -80,27 +80,26 @@ def coded(pieces: list[str]) -> np.ndarray:
     return np.where(flat < 128, table[np.minimum(flat, 127)], other)
 
 
-def _triples(decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions i < j < k of a unit and the decay to the number of letters spanned."""
-    i, j, k = (x.ravel() for x in np.meshgrid(*[np.arange(LONGEST)] * 3, indexing="ij"))
-    kept = (i < j) & (j < k) & (k - i < 9)  # 0.6 ** 10 is under 1 percent: wider gaps are no likeness
-    i, j, k = i[kept], j[kept], k[kept]
-    return i, j, k, decay ** (k - i + 1.0)
-
-
-def features(codes: np.ndarray, decay: float = DECAY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, triple, weight) for each triple of positions, over the rows that reach it."""
+def features(codes: np.ndarray, decay: float = DECAY) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(rows, triple, weight) for each triple of places i < j < k, over the rows that reach k; the weight is the decay to the
+    number of letters between the first and the last that are not among the three."""
     length = (codes > 0).sum(axis=1)
-    order = np.argsort(-length, kind="stable")  # rows that reach position k come first
+    order = np.argsort(-length, kind="stable")  # rows that reach place k come first
     reach = np.searchsorted(-length[order], -np.arange(LONGEST), side="left")
-    for a, b, c, weight in zip(*_triples(decay)):
-        rows = order[:reach[c]]
-        if len(rows):
-            yield rows, (codes[rows, a] * _KINDS + codes[rows, b]) * _KINDS + codes[rows, c], weight
+    placed = np.ascontiguousarray(codes[order].T)
+    for k in range(2, LONGEST):
+        n = int(reach[k])
+        if not n:
+            return
+        for i in range(k - 1):
+            first = placed[i, :n] * (_KINDS * _KINDS) + placed[k, :n]
+            weight = decay ** (k - i - 2)
+            for j in range(i + 1, k):
+                yield order[:n], first + placed[j, :n] * _KINDS, weight
 
 
 def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY) -> np.ndarray:
-    """Normalised kernel of all pairs of units."""
+    """Kernel of all pairs of units."""
     def sparse(codes):
         rows, triples, weights = [], [], []
         for r, t, w in features(codes, decay):
@@ -112,7 +111,6 @@ def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY) -> np.ndarra
     (lr, lt, lw), (rr, rt, rw) = sparse(left), sparse(right)
     seen, number = np.unique(rt, return_inverse=True)
     b = np.bincount(rr * len(seen) + number, weights=rw, minlength=len(right) * len(seen)).astype(np.float32).reshape(len(right), -1)
-    norm_b, norm_a = self_norms(right, decay), self_norms(left, decay)
     at = np.minimum(np.searchsorted(seen, lt), len(seen) - 1)
     hit = seen[at] == lt
     order = np.argsort(lr[hit], kind="stable")
@@ -124,7 +122,7 @@ def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY) -> np.ndarra
         mine = slice(*np.searchsorted(lr, [s, s + rows]))
         a = np.bincount((lr[mine] - s) * len(seen) + at[mine], weights=lw[mine], minlength=rows * len(seen))
         out[s:s + rows] = a.astype(np.float32).reshape(rows, -1) @ b.T
-    return out / np.maximum(norm_a[:, None] * norm_b[None, :], 1e-12)
+    return out
 
 
 def self_norms(codes: np.ndarray, decay: float = DECAY) -> np.ndarray:
@@ -155,15 +153,24 @@ class Model:
 
 def margins(model: Model, pieces: list[str], step: int = 8_000) -> np.ndarray:
     """The machine's value of each unit."""
-    out = np.full(len(pieces), model.intercept)
+    out = np.empty(len(pieces))
+    weights = model.triples.astype(np.float32)
     for s in range(0, len(pieces), step):
-        codes = coded(pieces[s:s + step])
-        total = np.zeros(len(codes))
+        codes = coded(pieces[s:s + step]).astype(np.int32)
+        total = np.zeros(len(codes), dtype=np.float32)
         for rows, triple, weight in features(codes, model.decay):
-            total[rows] += model.triples[triple] * weight
-        norm = self_norms(codes, model.decay)
-        out[s:s + step] += total / np.maximum(norm, 1e-12)
-    return out
+            total[:len(rows)] += weights[triple] * np.float32(weight)  # rows come longest first, in one order
+        length = (codes > 0).sum(axis=1)
+        out[s:s + step][np.argsort(-length, kind="stable")] = total
+    return out + model.intercept
+
+
+def altered(unit: str, rng: np.random.Generator) -> list[str]:
+    """Copies of a unit with a letter put in, one between every two (two copies), and one left out."""
+    letters = [chr(97 + int(x)) for x in rng.integers(0, 26, 2 * len(unit) + 1)]
+    a, b = (int(x) for x in rng.integers(1, len(unit), 2))
+    apart = [unit[0] + "".join(x + y for x, y in zip(part, unit[1:])) for part in (letters[:len(unit)], letters[len(unit):])]
+    return [unit[:a] + letters[-1] + unit[a:], *apart, unit[:b] + unit[b + 1:]]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -208,13 +215,14 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds
     half = landmarks // 2
     chosen = suspects[:half] + [clean_list[i] for i in rng.choice(len(clean_list), min(half, len(clean_list)), replace=False)]
     marks = coded(chosen)
-    values, vectors = np.linalg.eigh(gram(marks, marks))
+    square = np.maximum(self_norms(marks) ** 2, 1e-12)
+    values, vectors = np.linalg.eigh(gram(marks, marks) / square[:, None] / square[None, :])
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     def folded(w: np.ndarray, bias: float) -> Model:
         """The machine is linear in a unit's triples: its weights over the landmarks become weights of triples."""
-        per_mark = (whiten @ w) / np.maximum(self_norms(marks), 1e-12)
+        per_mark = (whiten @ w) / square
         triples = np.zeros(_KINDS ** 3)
         for rows, t, weight in features(marks):
             np.add.at(triples, t, per_mark[rows] * weight)
@@ -222,14 +230,16 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds
 
     bags = [us for y, us in texts if y and us and not any(lift[p] >= _LIFT and in_toxic[p] >= _LEAST for p in us)]
     known = np.array([np.log(lift[p]) * np.sqrt(in_toxic[p]) for p in suspects])
+    sets = [[p for u in altered(s, rng) for p in plain(u)] for s in suspects]
+    copies, copied = [p for own in sets for p in own], np.repeat(known, [len(own) for own in sets]) / 4
     extra: Counter = Counter()
     hard = [clean_list[i] for i in rng.choice(len(clean_list), min(4000, len(clean_list)), replace=False)]
     for _ in range(rounds):
         more = sorted(extra)
-        x = gram(coded(suspects + more + hard), marks) @ whiten
-        y = np.concatenate((np.ones(len(suspects) + len(more)), -np.ones(len(hard))))
+        x = gram(coded(suspects + copies + more + hard), marks) / square @ whiten
+        y = np.concatenate((np.ones(len(suspects) + len(copies) + len(more)), -np.ones(len(hard))))
         usual = np.sqrt([in_clean[p] for p in hard])
-        weigh = np.concatenate((known / known.sum(), np.array([extra[p] for p in more]) / (10 * known.sum()), 4 * usual / usual.sum()))
+        weigh = np.concatenate((known / known.sum(), copied / known.sum(), np.array([extra[p] for p in more]) / (10 * known.sum()), 4 * usual / usual.sum()))
         model = folded(*_svm(x, y, 1000 * weigh))
         value = margins(model, clean_list)
         hard = sorted(set(hard) | {clean_list[i] for i in np.argsort(-value)[:1500]})  # clean units that come up are learnt next
