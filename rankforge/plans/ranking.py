@@ -48,7 +48,7 @@ _STATS = """st AS (SELECT item_id, count(*) AS item_count, avg(rating) AS item_m
        avg(rating) - (SELECT avg(rating) FROM ra) AS item_bias FROM ra GROUP BY 1)"""
 
 
-@query("item_based_recommendations", f"""WITH {RATINGS_AGG}, {_STATS},
+_ITEM_BASED = f"""WITH {RATINGS_AGG}, {_STATS},
 {row_cosine('nn', 'ra', 'item_id', 'user_id', 100)},
 near AS (SELECT query_id AS of, id, least(greatest(score, 0), 1) AS sim, rank FROM nn WHERE score >= 0.1),
 seeds AS (SELECT user_id AS query_id, item_id, rating FROM ra WHERE rating >= 3),
@@ -60,7 +60,10 @@ sums AS (SELECT query_id, item_id, sum(w * dev) AS wd, sum(abs(w)) AS ws, count(
 p AS (SELECT c.query_id, c.item_id, item_mean, item_mean + wd / ws AS raw, ws / k * least(k / 5, 1.0) AS conf
       FROM cand c JOIN st USING (item_id) LEFT JOIN sums s ON s.query_id = c.query_id AND s.item_id = c.item_id),
 r AS (SELECT query_id, item_id, {steady(_CLIP.format('CASE WHEN conf IS NULL THEN item_mean WHEN conf < 0.4 THEN raw * conf + item_mean * (1 - conf) ELSE raw END'), 2)} AS predicted_rating,
-      {steady('coalesce(conf, 0)', 3)} AS confidence FROM p)
+      {steady('coalesce(conf, 0)', 3)} AS confidence FROM p)"""
+
+
+@query("item_based_recommendations", f"""{_ITEM_BASED}
 {top('r', 'predicted_rating DESC, confidence DESC', 10)}""", floats=("predicted_rating", "confidence"))
 def item_based_recommendations(spark, sf):
     return _item_based(_rows(spark, sf))
@@ -72,7 +75,7 @@ def _item_based(rows):
     return collaborative.item_based(_requests(rows), rows, near, 10)
 
 
-@query("user_based_recommendations", f"""WITH {RATINGS_AGG}, {_STATS},
+_USER_BASED = f"""WITH {RATINGS_AGG}, {_STATS},
 {row_cosine('nn', 'ra', 'user_id', 'item_id', 50)},
 {user_terms('ra', 'nn', 0.1)},
 sums AS (SELECT query_id, t.item_id, sum(rating * sim) AS rs, sum(dev * sim) AS ds, sum(sim) AS ss, count(*) AS k FROM terms t GROUP BY 1, 2),
@@ -80,7 +83,10 @@ sc AS (SELECT s.*, item_count, item_bias FROM sums s JOIN st USING (item_id)),
 p AS (SELECT query_id, item_id, m.mean + ds / ss AS raw, m.mean + item_bias AS base,
       ss * least(item_count / 10, 2.0) / k * least(k / 8, 1.0) * least(item_count / 20, 1.0) AS conf FROM sc JOIN m ON m.user_id = query_id),
 r AS (SELECT query_id, item_id, {steady(_CLIP.format('CASE WHEN conf < 0.3 THEN raw * conf + base * (1 - conf) ELSE raw END'), 2)} AS predicted_rating,
-      {steady('conf', 3)} AS confidence FROM p)
+      {steady('conf', 3)} AS confidence FROM p)"""
+
+
+@query("user_based_recommendations", f"""{_USER_BASED}
 {top('r', 'predicted_rating DESC, confidence DESC', 10)}""", floats=("predicted_rating", "confidence"))
 def user_based_recommendations(spark, sf):
     return _user_based(_rows(spark, sf))
@@ -247,12 +253,60 @@ def both_recommendation_lists(spark, sf):
     return collaborative.both_lists(_requests(rows), _item_based(rows), _user_based(rows))
 
 
-@query("diverse_recommendations")
+def _walk_sql(with_: str, source: str, order: str, n: int, unit: str, clash: str, columns: str) -> str:
+    """The walk as a recursive query, a place of every list at a time; `unit(item_id, x)` is what kept items are compared by."""
+    return f"""WITH RECURSIVE {with_.strip().removeprefix('WITH')},
+unit AS ({unit}),
+places AS (SELECT l.*, x, row_number() OVER (PARTITION BY query_id ORDER BY {order}, item_id) AS place FROM {source} l LEFT JOIN unit USING (item_id)),
+walk AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS ids, CAST([] AS STRUCT(x DOUBLE[])[]) AS kept FROM places
+  UNION ALL
+  SELECT w.query_id, p.place, CASE WHEN {clash} THEN w.ids ELSE list_append(w.ids, p.item_id) END,
+         CASE WHEN {clash} THEN w.kept ELSE list_append(w.kept, {{'x': p.x}}) END
+  FROM walk w JOIN places p ON p.query_id = w.query_id AND p.place = w.place + 1 WHERE len(w.ids) < {n}),
+ends AS (SELECT query_id, arg_max(ids, place) AS ids FROM walk GROUP BY 1),
+chosen AS (SELECT query_id, unnest(ids) AS item_id, generate_subscripts(ids, 1) AS rank FROM ends)
+SELECT query_id, item_id, {columns}, rank FROM chosen JOIN {source} USING (query_id, item_id)"""
+
+
+def _near_vectors(threshold: float) -> str:
+    return f"len(list_filter(w.kept, lambda k: round(list_inner_product(k.x, p.x), 9) > {threshold})) > 0"
+
+
+_UNIT = "SELECT vec_id AS item_id, list_transform(CAST(embedding AS DOUBLE[]), lambda y: y / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS x FROM embeddings"
+
+
+@query("diverse_recommendations", _walk_sql(f"WITH seeded AS (SELECT * EXCLUDE rank FROM ({REGISTRY['similar_to_seeds'].sql}))", "seeded", "score DESC", 5, _UNIT,
+                                            _near_vectors(0.3), "score"), floats=("score",))
 def diverse_recommendations(spark, sf):
     found = similar_to_seeds(spark, sf).drop("rank")
     return diversity.diversify_by_vectors(found, [F.desc("score"), F.asc("item_id")], _vectors(spark, sf), 5, 0.3)
 
 
+@query("diverse_user_recommendations", _walk_sql(_USER_BASED, "r", "predicted_rating DESC, confidence DESC", 10, _UNIT,
+                                                 _near_vectors(0.7), "predicted_rating, confidence"), floats=("predicted_rating", "confidence"))
+def diverse_user_recommendations(spark, sf):
+    """No two items of a list with a cosine above 0.7; the given embeddings stand for item vectors."""
+    rows = _rows(spark, sf)
+    return collaborative.user_based(_requests(rows), rows, user_neighbours(rows, 50), 10, diversity=0.7, item_vectors=_vectors(spark, sf))
+
+
+_LISTED = "len(list_intersect(CAST(p.x AS BIGINT[]), w.ids)) > 0"
+
+
+def _diverse_items(spark, sf, diversity_):
+    rows = _rows(spark, sf)
+    near = cut_lineage(similar_rows(rows, "item_id", "user_id", "rating", 100))
+    return collaborative.item_based(_requests(rows), rows, near, 10, diversity=diversity_)
+
+
+for _name, _limit in (("diverse_item_recommendations", 0.8), ("very_diverse_item_recommendations", 0.25)):
+    query(_name, _walk_sql(_ITEM_BASED, "r", "predicted_rating DESC, confidence DESC", 10,
+                           f"SELECT query_id AS item_id, CAST(list(id) AS DOUBLE[]) AS x FROM nn WHERE rank <= 20 AND score > {_limit} GROUP BY 1",
+                           _LISTED, "predicted_rating, confidence"), floats=("predicted_rating", "confidence"))(
+        lambda spark, sf, limit=_limit: _diverse_items(spark, sf, limit))
+
+
 # ---- content ----------------------------------------------------------------------------------------
 
 def _item_map(spark, sf):

@@ -189,7 +189,7 @@ def test_diversity_walk(spark):
     recs = spark.createDataFrame([(q, i, float((i * 7 + q) % 60)) for q in range(3) for i in range(60)],
                                  "query_id long, item_id long, score double")
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors}
-    for pool in (500, 10):  # the short pool leaves queries that must walk their whole list
+    for pool in (500, 10, 1):  # short pools leave queries for which several rounds are needed
         got = diversity.diversify_by_vectors(recs, [F.desc("score"), F.asc("item_id")], table, 8, 0.5, pool)
         lists = {}
         for r in got.orderBy("query_id", "rank").collect():
@@ -202,6 +202,25 @@ def test_diversity_walk(spark):
             assert lists[q] == kept
 
 
+def test_diversity_by_lists_in_rounds(spark):
+    """An item that lists a kept one is left out; items without a vector or list clash with none."""
+    rng = np.random.default_rng(3)
+    close = {i: sorted(int(x) for x in rng.choice(80, 25, replace=False)) for i in range(0, 80, 2)}
+    lists = spark.createDataFrame([(i, j) for i, js in close.items() for j in js], "query_id long, id long")
+    recs = spark.createDataFrame([(q, i, float((i * 11 + q * 7) % 80)) for q in range(4) for i in range(80 if q else 3)],
+                                 "query_id long, item_id long, score double")
+    for pool in (500, 4, 1):
+        got = {}
+        for r in diversity.diversify_by_lists(recs, [F.desc("score"), F.asc("item_id")], lists, 9, pool).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["item_id"])
+        for q in range(4):
+            kept = []
+            for i in sorted(range(80 if q else 3), key=lambda i: (-((i * 11 + q * 7) % 80), i)):
+                if len(kept) < 9 and not set(close.get(i, [])) & set(kept):
+                    kept.append(i)
+            assert got[q] == kept
+
+
 def test_trailing_mean_includes_both_ends(spark):
     rows = [(1, "a", f"2024-01-{d:02d} 10:00:00", float(d)) for d in (1, 2, 8, 9)]
     events = spark.createDataFrame(rows, "user_id long, genre string, ts string, rating double").withColumn(
