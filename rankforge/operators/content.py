@@ -12,6 +12,7 @@ from ..functions.vectors import max_vector, mean_vector
 from .cleaning import filter_recommendations
 from .explore import request_majority
 from ..session import cut_lineage
+from .features import apply_field_model
 from .neighbours import nearest, nearest_within
 from .ordering import dense_ids, extend_ids, top_k
 
@@ -107,3 +108,14 @@ def register_items(item_map: DataFrame, new: DataFrame, keys: list[str] = ["ext_
     others = [c for c in item_map.columns if c not in keys and c != "item_id"]
     one = new.groupBy(*keys).agg(*[F.min(c).alias(c) for c in others]) if others else new.select(*keys).distinct()
     return one.join(fresh, keys).select(*item_map.columns)
+
+
+def similar_to_unknown(new: DataFrame, model: dict[str, DataFrame], base: DataFrame, n: int, stop_words: list[str] | None = None,
+                       min_score: float | None = None, id: str = "item_id", **fields) -> DataFrame:
+    """`(query_id, item_id, similarity, rank)` for items that are in no table yet: rows with the text, names and genres of the model.
+
+    They get features under the fitted model and are searched among `base(id, vec)`; nothing is written.
+    """
+    known = apply_field_model(new, model, stop_words, id, **fields)
+    found = nearest(known.select(F.col("id").alias("query_id"), "vec"), base, n, min_score=min_score)
+    return found.select("query_id", F.col("id").alias("item_id"), F.col("score").alias("similarity"), "rank")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import doubles, l2_normalise, mean_vector, weighted_concat, zeros
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, fits, spread
 from .linalg import project, truncated_svd
 from .ordering import dense_ids
 
-MAX_TERMS = 20_000  # largest vocabulary; it is broadcast
+TERM_BYTES = 120  # of a vocabulary row; a small vocabulary is broadcast, a larger one joined by term
+SALTS = 16
 
 
 def term_counts(docs: DataFrame, column: str, stop_words: list[str] | None = None, bigrams: bool = True,
@@ -37,18 +39,29 @@ def fit_vocabulary(counts: DataFrame, n_docs: Column, max_features: int, min_df:
     Terms in fewer than `min_df` documents or in more than the share `max_df` are left out first;
     idf = ln((1 + N) / (1 + df)) + 1.
     """
-    if not 0 < max_features <= MAX_TERMS:
-        raise ValueError(f"max_features must be in 1..{MAX_TERMS}")
+    if max_features < 1:
+        raise ValueError("max_features must be positive")
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     fit = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     kept = fit.orderBy(F.desc("n"), "term").limit(max_features)
-    idx = F.row_number().over(Window.orderBy("term")) - 1  # at most max_features rows
-    return kept.select("term", idx.alias("idx"), "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    kept = cut_lineage(kept.select("term", "df"))
+    placed = dense_ids(kept, ["term"], "idx").join(kept, "term")
+    return placed.select("term", F.col("idx").cast("int").alias("idx"), "df", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf_entries(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """`(id, idx, term, value)`: tf * idf, each document scaled to unit length."""
-    weighted = counts.join(F.broadcast(vocabulary), "term").select(
+    """`(id, idx, term, value)`: tf * idf, each document scaled to unit length.
+
+    A vocabulary that does not fit a broadcast is joined by term. A term is then as hot as its document count, so both sides
+    are salted: a usual term's rows go to many tasks, and the vocabulary, which has a row per term, is sent to each.
+    """
+    if fits(vocabulary, TERM_BYTES):
+        met = counts.join(F.broadcast(vocabulary), "term")
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        copies = vocabulary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = counts.withColumn("_salt", salt).join(copies, ["term", "_salt"])
+    weighted = met.select(
         "id", F.struct("idx", "term", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
     # A document has at most as many entries as the vocabulary has terms.
     rows = weighted.groupBy("id").agg(
@@ -149,54 +162,97 @@ def dense_rows(entries: DataFrame, width: int, ids: DataFrame | None = None) ->
     return ids.select("id").join(rows, "id", "left").select("id", F.coalesce("vec", zeros(width)).alias("vec"))
 
 
-# Fields of the item feature model: vocabulary size, smallest document count, bigrams, reduced width,
-# weight (fixed values); genres are not reduced.
-FIELDS = {"overview": (2000, 3, True, 50, 0.5), "keywords": (500, 2, False, 20, 0.1)}
-GENRE_WEIGHT = 0.4
+@dataclass(frozen=True)
+class TextField:
+    """Words of a text column: vocabulary size, document counts kept, bigrams; reduced to `width` components."""
+    name: str
+    terms: int
+    least: int
+    most: float
+    bigrams: bool
+    width: int
+    weight: float
+
+
+@dataclass(frozen=True)
+class NameField:
+    """The first `names` entries of a list column as labels; reduced to `width` components."""
+    name: str
+    names: int
+    width: int
+    weight: float
+
+
+# The item feature model (fixed values); genres are labels that are not reduced.
+FIELDS = (TextField("overview", 5000, 3, 0.9, True, 100, 0.40), TextField("keywords", 1000, 2, 0.95, True, 50, 0.10),
+          NameField("cast", 20, 100, 0.10), NameField("director", 3, 50, 0.05))
+GENRE_WEIGHT = 0.35
+
 
+def _first_names(field: NameField) -> Column:
+    names = F.transform(F.coalesce(F.col(field.name), F.array().cast("array<string>")), lambda x: F.trim(x))
+    return F.slice(F.filter(names, lambda x: x != ""), 1, field.names)
 
-def fit_field_model(docs: DataFrame, stop_words: list[str] | None = None, seed: int = 42,
-                    id: str = "item_id") -> tuple[dict[str, DataFrame], DataFrame]:
+
+def _field_entries(docs: DataFrame, field: TextField | NameField, table: DataFrame, stop_words: list[str] | None, id: str) -> DataFrame:
+    if isinstance(field, TextField):
+        return apply_tfidf(docs, field.name, table, stop_words, field.bigrams, id)
+    return binarise(docs, _first_names(field), table, id)
+
+
+def fit_field_model(docs: DataFrame, stop_words: list[str] | None = None, seed: int = 42, id: str = "item_id",
+                    fields: tuple[TextField | NameField, ...] = FIELDS, genre_weight: float = GENRE_WEIGHT) -> tuple[dict[str, DataFrame], DataFrame]:
     """(model, `(id, vec)` of the documents it is fitted on).
 
-    The model holds vocabulary and components per text field, and the genre labels. These tables are
-    all it takes to give new items their features, and can be saved as Parquet.
+    Each field is reduced on its own: words by TF-IDF, names by labels, then the leading singular vectors. The model holds terms or
+    labels and components per field, and the genre labels. These tables are all it takes to give new items their
+    features, and can be saved as Parquet. Rows stay sparse until they are reduced, so a field may have any number of labels.
     """
     model, reduced = {"genres": cut_lineage(fit_labels(docs, F.col("genres")))}, {}
-    for field, (size, least, bigrams, width, _) in FIELDS.items():
-        vocabulary, entries = fit_apply_tfidf(docs, field, size, least, 0.95, stop_words, bigrams, id)
-        # A small corpus has fewer terms than the field may hold.
-        n_terms = vocabulary.count()
-        svd = truncated_svd(entries, max(2, n_terms), min(width, max(1, n_terms - 1)), seed)
-        model[f"{field}_vocabulary"] = vocabulary
-        model[f"{field}_components"] = svd["components"]
-        reduced[field] = svd["rows"]
-    return model, _joined_fields(docs, model, reduced, id)
-
-
-def apply_field_model(docs: DataFrame, model: dict[str, DataFrame], stop_words: list[str] | None = None,
-                      id: str = "item_id") -> DataFrame:
+    for field in fields:
+        if isinstance(field, TextField):
+            table, entries = fit_apply_tfidf(docs, field.name, field.terms, field.least, field.most, stop_words, field.bigrams, id)
+        else:
+            table = cut_lineage(fit_labels(docs, _first_names(field)))
+            entries = _field_entries(docs, field, table, stop_words, id)
+        n = table.count()  # a small corpus has fewer terms than the field may hold
+        svd = truncated_svd(entries, n + 1, min(field.width, max(1, n)), seed)
+        model[f"{field.name}_terms"] = table
+        model[f"{field.name}_components"] = svd["components"]
+        reduced[field.name] = svd["rows"]
+    return model, _joined_fields(docs, model, reduced, id, fields, genre_weight)
+
+
+def apply_field_model(docs: DataFrame, model: dict[str, DataFrame], stop_words: list[str] | None = None, id: str = "item_id",
+                      fields: tuple[TextField | NameField, ...] = FIELDS, genre_weight: float = GENRE_WEIGHT) -> DataFrame:
     """`(id, vec)` of new documents under a fitted model."""
     reduced = {}
-    for field, (_, _, bigrams, _, _) in FIELDS.items():
-        vocabulary, components = model[f"{field}_vocabulary"], model[f"{field}_components"]
-        entries = apply_tfidf(docs, field, vocabulary, stop_words, bigrams, id)
-        width = components.select(F.size("vec")).first()[0]
-        reduced[field] = project(entries, components, max(2, vocabulary.count()), width)
-    return _joined_fields(docs, model, reduced, id)
+    for field in fields:
+        table, components = model[f"{field.name}_terms"], model[f"{field.name}_components"]
+        entries = _field_entries(docs, field, table, stop_words, id)
+        reduced[field.name] = project(entries, components, table.count() + 1, _width(components))
+    return _joined_fields(docs, model, reduced, id, fields, genre_weight)
+
+
+def _width(components: DataFrame) -> int:
+    first = components.select(F.size("vec")).first()
+    return first[0] if first else 1
+
+
+def block_widths(model: dict[str, DataFrame], fields: tuple[TextField | NameField, ...] = FIELDS) -> list[tuple[str, int]]:
+    """The blocks of a feature vector in their order."""
+    return [(f.name, _width(model[f"{f.name}_components"])) for f in fields] + [("genres", model["genres"].count())]
 
 
-def _joined_fields(docs: DataFrame, model: dict[str, DataFrame], reduced: dict[str, DataFrame], id: str) -> DataFrame:
-    """Reduced text fields and genres, each of unit length, weighted, concatenated, of unit length again."""
+def _joined_fields(docs: DataFrame, model: dict[str, DataFrame], reduced: dict[str, DataFrame], id: str,
+                   fields: tuple[TextField | NameField, ...], genre_weight: float) -> DataFrame:
+    """Reduced fields and genres, each of unit length, weighted, concatenated, of unit length again."""
     rows = docs.select(F.col(id).cast("bigint").alias("id"))
-    blocks, weights = [], []
-    for field, vectors in reduced.items():
-        width = model[f"{field}_components"].select(F.size("vec")).first()[0]
-        rows = rows.join(vectors.withColumnRenamed("vec", field), "id", "left")
-        blocks.append(l2_normalise(F.coalesce(F.col(field), zeros(width))))
-        weights.append(FIELDS[field][4])
-    n_labels = model["genres"].count()
-    genres = dense_rows(binarise(docs, F.col("genres"), model["genres"], id), n_labels)
+    widths, blocks = dict(block_widths(model, fields)), []
+    for field in fields:
+        rows = rows.join(reduced[field.name].withColumnRenamed("vec", field.name), "id", "left")
+        blocks.append(l2_normalise(F.coalesce(F.col(field.name), zeros(widths[field.name]))))
+    genres = dense_rows(binarise(docs, F.col("genres"), model["genres"], id), widths["genres"])
     rows = rows.join(genres.withColumnRenamed("vec", "genres"), "id", "left")
-    blocks.append(l2_normalise(F.coalesce(F.col("genres"), zeros(n_labels))))
-    return rows.select("id", l2_normalise(weighted_concat(blocks, [*weights, GENRE_WEIGHT])).alias("vec"))
+    blocks.append(l2_normalise(F.coalesce(F.col("genres"), zeros(widths["genres"]))))
+    return rows.select("id", l2_normalise(weighted_concat(blocks, [*[f.weight for f in fields], genre_weight])).alias("vec"))

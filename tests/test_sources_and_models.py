@@ -38,7 +38,7 @@ def test_json_array_and_sets(spark, tmp_path):
 def test_feature_model_survives_saving(spark, sf, tmp_path):
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("item_id"), F.col("text").alias("overview"), F.array("lang", "source").alias("genres"),
-        F.concat_ws(" ", "lang", "source").alias("keywords"))
+        F.concat_ws(" ", "lang", "source").alias("keywords"), F.array("source", "lang").alias("cast"), F.array("source").alias("director"))
     model, rows = features.fit_field_model(docs, ["the"])
     sources.save_model_tables(model, str(tmp_path / "model"))
     loaded = sources.load_model_tables(spark, str(tmp_path / "model"), list(model))
@@ -179,3 +179,21 @@ def test_failed_batch_is_replayed_with_the_same_ids(spark, tmp_path):
     _register(spark, tmp_path, features=names, vectors_path=str(tmp_path / "vec")).awaitTermination()
     assert [(r[0], r[2], r[3]) for r in _held(spark, tmp_path)] == [(i, i + 1, "x" if i < 5 else "y") for i in range(9)]
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "vec")).collect()) == [6, 7, 8, 9]
+
+
+def test_large_vocabulary_is_joined_by_term(spark, monkeypatch):
+    """50,000 terms, one of them in every document: the same entries as with a broadcast vocabulary."""
+    docs = spark.range(1000).select(F.col("id").alias("item_id"), F.concat(
+        F.lit("everywhere "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.lit("w"), (F.col("id") % 500) * 100 + k)), " ")).alias("text"))
+    vocabulary, small = features.fit_apply_tfidf(docs, "text", 60_000, bigrams=False)
+    vocabulary, small = vocabulary.cache(), small.cache()
+    assert vocabulary.count() == 50_001
+    monkeypatch.setattr(features, "fits", lambda df, size: False)
+    counts = features.term_counts(docs, "text", bigrams=False)
+    large = features.tfidf_entries(counts, vocabulary)
+    assert "_salt" in large._jdf.queryExecution().toString()
+    rounded = [df.select("id", "idx", "term", F.round("value", 9).alias("v")) for df in (small, large)]
+    assert rounded[0].count() == 101_000 and rounded[0].exceptAll(rounded[1]).count() == 0
+    assert vocabulary.filter("term = 'everywhere'").first()["df"] == 1000
+    vocabulary.unpersist()
+    small.unpersist()
