@@ -86,7 +86,7 @@ def similarity(c: Column, kind: str, largest: Column | None = None) -> Column:
 
 
 def percent_text(c: Column, digits: int = 2) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%"))
+    return F.concat(F.format_string(f"%.{digits}f", steady_round(c * 100, digits)), F.lit("%"))
 
 
 def time_decay(ts: Column, as_of: Column, factor: float) -> Column:

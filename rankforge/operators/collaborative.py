@@ -195,6 +195,16 @@ def decayed_predictions(requests: DataFrame, rated: DataFrame, neighbours: DataF
     return sums.join(query_stats, "query_id").select("query_id", "item_id", value.alias("predicted"))
 
 
+def predicted_or_mean(pairs: DataFrame, predictions: DataFrame, ratings: DataFrame) -> DataFrame:
+    """`(query_id, item_id, predicted, source)` of given pairs: the neighbours' prediction, else the item's mean, else the mean of the items' means."""
+    means = item_stats(ratings).select("item_id", "item_mean")
+    overall = means.agg(F.avg("item_mean")).scalar()
+    joined = (pairs.select("query_id", "item_id").distinct().join(predictions.select("query_id", "item_id", "predicted"), ["query_id", "item_id"], "left")
+              .join(means, "item_id", "left"))
+    source = F.when(F.col("predicted").isNotNull(), "neighbours").when(F.col("item_mean").isNotNull(), "item").otherwise("all")
+    return joined.select("query_id", "item_id", F.coalesce("predicted", "item_mean", overall).alias("predicted"), source.alias("source"))
+
+
 def guest_stats(queries: DataFrame, ratings: DataFrame) -> DataFrame:
     """`(query_id, mean, std)` of guests: the averages over all known users."""
     stats = user_stats(ratings)

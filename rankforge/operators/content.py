@@ -5,16 +5,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric, text
 from ..functions.vectors import max_vector, mean_vector
-from .cleaning import filter_recommendations
+from .cleaning import drop_missing, filter_recommendations
 from .explore import request_majority
 from ..session import cut_lineage
 from .features import apply_field_model
 from .neighbours import nearest, nearest_within
-from .ordering import dense_ids, extend_ids, top_k
+from .ordering import dense_ids, extend_ids, first_per_key, top_k
 
 
 def _finish(found: DataFrame, n: int, key: str = "similarity") -> DataFrame:
@@ -110,6 +112,25 @@ def register_items(item_map: DataFrame, new: DataFrame, keys: list[str] = ["ext_
     return one.join(fresh, keys).select(*item_map.columns)
 
 
+def add_items(item_map: DataFrame, new: DataFrame, folder: str, batch: int, features: Callable[[DataFrame], DataFrame],
+              clean: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] = ["ext_id", "media_type"]) -> dict[str, DataFrame]:
+    """Register a batch of items: unknown keys get ids, their cleaned rows and features are written beside the map.
+
+    Tables `map`, `processed` and `features` under `folder` get one partition `batch=N` each, which a second run of
+    the batch overwrites. `features` maps cleaned rows with an item_id to features; known items are not touched.
+    """
+    spark = new.sparkSession
+    rows = drop_missing(clean(new) if clean else new, keys)
+    others = [F.col(c).asc_nulls_last() for c in rows.columns if c not in keys]
+    rows = cut_lineage(first_per_key(rows, keys, others or [F.lit(0).asc()]))
+    fresh = cut_lineage(extend_ids(item_map.select(*keys, "item_id"), rows, keys, "item_id"))
+    paths = {name: f"{folder.rstrip('/')}/{name}/batch={batch}" for name in ("map", "processed", "features")}
+    fresh.write.mode("overwrite").parquet(paths["map"])
+    rows.join(fresh, keys).select("item_id", *rows.columns).write.mode("overwrite").parquet(paths["processed"])
+    features(spark.read.parquet(paths["processed"])).write.mode("overwrite").parquet(paths["features"])
+    return {name: spark.read.parquet(path) for name, path in paths.items()}
+
+
 def similar_to_unknown(new: DataFrame, model: dict[str, DataFrame], base: DataFrame, n: int, stop_words: list[str] | None = None,
                        min_score: float | None = None, id: str = "item_id", **fields) -> DataFrame:
     """`(query_id, item_id, similarity, rank)` for items that are in no table yet: rows with the text, names and genres of the model.

@@ -19,7 +19,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import doubles, has_bad_value, l2_normalise, norm
+from ..functions.vectors import doubles, has_bad_value, l2_normalise, nan_to_zero, norm
 from ..session import SMALL_BYTES, cut_lineage, fits, spread
 from .ordering import top_k
 
@@ -284,11 +284,21 @@ def nearest_in_cells(queries: DataFrame, base: DataFrame, k: int, centroids: np.
     return _ranked(found, q, k, metric, min_score)
 
 
-def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int = 8, bits: int = 5, seed: int = 42,
+def bits_for(n: int, rows: int = 64) -> int:
+    """Signs per table so that a cell has about `rows` of n vectors."""
+    return min(40, max(1, math.ceil(math.log2(max(2.0, n / rows)))))
+
+
+def nearest_by_hash(queries: DataFrame, base: DataFrame, k: int, tables: int | None = None, bits: int | None = None, seed: int = 42,
                     metric: str = "cosine", skip_self: bool = False, min_score: float | None = None,
                     digits: int = SCORE_DIGITS, block_rows: int | None = None) -> DataFrame:
-    """Approximate best k by sign hashing: vectors meet where all signs of one table agree."""
+    """Approximate best k by sign hashing: vectors meet where all signs of one table agree.
+
+    Unset, `bits` follow the number of vectors, so that cells keep their size, and there are three tables per bit.
+    """
     q, v = _queries(queries, k), _base(base)
+    bits = bits_for(v.count()) if bits is None else bits
+    tables = 3 * bits if tables is None else tables
     dim = _dimension(q)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     shared = q.sparkSession.sparkContext.broadcast(planes)
@@ -344,8 +354,10 @@ def mend_zero_vectors(vectors: DataFrame, seed: int = 42) -> DataFrame:
     return vectors.withColumn("vec", F.when(norm(F.col("vec")) > 0, vec).otherwise(F.transform(vec, noise)))
 
 
-def add_vectors(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Base plus the new vectors whose id is absent; empty vectors and such with bad values are refused."""
+def add_vectors(base: DataFrame, new: DataFrame, bad: str = "refuse") -> DataFrame:
+    """Base plus the new vectors whose id is absent. Empty vectors are refused; those with NaN or null values too, or these become 0 (`bad="zero"`)."""
+    if bad == "zero":
+        new = new.withColumn("vec", nan_to_zero(doubles(F.col("vec"))))
     good = new.filter((F.size("vec") > 0) & ~has_bad_value(F.col("vec")))
     return base.unionByName(good.join(base, "id", "left_anti").select(*base.columns))
 

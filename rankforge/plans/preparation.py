@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import nested, numeric, text
 from ..operators import cleaning, content, ordering, splits
-from ..sources import content_items, event_ratings, ratings, ratings_agg, table
+from ..operators.features import hash_names
+from ..session import shared_dir
+from ..sources import (content_items, event_ratings, load_many, load_model_tables, load_table, ratings, ratings_agg, save_item_features,
+                       save_long_matrix, save_many, save_model_tables, save_table, table)
 from .registry import RATINGS, RATINGS_AGG, query
 
 TIES = ["l_orderkey", "l_linenumber", "item_id", "rating"]
@@ -51,8 +57,9 @@ _CHRONO = f"""
 WITH {RATINGS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, l_orderkey, l_linenumber, item_id, rating) AS rn,
                   count(*) OVER (PARTITION BY user_id) AS n FROM ratings),
-marked AS (SELECT *, rn <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * 0.8), 1), n - 1) END AS is_train FROM ranked)
-SELECT user_id, item_id, rating, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, ts FROM marked m WHERE """
+marked AS MATERIALIZED (SELECT *, rn <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * 0.8), 1), n - 1) END AS is_train FROM ranked),
+known AS (SELECT *, bool_or(is_train) OVER (PARTITION BY user_id) AND bool_or(is_train) OVER (PARTITION BY item_id) AS seen FROM marked)
+SELECT user_id, item_id, rating, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, ts FROM known WHERE """
 
 
 @query("chrono_split_train", _CHRONO + "is_train", floats=("rating",), times=("ts",))
@@ -60,8 +67,7 @@ def chrono_split_train(spark, sf):
     return splits.chronological_split(ratings(spark, sf), TIES)[0]
 
 
-@query("chrono_split_test", _CHRONO + """NOT is_train
-  AND user_id IN (SELECT user_id FROM marked WHERE is_train) AND item_id IN (SELECT item_id FROM marked WHERE is_train)""",
+@query("chrono_split_test", _CHRONO + "NOT is_train AND seen",
        floats=("rating",), times=("ts",))
 def chrono_split_test(spark, sf):
     return splits.chronological_split(ratings(spark, sf), TIES)[1]
@@ -367,3 +373,48 @@ def prepare_items(spark, sf):
     numbered, _ = cleaning.number_items(cleaning.prepare_items(raw_items(spark, sf)))
     ready = cleaning.preprocess_items(numbered)
     return ready.join(numbered.select("ext_id", "media_type", "item_id"), ["ext_id", "media_type"])
+
+
+@query("wrapped_dates", """SELECT o_orderkey, '{"$date":"' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z"}' AS wrapped,
+       year(o_orderdate) AS year, CAST(left(strftime(o_orderdate, '%Y-%m-%d'), 4) AS BIGINT) AS prefix FROM orders""", ints=("year", "prefix"))
+def wrapped_dates(spark, sf):
+    """Dates as restructured records hold them, the year read back from such a record, and from the first four characters."""
+    dates = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    text_ = F.to_json(nested.wrapped_date(F.col("d")))
+    return dates.select("o_orderkey", text_.alias("wrapped"), nested.release_year(text_).alias("year"), nested.year_prefix(F.col("d")).alias("prefix"))
+
+
+@query("registered_item_tables", """
+WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id, source) AS item_id FROM documents),
+k AS (SELECT max(item_id) FILTER (doc_id % 2 = 0) AS n FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id, source) AS item_id FROM documents WHERE doc_id % 2 = 0)),
+n AS (SELECT d.doc_id AS ext_id, d.source AS media_type, k.n + row_number() OVER (ORDER BY d.doc_id, d.source) AS item_id, text
+      FROM d JOIN documents USING (doc_id, source), k WHERE d.doc_id % 2 <> 0)
+SELECT ext_id, media_type, item_id, trim(regexp_replace(lower(regexp_replace(text, '[^\\p{L}\\p{N}_\\s]', '', 'g')), '\\s+', ' ', 'g')) AS overview,
+       CAST('0x' || substr(md5(media_type), 1, 8) AS BIGINT) % 50 AS idx, 1.0::DOUBLE AS value FROM n""", floats=("value",))
+def registered_item_tables(spark, sf):
+    """Items with even ids are known; all others come as one batch: map, processed and feature tables, read back and joined."""
+    shaped = lambda d: d.select(F.col("doc_id").alias("ext_id"), F.col("source").alias("media_type"), text.clean_text(F.col("text")).alias("overview"))
+    docs = table(spark, sf, "documents")
+    known = ordering.dense_ids(docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("ext_id"), F.col("source").alias("media_type")),
+                               ["ext_id", "media_type"], "item_id", start=1)
+    folder = f"{shared_dir(spark).rstrip('/')}/items-{uuid.uuid4().hex}"
+    names = lambda rows: hash_names(rows, F.array("media_type"), 50, signed=False)
+    made = content.add_items(known, docs, folder, 1, names, shaped)
+    return made["processed"].join(made["map"], ["ext_id", "media_type", "item_id"]).join(
+        made["features"].withColumnRenamed("id", "item_id"), "item_id").select("ext_id", "media_type", "item_id", "overview", "idx", "value")
+
+
+@query("saved_and_loaded_tables", """SELECT kind, p_partkey, p_name FROM part, (VALUES ('csv'), ('json'), ('orc'), ('parquet'), ('set'), ('features'), ('matrix'), ('model')) k(kind)""")
+def saved_and_loaded_tables(spark, sf):
+    """A table through every sink and back through its scan."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    folder = f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    found = {kind: load_table(spark, save_table(part, folder, "part", kind), part.schema) for kind in ("csv", "json", "parquet", "orc")}
+    save_many({"a": part, "b": part}, f"{folder}/set", "parquet")
+    found["set"] = load_many(spark, f"{folder}/set", {"a": "a.parquet", "b": "b.parquet"})["b"]
+    save_item_features(part, f"{folder}/features")
+    save_long_matrix(part, f"{folder}/matrix")
+    save_model_tables({"terms": part}, f"{folder}/model")
+    found |= {name: spark.read.parquet(f"{folder}/{name}") for name in ("features", "matrix")}
+    found["model"] = load_model_tables(spark, f"{folder}/model", ["terms"])["terms"]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "p_partkey", "p_name") for kind, df in found.items()])

@@ -203,6 +203,22 @@ def decayed_user_predictions(spark, sf):
     return _decayed(_rows(spark, sf), guest=False)
 
 
+@query("decayed_pair_predictions", f"""WITH {RATINGS_AGG}, {_decayed_sql(_KNOWN)},
+pairs AS (SELECT DISTINCT u.user_id AS query_id, r.item_id FROM (SELECT DISTINCT user_id FROM ra) u JOIN ra r ON r.user_id = u.user_id + 1
+          UNION SELECT user_id, -1 FROM ra),
+im AS (SELECT item_id, avg(rating) AS m FROM ra GROUP BY 1)
+SELECT p.query_id, p.item_id, coalesce(predicted, m, (SELECT avg(m) FROM im)) AS predicted,
+       CASE WHEN predicted IS NOT NULL THEN 'neighbours' WHEN m IS NOT NULL THEN 'item' ELSE 'all' END AS source
+FROM pairs p LEFT JOIN pred ON pred.query_id = p.query_id AND pred.item_id = p.item_id LEFT JOIN im ON im.item_id = p.item_id""", floats=("predicted",))
+def decayed_pair_predictions(spark, sf):
+    """The items of the user with the next id, and one that nobody rated: where no neighbour tells, means do."""
+    rows = _rows(spark, sf)
+    users = rows.select(F.col("user_id").alias("query_id")).distinct()
+    pairs = users.join(rows.select((F.col("user_id") - 1).alias("query_id"), "item_id"), "query_id").unionByName(
+        users.withColumn("item_id", F.lit(-1).cast("bigint")))
+    return collaborative.predicted_or_mean(pairs, _decayed(rows, False), rows)
+
+
 def _blended_sql(stats: str) -> str:
     return f"""WITH {RATINGS_AGG}, {_decayed_sql(stats)},
 s AS (SELECT item_id, count(*) AS n, avg(rating) AS mean FROM ra GROUP BY 1),
@@ -360,11 +376,12 @@ def multi_seed_content(spark, sf):
 
 @query("percent_lists", f"""WITH {VECTORS}, {_SELF}, {cosine_lists('nn', 'selfq', 11)},
 r AS (SELECT query_id, id AS item_id, {_LIKE} AS raw_score FROM nn WHERE query_id <> id)
-SELECT query_id, item_id, raw_score, rank FROM ({top('r', 'raw_score DESC', 10)})""", floats=("raw_score",))
+SELECT query_id, item_id, raw_score, CAST(ROUND(CAST(raw_score * 100 AS DECIMAL(28,9)), 2)::DECIMAL(18,2) AS VARCHAR) || '%' AS similarity, rank
+FROM ({top('r', 'raw_score DESC', 10)})""", floats=("raw_score",))
 def percent_lists(spark, sf):
     queries = _vectors(spark, sf).select(F.col("id").alias("query_id"), F.col("id").alias("item_id"))
     found = nearest(_vectors(spark, sf).withColumnRenamed("id", "query_id"), _vectors(spark, sf), 11)
-    return content.with_percent(found, queries, 10).drop("similarity")
+    return content.with_percent(found, queries, 10)
 
 
 # ---- hybrids -----------------------------------------------------------------------------------------

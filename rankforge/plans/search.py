@@ -171,6 +171,28 @@ def add_vectors(spark, sf):
         "id", F.aggregate(vx.doubles(F.col("vec")), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+@query("add_filled_vectors", f"""WITH {VECTORS}, n AS (
+  SELECT id + 100 AS id, list_transform(vec, lambda x, i: CASE WHEN label = 3 AND i % 2 = 0 THEN 0 ELSE x END) AS vec FROM v)
+SELECT id, list_sum(vec) AS total FROM v UNION ALL
+SELECT id, list_sum(vec) AS total FROM n WHERE id NOT IN (SELECT id FROM v)""", floats=("total",))
+def add_filled_vectors(spark, sf):
+    """Every second value of one label's new vectors is missing and counts as 0."""
+    known = embedding_vectors(spark, sf)
+    holes = F.transform(vx.doubles(F.col("vec")), lambda x, i: F.when((F.col("label") == 3) & (i % 2 == 1), float("nan")).otherwise(x))
+    new = known.select((F.col("id") + 100).alias("id"), holes.alias("vec"))
+    return neighbours.add_vectors(known.select("id", vx.doubles(F.col("vec")).alias("vec")), new, bad="zero").select(
+        "id", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
+@query("sign_hash_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings")
+def sign_hash_recall(spark, sf):
+    """Sign hashing with as many signs as the number of vectors asks for finds nine of ten near vectors."""
+    exact = embedding_knn_cosine(spark, sf)
+    found = neighbours.nearest_by_hash(_queries(spark, sf), _vectors(spark, sf), 10, tables=40, skip_self=True)
+    hits = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 _ZEROED = "z AS (SELECT id, label, list_transform(vec, lambda x: CASE WHEN label = 7 THEN 0.0 ELSE x * 2 END) AS vec FROM v)"
 
 
