@@ -21,12 +21,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, shared_dir
 from .positions import numbered
 
 SLOTS = 4096
+TOLERANCE = 0.01  # of the mean, that shards may be apart before a stored map is edited
 _TEXT_SPLIT, _ID_SPLIT = 256, 256
 
 
@@ -116,14 +118,55 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/version={version}").withColumn("map_version", F.lit(version))
 
 
+def latest_map(spark: SparkSession, folder: str) -> tuple[int, dict[int, int]]:
+    """Number and slots of the newest stored version; (0, nothing) without one."""
+    try:
+        stored = spark.read.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return 0, {}
+        raise
+    version = stored.agg(F.max("version")).first()[0]
+    return version, {r["virtual_slot"]: r["shard"] for r in load_map(spark, folder, version).collect()}  # a row per slot
+
+
+def edited(mapping: dict[int, int], sizes: dict[int, int], shards: int, tolerance: float = TOLERANCE) -> dict[int, int]:
+    """The stored map for the slots of today: known slots stay, new ones go to the emptiest shard, and only if shards are then
+    further apart than `tolerance` of their mean are slots moved. Slots without rows keep their place."""
+    out = {slot: shard for slot, shard in mapping.items() if shard < shards}
+    load = [0] * shards
+    for slot, shard in out.items():
+        load[shard] += sizes.get(slot, 0)
+    for slot in sorted(set(sizes) - set(out), key=lambda x: (-sizes[x], x)):
+        out[slot] = min(range(shards), key=lambda s: (load[s], s))
+        load[out[slot]] += sizes[slot]
+    if max(load) - min(load) <= tolerance * sum(load) / shards:
+        return out
+    return rebalanced(out, {slot: sizes.get(slot, 0) for slot in out}, shards)
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, folder: str | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, shard, map_version, slot): near equal bytes per shard."""
+    """(doc_id, size, text_crc32, virtual_slot, shard, map_version, slot): near equal bytes per shard.
+
+    With a `folder` that holds a map the newest version is taken up: it is kept where it still fits, else edited and
+    stored as the next version, and only the rows of moved slots change their shard. Without one a map is made: version 1 deals
+    the slots out, version 2 is balanced.
+    """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/shard-map-{uuid.uuid4().hex}"
     slots, sizes = with_slots(cut_lineage(weighed(docs)), shards)
-    first = initial_map(sizes, shards)
-    save_map(spark, folder, 1, first, sizes)
-    save_map(spark, folder, 2, rebalanced(first, sizes, shards), sizes)
-    current = load_map(spark, folder, 2).select("virtual_slot", "shard", "map_version")
+    version, mapping = latest_map(spark, folder)
+    if version == 0:
+        version, mapping = 1, initial_map(sizes, shards)
+        save_map(spark, folder, version, mapping, sizes)
+        new = rebalanced(mapping, sizes, shards)
+        changed = True
+    else:
+        new = edited(mapping, sizes, shards)
+        changed = new != mapping
+    if changed:
+        version += 1
+        save_map(spark, folder, version, new, sizes)
+    current = load_map(spark, folder, version).select("virtual_slot", "shard", "map_version")
     placed = slots.rows.join(F.broadcast(current), "virtual_slot")  # one row per slot, bounded by SLOTS and its splits
     return numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot").drop("_h1", "_h2")

@@ -72,6 +72,28 @@ def test_versions_of_the_map(spark, tmp_path):
         sharding.save_map(spark, str(tmp_path), 2, second, grown)
 
 
+def test_a_stored_map_is_kept_or_edited(spark, tmp_path):
+    """Runs on a growing table: the map is taken up again, and few rows change their shard."""
+    folder = str(tmp_path / "map")
+
+    def run(n, heavy=0):
+        rows = [(i, f"text {i} " + "x" * (i * 37 % 300)) for i in range(n)] + [(10**6 + i, "y" * 900 + str(i)) for i in range(heavy)]
+        found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, folder).collect()
+        loads = check_shards(found, 8)
+        assert len(found) == len(rows) and max(loads) <= 1.02 * min(loads)
+        return {r["doc_id"]: r["shard"] for r in found}, {r["map_version"] for r in found}
+
+    first, version = run(6000)
+    assert version == {2}
+    again, version = run(6000)
+    assert version == {2} and again == first  # nothing new: the map is kept
+    grown, version = run(7000, heavy=300)
+    assert version == {3}
+    assert sum(grown[i] != shard for i, shard in first.items()) < 0.25 * len(first)
+    assert sharding.latest_map(spark, folder)[0] == 3
+    assert {r["shard"] for r in sharding.load_map(spark, folder, 1).collect()} == set(range(8))  # earlier versions stay
+
+
 def formatted(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     return chat.format_conversations(df)
