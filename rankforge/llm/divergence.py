@@ -26,7 +26,7 @@ from .kernels import Slice, folded, gathered, runs, slices, word_hashes
 from .resources import beside, buckets_for, settled
 
 MIN_DOCS, SMOOTHING, UNIT, TOP_TERMS = 30, 5, 1_000_000_000, 50
-SLICE, CHUNK_TERMS, BLOCK_SOURCES = 4 << 20, 4096, 128
+SLICE, CHUNK_TERMS, BLOCK_SOURCES = 2 << 20, 4096, 128
 _NARROW = 9_000_000_000  # counts below this times UNIT are 64-bit numbers
 _MEMBER = np.zeros(256, dtype=bool)
 _MEMBER[65:91] = _MEMBER[97:123] = _MEMBER[128:] = True
