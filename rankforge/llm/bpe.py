@@ -36,7 +36,7 @@ from .kernels import mixed, power_tables
 _NONE = np.int64(1) << 62
 _CELLS = 1 << 19  # matrix cells that are worked on at once
 _LETTERS = 1 << 21  # characters of text whose words are gathered at once, or one longer text
-_KNOWN_WORDS, _KNOWN_BYTES = 150_000, 48  # words of a generation of a worker's table, and bytes of a word that is kept
+_KNOWN_WORDS, _KNOWN_BYTES = 50_000, 48  # words of a generation of a worker's table, and bytes of a word that is kept
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 # White_Space of the Unicode standard (fixed values).
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

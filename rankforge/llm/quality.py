@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .kernels import Slice, mixed, slices, window_hashes, windows_inside, word_hashes, words
 from .labelled import labelled_rows
+from .resources import let_go
 
 BITS, MAX_ROWS, MAX_BYTES, THRESHOLD = 16, 3000, 12 << 20, 0.5
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -180,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """Fit on at most `max_rows` labelled rows of `max_bytes` in all; every fifth of them, by hash, is left for the calibration."""
     rows = labelled_rows(docs, labels, label, max_rows, max_bytes)
     rng, table = np.random.default_rng(7), _hashed_rows(rows, "label").toArrow()
+    let_go(docs.sparkSession)  # what Spark collected is in the table now
     found = list(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), _arrays(table["buckets"], np.int32), _arrays(table["shares"], np.float32)))
     found.sort(key=lambda r: (r[1] is None, r[1], r[0], len(r[2])))
     y = np.array([r[0] for r in found], dtype=float)
@@ -210,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             bias -= 0.05 * m0 / (np.sqrt(v0) + 1e-4)
     tested = np.flatnonzero(held)
     a, b = platt(np.array([margin_of(i) for i in tested]), y[tested])
+    del table, found, m, v
+    let_go(docs.sparkSession)
     return Model((scale * w).reshape(KINDS, 1 << BITS), bias, a, b)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, fits
 
@@ -29,6 +30,13 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Give memory that the driver no longer uses back to the system: its two heaps and Arrow's pool keep what they once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buckets_for(docs: DataFrame, text: str = "text", bucket_bytes: int = 16 << 20, least: int = 256) -> int:
     """Number of hash buckets so that each gets the tokens of about `bucket_bytes` of text, however large the table."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

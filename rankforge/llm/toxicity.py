@@ -23,6 +23,7 @@ as texts of their own, equal ones as one; repeated rows are scored each; an empt
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .labelled import labelled_rows
+from .resources import let_go
 
 MAX_ROWS, MAX_BYTES, MAX_CLEAN, LANDMARKS, DECAY, LONGEST = 4000, 24 << 20, 60_000, 240, 0.9, 24
 _LIFT, _LEAST = 6.0, 4
@@ -98,30 +100,30 @@ def features(codes: np.ndarray, decay: float = DECAY) -> Iterator[tuple[np.ndarr
                 yield order[:n], first + placed[j, :n] * _KINDS, weight
 
 
-def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY) -> np.ndarray:
-    """Kernel of all pairs of units."""
+def gram(left: np.ndarray, right: np.ndarray, decay: float = DECAY, strip: int = 500) -> np.ndarray:
+    """Kernel of all pairs of units; `strip` left units are worked on at once, so memory follows the strip."""
     def sparse(codes):
         rows, triples, weights = [], [], []
         for r, t, w in features(codes, decay):
-            rows.append(r)
-            triples.append(t)
-            weights.append(np.full(len(r), w))
-        return np.concatenate(rows), np.concatenate(triples), np.concatenate(weights)
+            rows.append(r.astype(np.int32))
+            triples.append(t.astype(np.int32))
+            weights.append(np.full(len(r), w, dtype=np.float32))
+        return [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((rows, np.int32), (triples, np.int32), (weights, np.float32))]
 
-    (lr, lt, lw), (rr, rt, rw) = sparse(left), sparse(right)
+    rr, rt, rw = sparse(right)
     seen, number = np.unique(rt, return_inverse=True)
-    b = np.bincount(rr * len(seen) + number, weights=rw, minlength=len(right) * len(seen)).astype(np.float32).reshape(len(right), -1)
-    at = np.minimum(np.searchsorted(seen, lt), len(seen) - 1)
-    hit = seen[at] == lt
-    order = np.argsort(lr[hit], kind="stable")
-    lr, at, lw = lr[hit][order], at[hit][order], lw[hit][order]
-    out = np.zeros((len(left), len(right)))
-    step = max(1, (1 << 22) // max(1, len(seen)))  # rows whose triples are held as a full matrix at once
-    for s in range(0, len(left), step):
-        rows = min(step, len(left) - s)
-        mine = slice(*np.searchsorted(lr, [s, s + rows]))
-        a = np.bincount((lr[mine] - s) * len(seen) + at[mine], weights=lw[mine], minlength=rows * len(seen))
-        out[s:s + rows] = a.astype(np.float32).reshape(rows, -1) @ b.T
+    b = np.bincount(rr.astype(np.int64) * len(seen) + number, weights=rw, minlength=len(right) * len(seen)).astype(np.float32).reshape(len(right), -1)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not len(seen):
+        return out
+    strip = max(1, min(strip, (1 << 23) // len(seen)))  # rows whose triples are held as a full matrix
+    for s in range(0, len(left), strip):
+        lr, lt, lw = sparse(left[s:s + strip])
+        at = np.minimum(np.searchsorted(seen, lt), len(seen) - 1)
+        hit = seen[at] == lt
+        n = min(strip, len(left) - s)
+        a = np.bincount(lr[hit].astype(np.int64) * len(seen) + at[hit], weights=lw[hit], minlength=n * len(seen))
+        out[s:s + n] = a.astype(np.float32).reshape(n, -1) @ b.T
     return out
 
 
@@ -175,14 +177,20 @@ def altered(unit: str, rng: np.random.Generator) -> list[str]:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    z = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    z = np.concatenate((x, np.ones((len(x), 1), dtype=x.dtype)), axis=1)
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(min(steps, 30)):
-        inside = y * (z @ w) < 1
-        a = z[inside] * weight[inside][:, None]
-        new = np.linalg.solve(ridge + 2 * cost * a.T @ z[inside], 2 * cost * a.T @ y[inside])
+        inside = np.flatnonzero(y * (z @ w.astype(z.dtype)) < 1)
+        square, toward = ridge.copy(), np.zeros(z.shape[1])
+        for at in range(0, len(inside), 1000):  # rows of a strip in double precision
+            rows = inside[at:at + 1000]
+            part = z[rows].astype(float)
+            weighed = part.T * weight[rows]
+            square += 2 * cost * weighed @ part
+            toward += 2 * cost * weighed @ y[rows]
+        new = np.linalg.solve(square, toward)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -236,7 +244,9 @@ def train(texts: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds
     hard = [clean_list[i] for i in rng.choice(len(clean_list), min(4000, len(clean_list)), replace=False)]
     for _ in range(rounds):
         more = sorted(extra)
-        x = gram(coded(suspects + copies + more + hard), marks) / square @ whiten
+        x = gram(coded(suspects + copies + more + hard), marks)
+        x /= square.astype(np.float32)
+        x = x @ whiten.astype(np.float32)
         y = np.concatenate((np.ones(len(suspects) + len(copies) + len(more)), -np.ones(len(hard))))
         usual = np.sqrt([in_clean[p] for p in hard])
         weigh = np.concatenate((known / known.sum(), copied / known.sum(), np.array([extra[p] for p in more]) / (10 * known.sum()), 4 * usual / usual.sum()))
@@ -300,10 +310,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """Fit on at most `max_rows` labelled rows of `max_bytes` in all, half of both toxic where there are so many."""
     rows = labelled_rows(docs, labels, label, max_rows, max_bytes, each=True, seed=11)
     counts = {r[0]: r[1] for r in labels.select(F.col(label).cast("int").alias("label")).filter("label IS NOT NULL").groupBy("label").count().collect()}
-    found = sorted((r["doc_id"], r["label"], r["units"]) for r in _bags(rows).collect())
+    table = _bags(rows).toArrow()
+    found = sorted(zip(*[table[c].to_pylist() for c in ("doc_id", "label", "units")]))
     order = np.random.default_rng(3).permutation(len(found))
-    return train([(found[i][1], found[i][2].split("\n") if found[i][2] else []) for i in order], landmarks,
-                 prior=counts.get(1, 0) / max(1, sum(counts.values())))
+    texts = [(found[i][1], list(map(sys.intern, found[i][2].split("\n"))) if found[i][2] else []) for i in order]  # a unit is held once
+    del table, found
+    let_go(docs.sparkSession)  # what Spark collected is garbage by now
+    model = train(texts, landmarks, prior=counts.get(1, 0) / max(1, sum(counts.values())))
+    del texts
+    let_go(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
