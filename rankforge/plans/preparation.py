@@ -11,8 +11,8 @@ from ..functions import nested, numeric, text
 from ..operators import cleaning, content, ordering, splits
 from ..operators.features import hash_names
 from ..session import shared_dir
-from ..sources import (content_items, event_ratings, load_many, load_model_tables, load_table, ratings, ratings_agg, save_item_features,
-                       save_long_matrix, save_many, save_model_tables, save_table, table)
+from ..sources import (content_items, event_ratings, load_json_array, load_many, load_model_tables, load_table, ratings, ratings_agg, save_item_features,
+                       save_json_arrays, save_long_matrix, save_many, save_model_tables, save_table, table)
 from .registry import RATINGS, RATINGS_AGG, query
 
 TIES = ["l_orderkey", "l_linenumber", "item_id", "rating"]
@@ -418,3 +418,12 @@ def saved_and_loaded_tables(spark, sf):
     found |= {name: spark.read.parquet(f"{folder}/{name}") for name in ("features", "matrix")}
     found["model"] = load_model_tables(spark, f"{folder}/model", ["terms"])["terms"]
     return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "p_partkey", "p_name") for kind, df in found.items()])
+
+
+@query("json_arrays_in_parts", "SELECT doc_id, lang, source, n_chars, text FROM documents")
+def json_arrays_in_parts(spark, sf):
+    """All documents written as JSON arrays and read back by byte ranges."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    folder = f"{shared_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    save_json_arrays(docs, folder)
+    return load_json_array(spark, folder, docs.schema, in_parts=True)

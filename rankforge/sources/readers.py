@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import shared_dir
+from .json_parts import json_array_elements
 
 # Format by file suffix (fixed values).
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet", ".orc": "orc"}
@@ -15,8 +20,15 @@ def load_csv(spark: SparkSession, path: str, schema: str | None = None, **option
     return reader.csv(path)
 
 
-def load_json_array(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
-    """A file that holds one JSON array. One such file is one task: save it as Parquet once."""
+def load_json_array(spark: SparkSession, path: str, schema: str | None = None, in_parts: bool = False, **options) -> DataFrame:
+    """A file that holds one JSON array. One such file is one task, but with `in_parts` it is read by many
+    (`json_parts`); without a schema the parts are written once to the shared folder and looked through there."""
+    if in_parts and schema:
+        return json_array_elements(spark, path).select(F.from_json("value", schema, options).alias("row")).select("row.*")
+    if in_parts:
+        folder = f"{shared_dir(spark).rstrip('/')}/json-{uuid.uuid4().hex}"
+        json_array_elements(spark, path).write.text(folder)
+        return spark.read.options(**options).json(folder)
     reader = spark.read.options(multiLine=True, **options)
     return (reader.schema(schema) if schema else reader).json(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 log = logging.getLogger(__name__)
 
@@ -23,6 +23,14 @@ def save_table(df: DataFrame, directory: str, name: str, kind: str = "csv", **op
     return path
 
 
+def save_json_arrays(df: DataFrame, path: str, rows: int = 1000) -> None:
+    """JSON arrays of at most `rows` neighbouring rows each, one after the other in every part file."""
+    numbered = df.select(F.to_json(F.struct(*df.columns)).alias("_row"), F.spark_partition_id().alias("_part"),
+                         F.monotonically_increasing_id().alias("_n"))
+    arrays = numbered.groupBy("_part", F.floor(F.col("_n") / rows).alias("_array")).agg(F.collect_list("_row").alias("_rows"))
+    arrays.select(F.concat(F.lit("["), F.array_join("_rows", ",\n"), F.lit("]"))).write.mode("overwrite").text(path)
+
+
 def save_many(tables: dict[str, DataFrame], directory: str, kind: str = "csv", **options) -> dict[str, str]:
     return {name: save_table(df, directory, name, kind, **options) for name, df in tables.items()}
 

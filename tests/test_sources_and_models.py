@@ -35,6 +35,45 @@ def test_json_array_and_sets(spark, tmp_path):
     assert spark.read.parquet(paths["b"]).count() == 2
 
 
+ODD = ["}", "{", '"', "\\", "\\\\}", "\n", "é😀", "[", "]", '{"a": 1}', "", "word " * 90, '}{"\\' * 150]
+
+
+@pytest.mark.parametrize("size", ["300", "128m"])
+@pytest.mark.parametrize("layout", [{}, {"indent": 2, "ensure_ascii": False}])
+def test_json_array_in_parts(spark, tmp_path, size, layout):
+    """Objects and strings that lie across byte ranges, braces and quotes inside strings, nested objects."""
+    rows = [{"id": i, "text": ODD[i % len(ODD)] + ODD[i * 5 % len(ODD)], "more": {"names": [{"n": ODD[i * 3 % len(ODD)]}] * (i % 3)}} for i in range(60)]
+    path = tmp_path / "rows.json"
+    path.write_text(json.dumps(rows, **layout), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        elements = sources.json_array_elements(spark, str(path))
+        assert sorted((json.loads(r["value"]) for r in elements.collect()), key=lambda r: r["id"]) == rows
+        if size == "300":
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 20
+            return
+        one = sources.load_json_array(spark, str(path))
+        for schema in (one.schema, None):
+            many = sources.load_json_array(spark, str(path), schema, in_parts=True)
+            assert many.schema == one.schema and sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_json_array_in_parts_of_odd_files(spark, tmp_path):
+    texts = {"none": "", "empty": "[]", "two": '[{"a": 1}]\n[{"a": 2}, 3, null]', "mark": '\ufeff[{"a": 1}]', "bare": '{"a": 1}', "open": '[{"a": 1}, {"a": "}]'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    found = {name: sorted(r["a"] for r in sources.load_json_array(spark, str(tmp_path / f"{name}.json"), "a int", in_parts=True).collect())
+             for name in texts if name != "open"}
+    assert found == {"none": [], "empty": [], "two": [1, 2], "mark": [1], "bare": [1]}
+    with pytest.raises(Exception, match="not an array of JSON objects"):
+        sources.load_json_array(spark, str(tmp_path / "open.json"), "a int", in_parts=True).collect()
+
+
 def test_feature_model_survives_saving(spark, sf, tmp_path):
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("item_id"), F.col("text").alias("overview"), F.array("lang", "source").alias("genres"),
