@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankforge import session
 from rankforge.functions import numeric
 from rankforge.operators import co_ratings, collaborative, diversity, explore, linalg, metrics, neighbours, ordering, splits
 from rankforge.sources import embedding_vectors, ratings_agg
@@ -267,3 +268,17 @@ def test_micros_do_not_depend_on_the_session_zone(spark):
         assert [r[0] for r in times.select(numeric.micros(F.col("t"))).collect()] == want == [1711852200123456, -500000]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_rows_leave_their_stripe_only_as_the_result(spark, monkeypatch):
+    rows = skewed(spark).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
+    whole = co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 7)
+    monkeypatch.setattr(co_ratings, "BEST_BYTES", 2_000)
+    striped = co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 7)
+    plan = _plan(striped)
+    assert "Window" not in plan and plan.count("MapInArrow") == 1  # nothing is ranked, so nothing sent, after the search
+    assert whole.exceptAll(striped).count() == 0 and striped.exceptAll(whole).count() == 0
