@@ -282,3 +282,24 @@ def test_similar_rows_leave_their_stripe_only_as_the_result(spark, monkeypatch):
     plan = _plan(striped)
     assert "Window" not in plan and plan.count("MapInArrow") == 1  # nothing is ranked, so nothing sent, after the search
     assert whole.exceptAll(striped).count() == 0 and striped.exceptAll(whole).count() == 0
+
+
+def test_neighbour_terms_are_summed_where_they_are_unpacked(spark, monkeypatch):
+    rows = skewed(spark).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating"))
+    rows = session.cut_lineage(rows)
+    near = session.cut_lineage(co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 5))
+    requests = rows.withColumnRenamed("user_id", "query_id")
+    means = rows.groupBy("user_id").agg(F.avg("rating").alias("mean"))
+    sums = [F.sum("sim").alias("ss"), F.sum("rating").alias("rs"), F.count("sim").alias("k")]
+    got = collaborative._neighbour_sums(requests, collaborative._with_means(near, rows), rows, ["rating"], *sums)
+    plan = _plan(got)
+    assert plan.index("HashAggregate") < plan.index("inline") and "Exchange" not in plan[:plan.index("inline")]
+    terms = near.select("query_id", F.col("id").alias("user_id"), F.col("score").alias("sim")).join(means, "user_id").join(rows, "user_id")
+    want = terms.join(requests.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").groupBy("query_id", "item_id").agg(*sums)
+    monkeypatch.setattr(collaborative, "_HISTORY", 3)
+    cut = collaborative._neighbour_sums(requests, collaborative._with_means(near, rows), rows, ["rating"], *sums)
+
+    def read(df):
+        return {(r["query_id"], r["item_id"]): (round(r["ss"], 6), round(r["rs"], 6), r["k"]) for r in df.collect()}
+
+    assert read(got) == read(want) == read(cut) and read(want)
