@@ -303,3 +303,15 @@ def test_neighbour_terms_are_summed_where_they_are_unpacked(spark, monkeypatch):
         return {(r["query_id"], r["item_id"]): (round(r["ss"], 6), round(r["rs"], 6), r["k"]) for r in df.collect()}
 
     assert read(got) == read(want) == read(cut) and read(want)
+
+
+def test_small_blocks_do_not_multiply_the_copies(spark, sf, monkeypatch):
+    base = embedding_vectors(spark, sf).select("id", "vec")
+    sent, in_cells = [], neighbours._in_cells
+    monkeypatch.setattr(neighbours, "_in_cells", lambda *a: sent.append(a[-1]) or in_cells(*a))
+    monkeypatch.setattr(neighbours, "parallelism", lambda _: 4)
+    queries = base.withColumnRenamed("id", "query_id")
+    blocks = neighbours.nearest(queries, base, 5, "dot", skip_self=True, block_rows=2)
+    assert sent == [125]  # 500 rows go to 4 x 4 tasks, not to 250 x 250
+    whole = neighbours.nearest(queries, base, 5, "dot", skip_self=True)
+    assert whole.exceptAll(blocks).count() == 0 and blocks.count() == 2500
