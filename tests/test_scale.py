@@ -315,3 +315,28 @@ def test_small_blocks_do_not_multiply_the_copies(spark, sf, monkeypatch):
     assert sent == [125]  # 500 rows go to 4 x 4 tasks, not to 250 x 250
     whole = neighbours.nearest(queries, base, 5, "dot", skip_self=True)
     assert whole.exceptAll(blocks).count() == 0 and blocks.count() == 2500
+
+
+def test_lists_to_evaluate_are_worked_out_once(spark, sf):
+    from rankforge.plans import scoring
+    for df in scoring._evaluated(spark, sf):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" in plan and not any(step in plan for step in ("Join", "Aggregate", "Window"))
+
+
+def test_sums_of_neighbours_stay_where_they_are(spark):
+    rows = session.cut_lineage(skewed(spark).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")))
+    near = session.cut_lineage(co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 5))
+    requests = rows.withColumnRenamed("user_id", "query_id")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for lists in (collaborative.simple_user_based(requests, rows, near, 5), collaborative.user_based(requests, rows, near, 5)):
+            plan = _plan(lists)
+            before = plan[:plan.index("inline")]  # what comes after the terms are unpacked
+            assert not any("Exchange" in line and "hashpartitioning" in line for line in before.splitlines() if "Broadcast" not in line)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
