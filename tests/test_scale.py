@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankforge import session
 from rankforge.functions import numeric
-from rankforge.operators import co_ratings, collaborative, diversity, explore, linalg, metrics, neighbours, ordering, splits
+from rankforge.operators import co_ratings, collaborative, content, diversity, explore, linalg, metrics, neighbours, ordering, splits
 from rankforge.sources import embedding_vectors, ratings_agg
 
 
@@ -340,3 +340,68 @@ def test_sums_of_neighbours_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("kind", ["random", "whole", "huge", "few"])
+def test_screened_blocks_equal_brute_force(metric, kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    q, v = rng.standard_normal((30, 8)), rng.standard_normal((3000, 8))
+    if kind == "whole":  # many equal scores
+        q, v = np.round(q), np.round(v)
+    if kind == "huge":   # beyond single precision
+        q, v = q * 1e30, v * 1e25
+    if kind == "few":    # far from the origin: single precision tells little apart
+        q, v = q * 1e-3 + 1e3, v * 1e-3 + 1e3
+    q_ids, v_ids, k = np.arange(30) * 7, rng.permutation(4000)[:3000], rng.integers(0, 12, 30)
+    v_ids[5] = v_ids[6]
+    skip = (np.repeat(v_ids[:60], 2), np.sort(rng.integers(0, 30, 120)))
+    owner, barred = np.arange(30) % 3, (rng.integers(0, 4, 500), rng.integers(0, 3000, 500))
+    cells, scored = [], neighbours._scored
+    monkeypatch.setattr(neighbours, "_scored", lambda a, b, *c: cells.append(len(a) * len(b)) or scored(a, b, *c))
+    monkeypatch.setattr(neighbours, "STRIP_CELLS", 21_000)
+    got = neighbours._block_best(q_ids, q, k, v_ids, v, metric, True, 6, skip, (owner, *barred))
+    assert kind != "random" or not cells  # no score of all pairs in double precision
+    a, b = (neighbours._unit(q), neighbours._unit(v)) if metric == "cosine" else (q, v)
+    scores = scored(a, b, metric, 6)
+    for i, r in zip(*skip):
+        scores[r, v_ids == i] = -np.inf
+    for o, c in zip(*barred):
+        scores[owner == o, c] = -np.inf
+    scores[q_ids[:, None] == v_ids[None, :]] = -np.inf
+    for r in range(30):
+        order = np.lexsort((v_ids, -scores[r]))[:k[r]]
+        mine = got[3] == r
+        assert list(got[1][mine]) == list(v_ids[order]) and np.allclose(got[2][mine], scores[r, order], rtol=1e-12, atol=1.1e-6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_stripes_and_broadcast_agree(spark, sf, monkeypatch, metric):
+    base = embedding_vectors(spark, sf).select("id", "vec")
+    base = base.unionByName(base.withColumn("id", F.col("id") + 1000))  # every score twice
+    queries = base.select(F.col("id").alias("query_id"), F.reverse("vec").alias("vec"), (F.col("id") % 7).alias("k"),
+                          F.array(F.col("id"), F.col("id") + 1).alias("seeds"))
+    whole = neighbours.nearest(queries, base, "k", metric, skip_self=True, skip="seeds").collect()
+    monkeypatch.setattr(neighbours, "fits", lambda *a: False)
+    monkeypatch.setattr(neighbours, "_in_cells", None)  # no query is sent to several blocks
+    monkeypatch.setattr(neighbours, "STRIPE_ROWS", 100)
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", 64)
+    striped = neighbours.nearest(queries, base, "k", metric, skip_self=True, skip="seeds").collect()
+    assert sorted(striped) == sorted(whole) and len(whole) > 2000
+    assert neighbours.nearest(queries.filter("k > 9"), base, 3).count() == 0
+
+
+def test_what_several_seeds_must_not_get_is_sent_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4)]) for i in range(60)], "id long, vec array<double>")
+    items = spark.createDataFrame([(i, i, "film", "en", f"t{i}") for i in range(60)],
+                                  "item_id long, ext_id long, media_type string, spoken_languages string, title string")
+    queries = spark.createDataFrame([(f"q{i % 2}", i) for i in range(40)] + [("q0", 1), (None, 3), ("q1", None)], "query_id string, item_id long")
+    sent, within = [], neighbours.nearest_within
+    monkeypatch.setattr(content, "nearest_within", lambda q, v, *a, **b: sent.append((q, v)) or within(q, v, *a, **b))
+    got = content.similar_to_several(queries, vectors, items, 40).collect()
+    lists = {q: {r["item_id"] for r in got if r["query_id"] == q} for q in ("q0", "q1")}
+    assert lists["q0"] == set(range(1, 60, 2)) - {1} | set(range(40, 60)) and lists["q1"] == set(range(0, 40, 2)) | set(range(40, 60))
+    asked, base = sent[0]
+    assert [c for c, kind in asked.dtypes if kind.startswith("array")] == ["vec"]
+    assert base.filter("cell LIKE '%|en'").agg(F.sum(F.size("barred"))).first()[0] == 41
