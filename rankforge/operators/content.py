@@ -81,15 +81,17 @@ def similar_to_several(queries: DataFrame, vectors: DataFrame, item_map: DataFra
         "query_id").agg(F.collect_set("x").alias("_wanted"))
     # A language is a cell of its media type; so is no language, and all of them for inputs that name none.
     cells = F.when(F.col("_wanted").isNull(), F.array(F.lit("*"))).otherwise(F.concat(F.col("_wanted"), F.array(F.lit(""))))
-    asked = several.join(kind, "query_id").join(wanted, "query_id", "left").join(
-        queries.groupBy("query_id").agg(F.collect_set("item_id").alias("own")), "query_id")
+    # What a query must not get travels with the items, once for all searches of the query.
+    owners = several.groupBy("query_id").agg(F.min("_search").alias("owner"))
+    barred = queries.join(owners, "query_id").groupBy(F.col("item_id").alias("id")).agg(F.collect_set("owner").alias("barred"))
+    asked = several.join(kind, "query_id").join(wanted, "query_id", "left").join(owners, "query_id")
     asked = asked.withColumn("_lang", F.explode(cells)).select(
-        F.col("_search").alias("query_id"), "vec", "own", F.concat_ws("|", "_kind", "_lang").alias("cell"))
+        F.col("_search").alias("query_id"), "vec", "owner", F.concat_ws("|", "_kind", "_lang").alias("cell"))
     own = F.concat(F.when(F.size(spoken("spoken_languages")) > 0, F.array_distinct(spoken("spoken_languages"))).otherwise(
         F.array(F.lit(""))), F.array(F.lit("*")))
-    base = vectors.join(item_map.select(F.col("item_id").alias("id"), "media_type", F.explode(own).alias("_lang")), "id").select(
-        "id", "vec", F.concat_ws("|", "media_type", "_lang").alias("cell"))
-    found = nearest_within(asked, base, 3 * n, skip="own")
+    base = vectors.join(item_map.select(F.col("item_id").alias("id"), "media_type", F.explode(own).alias("_lang")), "id").join(barred, "id", "left").select(
+        "id", "vec", F.concat_ws("|", "media_type", "_lang").alias("cell"), "barred")
+    found = nearest_within(asked, base, 3 * n, barred=True)
     labelled = found.select(F.col("query_id").alias("_search"), F.col("id").alias("item_id"),
                             numeric.similarity(F.col("score"), "cosine").alias("s")).join(
         several.select("_search", "query_id", "w"), "_search")
