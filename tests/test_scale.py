@@ -405,3 +405,34 @@ def test_what_several_seeds_must_not_get_is_sent_once(spark, monkeypatch):
     asked, base = sent[0]
     assert [c for c, kind in asked.dtypes if kind.startswith("array")] == ["vec"]
     assert base.filter("cell LIKE '%|en'").agg(F.sum(F.size("barred"))).first()[0] == 41
+
+
+@pytest.mark.parametrize("path", ["broadcast", "joined"])
+def test_svd_of_short_rows_reads_them_once(spark, path, monkeypatch):
+    """Rows of few entries, some twice, signed: an iteration goes over the sparse matrix of column products, not over the rows."""
+    rng = np.random.default_rng(11)
+    m, cells = np.zeros((400, 60)), []
+    for i in range(400):
+        for j in rng.integers(0, 60, 1 + i % 3).tolist():
+            cells.append((i, j, float(rng.normal())))
+            m[i, j] += cells[-1][2]
+
+    def again(*_):
+        raise AssertionError("the rows were read again")
+
+    monkeypatch.setattr(linalg, "_times_transposed", again)
+    product = linalg._joined_product
+    monkeypatch.setattr(linalg, "_joined_product", lambda entries, vectors, on, to: again() if on == "id" else product(entries, vectors, on, to))
+    found = linalg.truncated_svd(spark.createDataFrame(cells, "id long, idx int, value double"), 60, 6, path=path)
+    got = [r["singular_value"] for r in found["spectrum"].orderBy("component").collect()]
+    assert np.allclose(got, np.linalg.svd(m, compute_uv=False)[:6])
+    rows = {r["id"]: np.array(r["vec"]) for r in found["rows"].collect()}
+    v = np.stack([np.array(r["vec"]) for r in found["components"].orderBy("idx").collect()])
+    assert all(np.allclose(m[i] @ v, rows[i]) for i in range(400))
+
+
+def test_few_partitions_send_column_products(spark):
+    """A partition sends a whole matrix, so there are no more of them than cores."""
+    entries = spark.range(4000).select("id", (F.col("id") % 3).cast("int").alias("idx"), F.lit(1.0).alias("value")).repartition(40)
+    found = linalg.truncated_svd(entries, 3, 2, path="exact")["spectrum"].orderBy("component").collect()
+    assert np.allclose([r["singular_value"] ** 2 for r in found], [1334, 1333])
