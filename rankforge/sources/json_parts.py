@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fits
@@ -22,6 +23,7 @@ from ..session import fits
 ESCAPE = re.compile(rb"\\.", re.DOTALL)
 LINE_ENDS = bytes.maketrans(b"\r\n", b"  ")  # never inside a string of valid JSON
 SUMMARY = "file string, at bigint, quotes bigint, out_change bigint, out_least bigint, in_change bigint, in_least bigint"
+RUN_BYTES = 1 << 20  # of text worked on at a time: the marks of a text take dozens of times its room
 STATE = "file string, at bigint, inside boolean, depth bigint, owner bigint"
 
 
@@ -33,14 +35,18 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, bytes]]:
-    """Neighbouring rows of one byte range, with the first one's place, as one text in which each row is ended by its `}`."""
-    files, ats = batch.column("file"), batch.column("at").to_numpy()
-    pieces = batch.column("piece").to_pylist()
-    first = 0
+    """Neighbouring rows of one byte range, with the first one's place, as one text in which each row is ended by its `}`.
+
+    A text ends with the row that brings it to RUN_BYTES, so a run of a range may go on in the next.
+    """
+    files, ats, pieces = batch.column("file"), batch.column("at").to_numpy(), batch.column("piece")
+    sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+    first, size = 0, 0
     for i in range(1, len(pieces) + 1):
-        if i == len(pieces) or ats[i] != ats[first] or files[i] != files[first]:
-            yield first, files[first].as_py(), int(ats[first]), b"}".join(pieces[first:i]) + b"}"
-            first = i
+        size += int(sizes[i - 1]) + 1
+        if i == len(pieces) or size >= RUN_BYTES or ats[i] != ats[first] or files[i] != files[first]:
+            yield first, files[first].as_py(), int(ats[first]), b"}".join(pieces[first:i].to_pylist()) + b"}"
+            first, size = i, 0
 
 
 def _marks(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -97,8 +103,8 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           names=["file", "owner", "at", "value"])
 
     for batch in batches:
-        found = []
         for first, file, at, text in _runs(batch):
+            found = []
             if key != (file, at):
                 if held:
                     found.append((key[0], key[1] if owner is None else owner, key[1], b"".join(held)))
@@ -119,8 +125,8 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(opened) > len(closed):
                 held.append(text[opened[-1]:])
             inside, depth = (inside + more) % 2, int(level[-1]) if len(level) else depth
-        if found:
-            yield rows(found)
+            if found:
+                yield rows(found)
     if held:
         yield rows([(key[0], key[1] if owner is None else owner, key[1], b"".join(held))])
 

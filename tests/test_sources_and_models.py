@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +237,25 @@ def test_large_vocabulary_is_joined_by_term(spark, monkeypatch):
     assert vocabulary.filter("term = 'everywhere'").first()["df"] == 1000
     vocabulary.unpersist()
     small.unpersist()
+
+
+def test_json_ranges_are_worked_on_in_small_runs(monkeypatch):
+    """A batch of many rows is not marked up as one text; the objects are the same, also across the cuts."""
+    from rankforge.sources import json_parts as jp
+    text = json.dumps([{"id": i, "text": ODD[i % len(ODD)] + ODD[i * 5 % len(ODD)]} for i in range(300)]).encode()
+    pieces = text.split(b"}")
+    n = len(pieces)
+
+    def batch(more):
+        return pa.RecordBatch.from_pydict({"file": ["f"] * n, "at": [0] * n, "piece": pa.array(pieces, pa.binary()), **more})
+
+    def found(run_bytes):
+        monkeypatch.setattr(jp, "RUN_BYTES", run_bytes)
+        sizes = [len(t) for _, _, _, t in jp._runs(batch({}))]
+        out = jp._objects(iter([batch({"inside": [False] * n, "depth": [0] * n, "owner": pa.array([None] * n, pa.int64())})]))
+        rows = [r for b in out for r in b.to_pylist()]
+        return sizes, [r.to_pylist() for r in jp._summaries(iter([batch({})]))], [(r["owner"], json.loads(r["value"])) for r in rows]
+
+    whole, parts = found(1 << 30), found(200)
+    assert len(whole[0]) == 1 and max(parts[0]) <= 200 + max(map(len, pieces)) + 1 and len(parts[0]) > 20
+    assert whole[1:] == parts[1:] and len(whole[2]) == 300 and sum(parts[0]) == len(text) + 1
