@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import doubles, l2_normalise, mean_vector, weighted_concat, zeros
-from ..session import cut_lineage, fits, spread
+from ..session import cut_lineage, fits, parallelism
 from .linalg import project, truncated_svd
 from .ordering import dense_ids
 
 TERM_BYTES = 120  # of a vocabulary row; a small vocabulary is broadcast, a larger one joined by term
 SALTS = 16
+PART_BYTES = 16 * 1024 * 1024  # of text a task counts the terms of: its table of (document, term) stays in memory
 
 
 def term_counts(docs: DataFrame, column: str, stop_words: list[str] | None = None, bigrams: bool = True,
-                id: str = "item_id") -> DataFrame:
-    """`(id, term, tf)`: words of two or more characters, and pairs of neighbours once the stop words are out."""
-    rows = spread(docs.select(F.col(id).cast("bigint").alias("id"), F.col(column).alias("_text")))
+                id: str = "item_id", only: DataFrame | None = None) -> DataFrame:
+    """`(id, term, tf)`: words of two or more characters, and pairs of neighbours once the stop words are out.
+
+    The texts are dealt out by id and counted where they lie, so no term is sent. `only`, a vocabulary small enough to
+    broadcast, drops all other terms before they are counted.
+    """
+    rows = _by_id(docs.select(F.col(id).cast("bigint").alias("id"), F.col(column).alias("_text")))
     rows = rows.select("id", tx.words(F.col("_text"), stop_words).alias("word"))
     if bigrams:
         pairs = rows.withColumn("next", F.slice("word", 2, F.greatest(F.size("word"), F.lit(1)))).select(
@@ -29,9 +34,18 @@ def term_counts(docs: DataFrame, column: str, stop_words: list[str] | None = Non
         terms = terms.filter(F.col("term").isNotNull())
     else:
         terms = rows.select("id", F.explode("word").alias("term"))
+    if only is not None:
+        terms = terms.join(F.broadcast(only.select("term")), "term", "left_semi")
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def _by_id(rows: DataFrame) -> DataFrame:
+    """`(id, _text)` with all rows of an id in one partition, and as many partitions as the texts need."""
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = -(-size // PART_BYTES)
+    return rows.repartition(parts, "id") if parts > parallelism(rows.sparkSession) else rows.repartition("id")
+
+
 def fit_vocabulary(counts: DataFrame, n_docs: Column, max_features: int, min_df: int = 1,
                    max_df: float = 1.0) -> DataFrame:
     """`(term, idx, df, idf)`: the terms of highest corpus count, indexed in alphabetical order.
@@ -80,16 +94,16 @@ def fit_tfidf(docs: DataFrame, column: str, max_features: int, min_df: int = 1,
 def apply_tfidf(docs: DataFrame, column: str, vocabulary: DataFrame, stop_words: list[str] | None = None,
                 bigrams: bool = True, id: str = "item_id") -> DataFrame:
     """Entries of a text column under a fitted vocabulary."""
-    return tfidf_entries(term_counts(docs, column, stop_words, bigrams, id), vocabulary)
+    only = vocabulary if fits(vocabulary, TERM_BYTES) else None
+    return tfidf_entries(term_counts(docs, column, stop_words, bigrams, id, only), vocabulary)
 
 
 def fit_apply_tfidf(docs: DataFrame, column: str, max_features: int, min_df: int = 1, max_df: float = 1.0,
                     stop_words: list[str] | None = None, bigrams: bool = True,
                     id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, entries) of the same documents; the texts are cut into words once."""
-    counts = cut_lineage(term_counts(docs, column, stop_words, bigrams, id))
-    vocabulary = cut_lineage(fit_vocabulary(counts, docs.agg(F.count("*")).scalar(), max_features, min_df, max_df))
-    return vocabulary, tfidf_entries(counts, vocabulary)
+    """(vocabulary, entries) of the same documents; the texts are read twice, as their terms would take far more room."""
+    vocabulary = cut_lineage(fit_tfidf(docs, column, max_features, min_df, max_df, stop_words, bigrams, id))
+    return vocabulary, apply_tfidf(docs, column, vocabulary, stop_words, bigrams, id)
 
 
 def fit_labels(docs: DataFrame, labels: Column) -> DataFrame:

@@ -259,3 +259,25 @@ def test_json_ranges_are_worked_on_in_small_runs(monkeypatch):
     whole, parts = found(1 << 30), found(200)
     assert len(whole[0]) == 1 and max(parts[0]) <= 200 + max(map(len, pieces)) + 1 and len(parts[0]) > 20
     assert whole[1:] == parts[1:] and len(whole[2]) == 300 and sum(parts[0]) == len(text) + 1
+
+
+def test_terms_are_counted_where_the_texts_lie(spark, monkeypatch):
+    """No (id, term) row is sent or written; texts of one id, or of none, still count together, in as many partitions as they need."""
+    rows = [(i % 7 if i % 5 else None, f"alpha beta word{i % 4} alpha" if i % 6 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "item_id long, text string")
+    want = {}
+    for key, text in rows:
+        words = (text or "").split()
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            want[key, term] = want.get((key, term), 0) + 1
+    monkeypatch.setattr(features, "PART_BYTES", 64)
+    counts = features.term_counts(docs, "text")
+    assert {(r["id"], r["term"]): r["tf"] for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().sparkPlan().toString() + counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "term#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    assert docs.count() and features._by_id(docs.select(F.col("item_id").alias("id"), F.col("text").alias("_text"))).rdd.getNumPartitions() > 8
+    few = spark.createDataFrame([("alpha",), ("beta word1",)], "term string")
+    assert {(r["id"], r["term"]): r["tf"] for r in features.term_counts(docs, "text", only=few).collect()} == {
+        k: v for k, v in want.items() if k[1] in ("alpha", "beta word1")}
+    vocabulary, entries = features.fit_apply_tfidf(docs, "text", 5)
+    assert {(r["id"], r["term"]) for r in entries.collect()} == {k for k in want if k[1] in {r["term"] for r in vocabulary.collect()}}
