@@ -436,3 +436,8 @@ def test_few_partitions_send_column_products(spark):
     entries = spark.range(4000).select("id", (F.col("id") % 3).cast("int").alias("idx"), F.lit(1.0).alias("value")).repartition(40)
     found = linalg.truncated_svd(entries, 3, 2, path="exact")["spectrum"].orderBy("component").collect()
     assert np.allclose([r["singular_value"] ** 2 for r in found], [1334, 1333])
+
+
+def test_stacked_fields_take_one_scan():
+    """The width of the sparse item features: an iteration over all rows took dozens of scans."""
+    assert linalg.GRAM_COLUMNS >= 3400
