@@ -122,35 +122,43 @@ def base_counts(piece: Slice) -> dict[str, np.ndarray]:
 
 
 def _hashed_rows(labelled: DataFrame, label: str) -> DataFrame:
-    """(label, part, buckets, shares) per labelled row; buckets of all kinds in one array."""
+    """(label, doc_id, sizes, buckets, times) per labelled row: buckets of all kinds one after another, how many each kind has, and how
+    often each occurs, in as few bytes as the row's largest count takes."""
     def run(batches):
         for batch in batches:
             for piece in slices(batch.column(1)):
                 found = list(features(piece))
-                buckets, shares = [], []
+                sizes, buckets, times = [], [], []
                 for i in range(piece.texts):
-                    own_b, own_s = [], []
-                    for kind, (values, edges) in enumerate(found):
-                        mine, times = np.unique(values[edges[i]:edges[i + 1]], return_counts=True)
-                        own_b.append(mine + (kind << BITS))
-                        own_s.append(times / max(1, times.sum()))
-                    buckets.append(np.concatenate(own_b).astype(np.int32).tobytes())
-                    shares.append(np.concatenate(own_s).astype(np.float32).tobytes())
+                    own = [np.unique(values[edges[i]:edges[i + 1]], return_counts=True) for values, edges in found]
+                    counts = np.concatenate([n for _, n in own])
+                    sizes.append(np.array([len(n) for _, n in own], dtype=np.int32).tobytes())
+                    buckets.append(np.concatenate([v for v, _ in own]).astype(np.uint16).tobytes())
+                    times.append(counts.astype(np.min_scalar_type(counts.max(initial=0))).tobytes())
                 rows = batch.slice(piece.first, piece.texts)
-                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())],
-                                                 names=["label", "doc_id", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(0), *[pa.array(x, pa.binary()) for x in (sizes, buckets, times)]],
+                                                 names=["label", "doc_id", "sizes", "buckets", "times"])
 
     return labelled.select("doc_id", "text", F.col(label).cast("int").alias("label")).mapInArrow(
-        run, "label int, doc_id long, buckets binary, shares binary")
+        run, "label int, doc_id long, sizes binary, buckets binary, times binary")
 
 
-def _arrays(column: pa.ChunkedArray, kind) -> Iterator[np.ndarray]:
-    """The numbers in each binary value, in place."""
+def _bytes(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The bytes of each binary value, in place."""
     for chunk in column.chunks:
         _, offsets, data = chunk.buffers()
-        at = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1] // np.dtype(kind).itemsize
-        numbers = np.frombuffer(data, kind, count=int(at[-1])) if data is not None else np.zeros(0, kind)
-        yield from (numbers[a:b] for a, b in zip(at[:-1], at[1:]))
+        at = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        raw = np.frombuffer(data, np.uint8, count=int(at[-1])) if data is not None else np.zeros(0, np.uint8)
+        yield from (raw[a:b] for a, b in zip(at[:-1], at[1:]))
+
+
+def _cells(sizes: np.ndarray, buckets: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the weights of all kinds, and the share each has of its kind, of a row of `_hashed_rows`."""
+    sizes, buckets = np.frombuffer(sizes.tobytes(), np.int32), np.frombuffer(buckets.tobytes(), np.uint16)
+    times = np.frombuffer(times.tobytes(), f"u{len(times) // len(buckets)}") if len(buckets) else np.zeros(0)
+    kind = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.maximum(np.bincount(kind, weights=times, minlength=len(sizes)), 1)
+    return buckets + (kind << BITS), (times / total[kind]).astype(np.float32)
 
 
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -179,11 +187,11 @@ def no_model() -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, epochs: int = 8) -> Model:
     """Fit on at most `max_rows` labelled rows of `max_bytes` in all; every fifth of them, by hash, is left for the calibration."""
-    rows = labelled_rows(docs, labels, label, max_rows, max_bytes)
-    rng, table = np.random.default_rng(7), _hashed_rows(rows, "label").toArrow()
+    labelled = labelled_rows(docs, labels, label, max_rows, max_bytes)
+    rng, table = np.random.default_rng(7), _hashed_rows(labelled, "label").toArrow()
     let_go(docs.sparkSession)  # what Spark collected is in the table now
-    found = list(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), _arrays(table["buckets"], np.int32), _arrays(table["shares"], np.float32)))
-    found.sort(key=lambda r: (r[1] is None, r[1], r[0], len(r[2])))
+    found = list(zip(table["label"].to_pylist(), table["doc_id"].to_pylist(), *[_bytes(table[c]) for c in ("sizes", "buckets", "times")]))
+    found.sort(key=lambda r: (r[1] is None, r[1], r[0], len(r[3])))
     y = np.array([r[0] for r in found], dtype=float)
     held = np.arange(len(found)) % 5 == 4
     if len(found) < 10 or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
@@ -194,16 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     m, v, m0, v0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     scale = 16.0  # shares are small; the weights are rescaled at the end
 
-    def margin_of(i: int) -> float:
-        return float(scale * (w[found[i][2]] @ found[i][3]) + bias)
+    def margin_of(cells: np.ndarray, shares: np.ndarray) -> float:
+        return float(scale * (w[cells] @ shares) + bias)
 
     for _ in range(epochs):
         order = rng.permutation(train)
         for at in range(0, len(order), 64):
             part = order[at:at + 64]
-            push = [(1 / (1 + np.exp(-np.clip(margin_of(i), -30, 30))) - y[i]) * weigh[i] / len(part) for i in part]
-            cells = np.concatenate([found[i][2] for i in part])
-            values = np.concatenate([scale * p * found[i][3] for p, i in zip(push, part)])
+            rows = [_cells(*found[i][2:]) for i in part]
+            push = [(1 / (1 + np.exp(-np.clip(margin_of(*row), -30, 30))) - y[i]) * weigh[i] / len(part) for i, row in zip(part, rows)]
+            cells = np.concatenate([c for c, _ in rows])
+            values = np.concatenate([scale * p * x for p, (_, x) in zip(push, rows)])
             gradient = np.bincount(cells, weights=values, minlength=len(w))
             m = 0.9 * m + 0.1 * gradient
             v = 0.99 * v + 0.01 * gradient ** 2
@@ -211,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             m0, v0 = 0.9 * m0 + 0.1 * sum(push), 0.99 * v0 + 0.01 * sum(push) ** 2
             bias -= 0.05 * m0 / (np.sqrt(v0) + 1e-4)
     tested = np.flatnonzero(held)
-    a, b = platt(np.array([margin_of(i) for i in tested]), y[tested])
+    a, b = platt(np.array([margin_of(*_cells(*found[i][2:])) for i in tested]), y[tested])
     del table, found, m, v
     let_go(docs.sparkSession)
     return Model((scale * w).reshape(KINDS, 1 << BITS), bias, a, b)

@@ -25,15 +25,18 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out = cut_lineage(df)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    let_go(spark)
     return out
 
 
 def let_go(spark: SparkSession) -> None:
-    """Give memory that the driver no longer uses back to the system: its two heaps and Arrow's pool keep what they once had."""
+    """Give memory that the driver no longer uses back to the system: its two heaps and Arrow's pools keep what they once had.
+
+    Releasing Arrow's pool over the C library's allocator also returns what NumPy and Python let go of.
+    """
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -6,8 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rankforge.llm import kernels, quality, substring, toxicity, url_graph
 from rankforge.llm.queries import QUERIES, URL_RULES
@@ -396,3 +399,19 @@ def test_one_row_of_each_component_stays(spark, sf):
     rest = Counter(kept) - Counter(want)
     assert not Counter(want) - Counter(kept)
     assert len(kept) == len(want) + 1 and set(rest) <= {(None, a), (None, a + " more")}
+
+
+def test_quality_features_come_to_the_driver_in_few_bytes(spark):
+    """A bucket in two bytes and a count in as few as it takes; places and shares are those of each kind of feature."""
+    text = "one two three two " * 200 + "zz"
+    docs = spark.createDataFrame([(1, "q", 1), (2, "", 0)], "doc_id long, text string, label int").withColumn(
+        "text", F.when(F.col("doc_id") == 1, F.lit(text)).otherwise(F.col("text")))
+    table = quality._hashed_rows(docs, "label").toArrow().sort_by("doc_id")
+    raw = [[np.frombuffer(x, np.uint8) for x in table[c].to_pylist()] for c in ("sizes", "buckets", "times")]
+    piece = next(iter(kernels.slices(pa.array([text]))))
+    cells, shares = quality._cells(*[r[0] for r in raw])
+    want = [np.unique(v, return_counts=True) for v, _ in quality.features(piece)]
+    assert cells.tolist() == [int(b) + (kind << quality.BITS) for kind, (v, _) in enumerate(want) for b in v]
+    assert shares.tolist() == [float(np.float32(x / n.sum())) for _, n in want for x in n]
+    assert sum(len(r[0]) for r in raw) <= 4 * len(cells) + 4 * quality.KINDS
+    assert [len(x) for x in quality._cells(*[r[1] for r in raw])] == [0, 0]
