@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, parallelism
@@ -14,6 +15,10 @@ from .neighbours import SCORE_DIGITS, STRIP_CELLS
 BLOCK_IDS = 1 << 17        # ids per block
 BLOCK_ENTRIES = 4_000_000  # entries per block, and per record of a block that holds a hot row
 BEST_BYTES = 1 << 27       # what a task keeps as the best of its rows
+LONGEST_HISTORY = 1 << 16  # ratings of a user that travel as one row
+STRIPE_ENTRIES = 2_000_000 # ratings of the users a task holds for pairs
+PAIR_CELLS = 2_000_000     # ratings looked up at once
+PAIRS_SENT = 4096          # pairs of a user in one row
 _FOUND = "query_id bigint, id bigint, raw double, rank int"
 _FIELDS = (("ids", np.int64), ("sizes", np.float64), ("dims", np.int64), ("counts", np.int32), ("at", np.uint32), ("vals", np.float64))
 _BLOCK = "own int, part int, " + ", ".join(f"{name} binary" for name, _ in _FIELDS)
@@ -264,8 +269,8 @@ def _met(own: list[dict[str, np.ndarray]], k: int, metric: str, digits: int) ->
     return stripe
 
 
-def pair_statistics(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Common items and their correlation (null when a side is constant) for given `pairs(user_a, user_b)`.
+def _joined_statistics(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
+    """`pair_statistics` by joins, for users with very long histories or odd values.
 
     Of each pair the user with the shorter history is expanded, so that a hot user is looked up by
     (user, item) instead of being multiplied by the number of its pairs.
@@ -289,11 +294,144 @@ def pair_statistics(pairs: DataFrame, ratings: DataFrame) -> DataFrame:
         "user_a", "user_b", "common", F.when(F.col("_s") > 1e-9, F.col("_c") / F.col("_s")).alias("correlation"))
 
 
+def _matched(far: dict[str, np.ndarray], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Statistics of the pairs of a batch: each of its users, whose packed ratings come along, with those of the stripe in `others`."""
+    width, items, others = len(far["item_ids"]), batch.column("items"), batch.column("others")
+    found, at = items.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), items.value_lengths().to_numpy())
+    place = np.minimum(np.searchsorted(far["item_ids"], found), width - 1)
+    known = far["item_ids"][place] == found  # items that nobody in the stripe has are left out
+    place, rates, sizes = place[known], batch.column("rates").flatten().to_numpy()[known], np.bincount(at[known], minlength=batch.num_rows)
+    starts = np.cumsum(sizes) - sizes
+    ids, row = others.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), others.value_lengths().to_numpy())
+    other = np.minimum(np.searchsorted(far["users"], ids), len(far["users"]) - 1)
+    kept = (far["users"][other] == ids) & (sizes[row] > 0)
+    ids, row, other = ids[kept], row[kept], other[kept]
+    near, ends = batch.column("user").to_numpy()[row], np.cumsum(sizes[row])
+    first = 0
+    while first < len(row):
+        to = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIR_CELLS, "right")))
+        many = sizes[row[first:to]]
+        pair = np.repeat(np.arange(to - first), many)
+        cell = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[row[first:to]], many)
+        code = other[first:to][pair] * width + place[cell]
+        hit = np.minimum(np.searchsorted(far["codes"], code), len(far["codes"]) - 1)
+        same = far["codes"][hit] == code
+        pair, a, hit = pair[same], rates[cell[same]], hit[same]
+        times = far["counts"][hit]  # over 1 where ratings of a user and an item repeat
+        pair, a = np.repeat(pair, times), np.repeat(a, times)
+        b = far["rates"][np.repeat(far["firsts"][hit] - np.cumsum(times) + times, times) + np.arange(len(pair))]
+        n = np.bincount(pair, minlength=to - first)
+        per = np.maximum(n, 1)
+        a = a - (np.bincount(pair, a, to - first) / per)[pair]
+        b = b - (np.bincount(pair, b, to - first) / per)[pair]
+        spread = np.sqrt(np.bincount(pair, a * a, to - first) / per) * np.sqrt(np.bincount(pair, b * b, to - first) / per)
+        defined = spread > 1e-9
+        value = np.divide(np.bincount(pair, a * b, to - first) / per, spread, out=np.zeros(to - first), where=defined)
+        some = n > 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(near[first:to][some]), pa.array(ids[first:to][some]), pa.array(n[some]), pa.array(value[some], mask=~defined[some])],
+            names=["near", "far", "common", "correlation"])
+        first = to
+
+
+def _stripe_of(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """The packed ratings of a stripe's users, to be looked up by user and item."""
+    table = pa.Table.from_batches(parts)
+    users, items, rates = table["user"].to_numpy(), pc.list_flatten(table["items"]).to_numpy(), pc.list_flatten(table["rates"]).to_numpy()
+    item_ids, place = np.unique(items, return_inverse=True)
+    order = np.argsort(users)
+    rank = np.empty(len(users), np.int64)
+    rank[order] = np.arange(len(users))
+    codes = np.repeat(rank, pc.list_value_length(table["items"]).to_numpy()) * len(item_ids) + place
+    by_code = np.argsort(codes, kind="stable")
+    codes, firsts, counts = np.unique(codes[by_code], return_index=True, return_counts=True)
+    return {"users": users[order], "item_ids": item_ids, "codes": codes, "firsts": firsts, "counts": counts, "rates": rates[by_code]}
+
+
+def pair_statistics(pairs: DataFrame, ratings: DataFrame, longest: int = LONGEST_HISTORY, stripe_entries: int = STRIPE_ENTRIES) -> DataFrame:
+    """Common items and their correlation (null when a side is constant) for given distinct `pairs(user_a, user_b)`, read several times.
+
+    The users of the side with fewer ratings are cut into stripes that a task can hold. A user of the other side is sent, with
+    its packed ratings and its pairs, once to every stripe it has pairs in, so ratings are not multiplied by pairs.
+    Pairs with a user of more than `longest` ratings or with values that are no finite numbers are joined rating by rating.
+    """
+    pairs = pairs.select("user_a", "user_b").filter("user_a IS NOT NULL AND user_b IS NOT NULL")
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if not {dict(pairs.dtypes)["user_a"], dict(pairs.dtypes)["user_b"], dict(ratings.dtypes)["user_id"]} <= whole:
+        return _joined_statistics(pairs, ratings)
+    sides = [pairs.select(F.col(c).cast("bigint").alias("user"), F.lit(c == "user_a").alias("in_a"), F.lit(c == "user_b").alias("in_b"))
+             for c in ("user_a", "user_b")]
+    users = sides[0].union(sides[1]).groupBy("user").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    item = F.col("item_id").cast("bigint") if dict(ratings.dtypes)["item_id"] in whole else F.xxhash64("item_id")
+    cells = ratings.filter("user_id IS NOT NULL AND item_id IS NOT NULL").select(
+        F.col("user_id").cast("bigint").alias("user"), item.alias("item"), F.col("rating").cast("double").alias("rate"))
+    # at most `longest` ratings of a user are gathered; null or infinite ones, or NaN, make it odd
+    lengths = cells.groupBy("user").agg(F.count("*").alias("n"), F.max(F.coalesce(F.abs("rate"), F.lit(float("inf")))).alias("_most"))
+    odd = (F.col("n") > longest) | (F.col("_most") >= float("inf"))
+    sized = cut_lineage(users.join(lengths, "user").select("user", "in_a", "in_b", "n", odd.alias("odd")))
+    n = F.when(~F.col("odd"), F.col("n")).otherwise(0)
+    in_a, in_b, few_a, few_b, strange = sized.agg(
+        F.sum(n * F.col("in_a").cast("int")), F.sum(n * F.col("in_b").cast("int")), F.sum((F.col("in_a") & ~F.col("odd")).cast("int")),
+        F.sum((F.col("in_b") & ~F.col("odd")).cast("int")), F.max("odd")).first()
+    near, far = ("user_a", "user_b") if (in_b or 0) <= (in_a or 0) else ("user_b", "user_a")
+    entries, stripe_total = max(in_a or 0, in_b or 0), min(in_a or 0, in_b or 0)
+    stripes = max(1, -(-stripe_total // stripe_entries))
+    sends = entries * min(stripes, -(-pairs.count() // max(1, (few_a if near == "user_a" else few_b) or 0)))
+    parts = max(1, -(-parallelism(pairs.sparkSession) // stripes), -(-sends // (stripes * 2 * stripe_entries)))
+    fine = sized.filter("NOT odd").select("user", F.col(f"in_{near[-1]}").alias("is_near"), F.col(f"in_{far[-1]}").alias("is_far"))
+    history = F.collect_list(F.struct("item", "rate"))
+    packed = cut_lineage(cells.join(fine, "user").groupBy("user", "is_near", "is_far").agg(history.alias("c")).select(
+        "user", "is_near", "is_far", F.col("c.item").alias("items"), F.col("c.rate").alias("rates")))
+    stripe = F.pmod(F.xxhash64("user"), F.lit(stripes)).cast("int")
+    held = packed.filter("is_far").select(stripe.alias("stripe"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"),
+                                          "user", "items", "rates", F.lit(None).cast("array<bigint>").alias("others"))
+    listed = pairs.select(F.col(near).cast("bigint").alias("near"), F.col(far).cast("bigint").alias("user"))
+    listed = listed.groupBy("near", stripe.alias("stripe")).agg(F.sort_array(F.collect_list("user")).alias("all"))
+    step = F.lit(PAIRS_SENT)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / step).cast("int")), lambda i: F.slice("all", i * step + 1, step))
+    listed = listed.select(F.col("near").alias("user"), "stripe", F.posexplode(cut).alias("nth", "others"))
+    sent = packed.filter("is_near").drop("is_near", "is_far").join(listed, "user").select(
+        "stripe", F.pmod(F.xxhash64("user", "nth"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "user", "items", "rates", "others")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, stripe = None, [], None
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            kind = batch.column("kind").to_numpy()
+            edges = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(kind) != 0), True]) if batch.num_rows else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                piece = batch.slice(a, b - a)
+                if cell[a] != at:
+                    at, own, stripe = cell[a], [], None
+                if kind[a] == 0:
+                    own.append(piece)
+                    continue
+                if stripe is None and own:
+                    stripe, own = _stripe_of(own), []
+                if stripe is not None:  # else no user of the stripe has ratings
+                    yield from _matched(stripe, piece)
+
+    cell = (F.col("stripe") * parts + F.col("part")).alias("cell")
+    placed = held.union(sent).select(cell, "kind", "user", "items", "rates", "others").repartitionById(stripes * parts, F.col("cell"))
+    met = placed.sortWithinPartitions("cell", "kind").mapInArrow(meet, "near bigint, far bigint, common bigint, correlation double")
+    kinds = dict(pairs.dtypes)
+    names = {near: "near", far: "far"}
+    out = met.select(*[F.col(names[c]).cast(kinds[c]).alias(c) for c in ("user_a", "user_b")], "common", "correlation")
+    if not strange:
+        return out
+    hot = sized.filter("odd")
+    by_a = hot.select(F.col("user").cast(kinds["user_a"]).alias("user_a"), F.lit(True).alias("_hot_a"))
+    by_b = hot.select(F.col("user").cast(kinds["user_b"]).alias("user_b"), F.lit(True).alias("_hot_b"))
+    rest = pairs.join(by_a, "user_a", "left").join(by_b, "user_b", "left").filter("_hot_a OR _hot_b").select("user_a", "user_b")
+    return out.unionByName(_joined_statistics(rest, ratings))
+
+
 def pearson(pairs: DataFrame, ratings: DataFrame, min_common: int = 3) -> DataFrame:
     """Correlation over common items as 0..100; 0 with fewer than `min_common` or none defined."""
+    pairs = cut_lineage(pairs.select("user_a", "user_b").distinct())
     stats = pair_statistics(pairs, ratings)
     known = (F.col("common") >= min_common) & F.col("correlation").isNotNull()
     value = F.least(F.greatest((F.col("correlation") + 1) * 50, F.lit(0.0)), F.lit(100.0))
-    return (pairs.select("user_a", "user_b").distinct().join(stats, ["user_a", "user_b"], "left")
+    return (pairs.join(stats, ["user_a", "user_b"], "left")
             .select("user_a", "user_b", F.coalesce("common", F.lit(0)).alias("common"),
                     F.coalesce(F.when(known, value), F.lit(0.0)).alias("similarity")))

@@ -441,3 +441,26 @@ def test_few_partitions_send_column_products(spark):
 def test_stacked_fields_take_one_scan():
     """The width of the sparse item features: an iteration over all rows took dozens of scans."""
     assert linalg.GRAM_COLUMNS >= 3400
+
+
+def test_pair_statistics_send_histories_not_matches(spark):
+    """Same rows as rating by rating, with stripes of few users, repeats, nulls, odd values and long histories; no join on items."""
+    rows = spark.range(4000).select(
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)).alias("user_id"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(60)).alias("item_id"),
+        (1 + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5))).cast("double").alias("rating"))
+    rows = rows.union(spark.createDataFrame([(41, 1, None), (41, 2, 2.0), (41, 3, 5.0), (42, 1, float("nan")), (42, 2, 1.0), (43, 1, 3.0), (43, 2, 3.0),
+                                             (None, 1, 2.0), (3, None, 1.0)], "user_id long, item_id long, rating double"))
+    pairs = spark.range(46).toDF("user_a").crossJoin(spark.range(20).toDF("user_b"))
+    pairs = pairs.union(spark.createDataFrame([(None, 1), (1, None)], "user_a long, user_b long"))
+
+    def listed(df):
+        return sorted((r["user_a"], r["user_b"], r["common"], None if r["correlation"] is None else "nan" if r["correlation"] != r["correlation"] else round(r["correlation"], 9) + 0.0)
+                      for r in df.collect())
+
+    want = listed(co_ratings._joined_statistics(pairs, rows))
+    assert len(want) > 500
+    turned = pairs.select(F.col("user_b").alias("user_a"), F.col("user_a").alias("user_b"))
+    assert listed(co_ratings.pair_statistics(pairs, rows, 100, 1000)) == want
+    assert listed(co_ratings.pair_statistics(turned, rows, stripe_entries=1000)) == listed(co_ratings._joined_statistics(turned, rows))
+    fine = rows.filter("user_id < 40 AND item_id IS NOT NULL")
+    assert "item_id" not in "".join(x for x in co_ratings.pair_statistics(pairs, fine)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
