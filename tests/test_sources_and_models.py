@@ -1,6 +1,7 @@
 """Sources, sinks, saved models, factor models and streaming."""
 
 import json
+import shutil
 
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from rankforge import sources
 from rankforge.functions.text import clean_text
 from rankforge.operators import cleaning, collaborative, factors, features, hybrid, metrics
+from rankforge.plans import scoring
 from rankforge.sources import ratings_agg, table
 from rankforge.streaming import register_stream
 
@@ -281,3 +283,17 @@ def test_terms_are_counted_where_the_texts_lie(spark, monkeypatch):
         k: v for k, v in want.items() if k[1] in ("alpha", "beta word1")}
     vocabulary, entries = features.fit_apply_tfidf(docs, "text", 5)
     assert {(r["id"], r["term"]) for r in entries.collect()} == {k for k in want if k[1] in {r["term"] for r in vocabulary.collect()}}
+
+
+def test_streams_read_a_folder_of_files_like_one_file(spark, tmp_path):
+    """A large table is a folder of files: a stream that looks for one file of the table's name finds nothing in it."""
+    docs = spark.createDataFrame([(i, f"Text, {i}!", "en", f"src{i % 3}", 8) for i in range(30)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "part").glob("part-*.parquet")), tmp_path / "one" / "documents.parquet")
+    for run in (scoring.register_items_stream, scoring.register_stream_features):
+        many, one = (sorted(run(spark, f"{tmp_path}/{d}").collect()) for d in ("many", "one"))
+        assert many == one and len(many) == 30
+    assert sorted(r["item_id"] for r in scoring.register_items_stream(spark, f"{tmp_path}/many/").collect()) == list(range(1, 31))
