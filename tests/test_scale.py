@@ -1,6 +1,9 @@
 """Hot keys, block sizes and partition counts must not change a result."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +467,25 @@ def test_pair_statistics_send_histories_not_matches(spark):
     assert listed(co_ratings.pair_statistics(turned, rows, stripe_entries=1000)) == listed(co_ratings._joined_statistics(turned, rows))
     fine = rows.filter("user_id < 40 AND item_id IS NOT NULL")
     assert "item_id" not in "".join(x for x in co_ratings.pair_statistics(pairs, fine)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+
+
+def test_rows_meet_a_block_in_bounded_memory():
+    """What a task holds beside entries and results must not follow the products of a block (hundreds of MB here before)."""
+    rng = np.random.default_rng(3)
+    dims = np.concatenate([rng.choice(2500, 50, replace=False) for _ in range(4000)])
+    cells = pa.table({"id": np.repeat(np.arange(4000), 50), "dim": dims, "val": rng.integers(1, 6, 200_000).astype(float)})
+    parts = co_ratings._packed_block((pa.scalar(0),), cells, "cosine", 1 << 22).to_batches()
+    packed = [{name: batch[name][i].as_buffer() for name, _ in co_ratings._FIELDS} for batch in parts for i in range(batch.num_rows)]
+    tracemalloc.start()
+    try:
+        stripe = co_ratings._met([packed], 20, "cosine", 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6 and (stripe.count == 20).all()
+    dense = np.zeros((4000, 2500))
+    dense[cells["id"].to_numpy(), dims] = cells["val"].to_numpy()
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    scores = dense @ dense.T
+    np.fill_diagonal(scores, -1)
+    assert np.allclose(np.sort(stripe.best_raw, axis=1), np.sort(scores, axis=1)[:, -20:], atol=1e-6)
