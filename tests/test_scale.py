@@ -489,3 +489,58 @@ def test_rows_meet_a_block_in_bounded_memory():
     scores = dense @ dense.T
     np.fill_diagonal(scores, -1)
     assert np.allclose(np.sort(stripe.best_raw, axis=1), np.sort(scores, axis=1)[:, -20:], atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["flat", "steep", "low rank"])
+def test_small_wide_svd_is_filtered(spark, kind, monkeypatch):
+    """A wide matrix that is small as a whole is sent, and no pass goes over its rows; also with a leading value far above the others."""
+    monkeypatch.setattr(linalg, "GRAM_COLUMNS", 20)
+
+    def again(*_):
+        raise AssertionError("an iteration went over the rows")
+
+    for name in ("_times_transposed", "_distributed_svd"):
+        monkeypatch.setattr(linalg, name, again)
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((150, 90)) < 0.3, rng.normal(size=(150, 90)), 0.0)
+    m[:, 7] = 0
+    if kind == "steep":
+        m += 300 * np.outer(rng.normal(size=150), rng.normal(size=90))
+    elif kind == "low rank":
+        m = rng.normal(size=(150, 8)) @ rng.normal(size=(8, 90))
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "id long, idx int, value double")
+    found = linalg.truncated_svd(cells, 90, 6)
+    want = np.linalg.svd(m, compute_uv=False)
+    got = [r["singular_value"] for r in found["spectrum"].orderBy("component").collect()]
+    assert np.allclose(got, want[:6], rtol=1e-9)
+    v = np.stack([np.array(r["vec"]) for r in found["components"].orderBy("idx").collect()])
+    assert np.allclose(v.T @ v, np.eye(6), atol=1e-8)
+    assert np.linalg.norm(m.T @ (m @ v) - v * want[:6] ** 2, axis=0).max() < 1e-6 * want[0] ** 2
+    rows = {r["id"]: np.array(r["vec"]) for r in found["rows"].collect()}
+    assert all(np.allclose(m[i] @ v, rows[i]) for i in range(150))
+    with pytest.raises(RuntimeError):
+        linalg.truncated_svd(cells, 90, 6, passes=1)
+
+
+def test_exact_svd_of_short_rows_builds_no_dense_products(spark, monkeypatch):
+    """Columns in parts that no row links, some empty; a matrix of column products as wide as the columns took minutes."""
+    def dense(*_):
+        raise AssertionError("dense products")
+
+    rng = np.random.default_rng(12)
+    m = np.zeros((300, 50))
+    for i in range(300):
+        m[i, rng.choice(5, 2) + 5 * rng.integers(0, 9)] = rng.normal(size=2)
+    cells = [(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    frame = spark.createDataFrame(cells, "id long, idx int, value double")
+    with monkeypatch.context() as patch:
+        patch.setattr(linalg, "_column_products", dense)
+        found = linalg.truncated_svd(frame, 50, 8, path="exact")
+        got = [r["singular_value"] for r in found["spectrum"].orderBy("component").collect()]
+    v = np.stack([np.array(r["vec"]) for r in found["components"].orderBy("idx").collect()])
+    assert np.allclose(got, np.linalg.svd(m, compute_uv=False)[:8]) and np.allclose(v.T @ v, np.eye(8))
+    assert np.allclose(m.T @ (m @ v), v * np.array(got) ** 2)
+    monkeypatch.setattr(linalg, "SMALL_BYTES", 0)  # also where the products are too many to be brought to the driver
+    monkeypatch.setattr(linalg, "fits", lambda *_: False)
+    again = linalg.truncated_svd(frame, 50, 8, path="exact")["spectrum"].orderBy("component").collect()
+    assert np.allclose([r["singular_value"] for r in again], got)
