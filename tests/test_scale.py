@@ -544,3 +544,19 @@ def test_exact_svd_of_short_rows_builds_no_dense_products(spark, monkeypatch):
     monkeypatch.setattr(linalg, "fits", lambda *_: False)
     again = linalg.truncated_svd(frame, 50, 8, path="exact")["spectrum"].orderBy("component").collect()
     assert np.allclose([r["singular_value"] for r in again], got)
+
+
+def test_blocks_travel_in_small_records(spark, monkeypatch):
+    """A task gets 10,000 records at a time: one record a block made that a whole table. Cut anywhere, in batches of any length, they give the same."""
+    rows = session.cut_lineage(skewed(spark).groupBy("user_id", "item_id").agg(F.avg("rating").alias("rating")))
+    whole = sorted(co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 7).collect())
+    assert co_ratings.RECORD_ENTRIES <= 1024
+    monkeypatch.setattr(co_ratings, "RECORD_ENTRIES", 3)
+    monkeypatch.setattr(co_ratings, "MEET_ENTRIES", 50)
+    monkeypatch.setattr(co_ratings, "MEET_CELLS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cut = sorted(co_ratings.similar_rows(rows, "user_id", "item_id", "rating", 7, block_ids=10, block_entries=150).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cut == whole
